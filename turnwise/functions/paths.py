@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwise.functions.bind import bind
 from turnwise.functions.text import optional
 
 
@@ -34,40 +35,56 @@ def _resolve_dots(path: Column) -> Column:
 
 
 def _posix(path: Column) -> Column:
-    plain = F.regexp_replace(path, "/+", "/")
-    return F.when((plain == "") | plain.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(plain)).otherwise(plain)
+    return bind(
+        F.regexp_replace(path, "/+", "/"),
+        lambda plain: F.when((plain == "") | plain.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(plain)).otherwise(plain),
+    )
 
 
 def _drop_trailing_slash(path: Column) -> Column:
-    return F.when(path.isin("/", "//") | path.rlike("^[a-z]:/$"), path).otherwise(F.regexp_replace(path, "/+$", ""))
+    return bind(path, lambda p: F.when(p.isin("/", "//") | p.rlike("^[a-z]:/$"), p).otherwise(F.regexp_replace(p, "/+$", "")))
 
 
-def path_identity(value: Column) -> Column:
-    """One spelling per local path: file URIs, drive letters, UNC shares, dots and slashes resolved."""
-    raw = decode_percent(optional(value))
-    authority = F.regexp_extract(raw, r"(?is)^file://([^/]*)(/.*)?$", 1)
-    tail = F.regexp_extract(raw, r"(?is)^file://([^/]*)(/.*)?$", 2)
-    raw = (
-        F.when(raw.rlike("(?i)^file://localhost/"), raw.substr(F.lit(17), F.length(raw)))
-        .when(raw.rlike("(?i)^file://") & authority.rlike("^[A-Za-z]:$"), F.concat(authority, tail))
-        .when(raw.rlike("(?i)^file://") & (authority != ""), F.concat(F.lit("//"), authority, tail))
-        .when(raw.rlike("(?i)^file://"), tail)
-        .otherwise(raw)
+def _from_uri(raw: Column) -> Column:
+    pattern = r"(?is)^file://([^/]*)(/.*)?$"
+    authority, tail = F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2)
+    return (
+        F.when(~raw.rlike("(?i)^file://"), raw)
+        .when(raw.rlike("(?i)^file://localhost/"), raw.substr(F.lit(17), F.length(raw)))
+        .when(authority.rlike("^[A-Za-z]:$"), F.concat(authority, tail))
+        .when(authority != "", F.concat(F.lit("//"), authority, tail))
+        .otherwise(tail)
     )
-    raw = F.translate(raw, "\\", "/")
-    raw = F.when(raw.rlike("^/[A-Za-z]:"), raw.substr(F.lit(2), F.length(raw))).otherwise(raw)
-    unc = raw.startswith("//") & ~raw.rlike("^//[A-Za-z]:")
+
+
+def _spelled_out(raw: Column) -> Column:
+    """Identity of a slash path that may be a UNC share, carry a drive letter, or neither."""
     flat = F.regexp_replace(raw, "/+", "/")
-    rest = flat.substr(F.lit(3), F.length(flat))
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return (
-        F.when(unc, F.concat(F.lit("/"), _drop_trailing_slash(_posix(F.concat(F.lit("/"), raw.substr(F.lit(3), F.length(raw)))))))
-        .when(
-            flat.rlike("^[A-Za-z]:"),
-            F.concat(F.lower(F.substring(flat, 1, 1)), F.lit(":"), _drop_trailing_slash(_posix(rest))),
-        )
-        .otherwise(_drop_trailing_slash(_posix(flat)))
+    share = raw.startswith("//") & ~raw.rlike("^//[A-Za-z]:")
+    drive = flat.rlike("^[A-Za-z]:")
+    head = F.when(share, "/").when(drive, F.concat(F.lower(F.substring(flat, 1, 1)), F.lit(":"))).otherwise("")
+    body = (
+        F.when(share, F.concat(F.lit("/"), raw.substr(F.lit(3), F.length(raw))))
+        .when(drive, F.concat(F.lit("/"), flat.substr(F.lit(3), F.length(flat))))
+        .otherwise(flat)
     )
+    return F.concat(head, _drop_trailing_slash(_posix(body)))
+
+
+# Most paths are already in their final spelling: absolute, no empty, dot or percent segments, no closing slash.
+_CLEAN = r"^(/[^/\\%.:\s][^/\\%:\s]*)+$"
+
+
+def path_identity(value: Column) -> Column:
+    """One spelling per local path: file URIs, drive letters, UNC shares, dots and slashes resolved."""
+
+    def spell(given: Column) -> Column:
+        slashed = F.translate(_from_uri(given), "\\", "/")
+        return bind(
+            bind(slashed, lambda p: F.when(p.rlike("^/[A-Za-z]:"), p.substr(F.lit(2), F.length(p))).otherwise(p)), _spelled_out
+        )
+
+    return F.when(value.rlike(_CLEAN), value).otherwise(bind(bind(optional(value), decode_percent), spell))
 
 
 def basename(path: Column) -> Column:
@@ -81,16 +98,19 @@ def path_basename(value: Column) -> Column:
 
 def scope_match(candidate: Column, scope: str | Column, fold_case: bool = False) -> Column:
     """True where the candidate directory is the scope or lies below it (by whole segments)."""
-    path = path_identity(candidate)
-    root = path_identity(F.lit(scope) if isinstance(scope, str) else scope)
-    if fold_case:
-        path, root = F.lower(path), F.lower(root)
-    below = (
-        F.when(root == "/", path.startswith("/"))
-        .when(root.rlike("^[a-z]:/$"), path.startswith(root))
-        .otherwise(path.startswith(F.concat(root, F.lit("/"))))
-    )
-    return F.coalesce((path == root) | below, F.lit(False))
+    root_of = path_identity(F.lit(scope) if isinstance(scope, str) else scope)
+
+    def below(pair: Column) -> Column:
+        path, root = pair.getField("path"), pair.getField("root")
+        inside = (
+            F.when(root == "/", path.startswith("/"))
+            .when(root.rlike("^[a-z]:/$"), path.startswith(root))
+            .otherwise(path.startswith(F.concat(root, F.lit("/"))))
+        )
+        return F.coalesce((path == root) | inside, F.lit(False))
+
+    fold = F.lower if fold_case else (lambda c: c)
+    return bind(F.struct(fold(path_identity(candidate)).alias("path"), fold(root_of).alias("root")), below)
 
 
 def normalize_remote(value: Column) -> Column:
@@ -111,22 +131,27 @@ def path_parts(value: Column) -> Column:
 
 def native_project_ref(platform: Column, base_dir: Column, file_path: Column) -> Column:
     """Project folder named by a source's own directory layout."""
-    base = path_identity(base_dir)
-    full = path_identity(file_path)
-    below = full.startswith(F.concat(F.when(base == "/", "").otherwise(base), F.lit("/")))
-    relative = F.when(below, full.substr(F.length(F.when(base == "/", "").otherwise(base)) + 2, F.length(full)))
-    parts = F.filter(F.split(relative, "/"), lambda p: p != "")
-    count = F.size(parts)
-    store = F.nullif(F.regexp_extract(full, r"/\.cursor/chats/([^/]+)/[^/]+/store\.db$", 1), F.lit(""))
-    transcripts = F.array_position(parts, "agent-transcripts").cast("int")
-    history = F.array_position(parts, "chat_history.jsonl").cast("int")
-    at = lambda index: F.get(parts, index)  # noqa: E731 - zero-based, null outside the array
-    return (
-        F.when(
-            platform.isin("cursor", "cursor_agent"),
-            F.coalesce(F.when(below, store), F.when(transcripts > 1, at(transcripts - 2))),
+
+    def from_layout(given: Column) -> Column:
+        base, full = given.getField("base"), given.getField("full")
+        below = full.startswith(F.concat(base, F.lit("/")))
+        relative = F.when(below, full.substr(F.length(base) + 2, F.length(full)))
+        return bind(F.filter(F.split(relative, "/"), lambda p: p != ""), lambda parts: from_parts(parts, full))
+
+    def from_parts(parts: Column, full: Column) -> Column:
+        store = F.nullif(F.regexp_extract(full, r"/\.cursor/chats/([^/]+)/[^/]+/store\.db$", 1), F.lit(""))
+        transcripts = F.array_position(parts, "agent-transcripts").cast("int")
+        history = F.array_position(parts, "chat_history.jsonl").cast("int")
+        first, deep = F.get(parts, F.lit(0)), F.size(parts) >= 3
+        return (
+            F.when(
+                platform.isin("cursor", "cursor_agent"),
+                F.coalesce(F.when(parts.isNotNull(), store), F.when(transcripts > 1, F.get(parts, transcripts - 2))),
+            )
+            .when((platform == "grok") & (history >= 3), F.get(parts, history - 3))
+            .when((platform == "antigravity") & (first == "brain") & deep, F.get(parts, F.lit(1)))
+            .when((platform == "codebuddy") & (first == "projects") & deep, F.get(parts, F.lit(1)))
         )
-        .when((platform == "grok") & (history >= 3), at(history - 3))
-        .when((platform == "antigravity") & (at(F.lit(0)) == "brain") & (count >= 3), at(F.lit(1)))
-        .when((platform == "codebuddy") & (at(F.lit(0)) == "projects") & (count >= 3), at(F.lit(1)))
-    )
+
+    base = F.regexp_replace(path_identity(base_dir), "^/$", "")
+    return bind(F.struct(base.alias("base"), path_identity(file_path).alias("full")), from_layout)

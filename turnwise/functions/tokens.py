@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwise.functions.bind import bind
+
 FIELDS = (
     "input_tokens",
     "cache_read_input_tokens",
@@ -62,78 +65,74 @@ def is_object(value: Column) -> Column:
 
 def number(value: Column, path: str) -> Column:
     """A JSON number at ``path``; strings and booleans do not count."""
-    member = F.try_variant_get(value, path, "variant")
-    kind = F.schema_of_variant(member)
-    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(value, path, "bigint"))
+    kinds = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
+    return bind(
+        F.try_variant_get(value, path, "variant"),
+        lambda member: F.when(F.schema_of_variant(member).rlike(kinds), member.cast("bigint")),
+    )
 
 
 def pack(values: dict[str, Column], model: Column) -> Column:
     return F.struct(*[values[name].cast("bigint").alias(name) for name in FIELDS], model.cast("string").alias("model"))
 
 
-def all_absent(values: dict[str, Column]) -> Column:
-    return F.coalesce(*[values[name] for name in FIELDS]).isNull()
-
-
-def normalize(values: dict[str, Column], model: Column) -> Column:
+def normalize(raw: Column) -> Column:
     """Usage struct from raw numbers: a cache lump becomes cache read, a missing total is derived; null if all absent."""
-    zero = F.lit(0).cast("bigint")
-    read, creation, lump = (values[n] for n in ("cache_read_input_tokens", "cache_creation_input_tokens", "cached_input_tokens"))
-    lumped = lump.isNotNull() & read.isNull() & creation.isNull()
-    split = read.isNotNull() | creation.isNotNull()
-    cache_read = F.when(lumped, lump).otherwise(read)
-    fresh = F.when(lumped, values["input_tokens"] - lump).otherwise(values["input_tokens"])
-    cached = F.coalesce(lump, F.when(split, F.coalesce(creation, zero) + F.coalesce(read, zero)))
-    derived = reduce(
-        lambda left, right: left + right,
-        [F.coalesce(part, zero) for part in (fresh, values["output_tokens"], creation, cache_read)],
-    )
-    packed = pack(
-        {
-            **values,
+
+    def resolve(given: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        values = {name: given.getField(name) for name in FIELDS}
+        read, creation, lump = (values[n] for n in ("cache_read_input_tokens", "cache_creation_input_tokens", "cached_input_tokens"))
+        lumped = lump.isNotNull() & read.isNull() & creation.isNull()
+        split = read.isNotNull() | creation.isNotNull()
+        cache_read = F.when(lumped, lump).otherwise(read)
+        fresh = F.when(lumped, values["input_tokens"] - lump).otherwise(values["input_tokens"])
+        cached = F.coalesce(lump, F.when(split, F.coalesce(creation, zero) + F.coalesce(read, zero)))
+        derived = reduce(add, [F.coalesce(part, zero) for part in (fresh, values["output_tokens"], creation, cache_read)])
+        resolved = {
             "input_tokens": fresh,
             "cache_read_input_tokens": cache_read,
             "cached_input_tokens": cached,
             "total_tokens": F.coalesce(values["total_tokens"], derived),
-        },
-        model,
-    )
-    return F.when(~all_absent(values), packed)
+        }
+        packed = pack({**values, **resolved}, given.getField("model"))
+        return F.when(F.coalesce(*values.values()).isNotNull(), packed)
 
+    return bind(raw, resolve)
 
-def from_object(value: Column, prefix: str = "$") -> Column:
-    """Usage struct of the JSON object at ``prefix``, without looking into nested members."""
-    values = {
-        name: F.coalesce(*[number(value, f"{prefix}.{spelling}") for spelling in spellings])
-        for name, spellings in SPELLINGS.items()
-    }
-    return normalize(values, F.try_variant_get(value, f"{prefix}.model", "string"))
 
+def from_object(value: Column) -> Column:
+    """Usage struct of one JSON object, without looking into nested members."""
+    values = {name: F.coalesce(*[number(value, f"$.{key}") for key in keys]) for name, keys in SPELLINGS.items()}
+    return F.when(is_object(value), normalize(pack(values, F.try_variant_get(value, "$.model", "string"))))
 
-def merge(left: Column, right: Column) -> Column:
-    """Sum of two usage structs; once two are merged an absent field counts as zero."""
-    zero = F.lit(0).cast("bigint")
-    summed = {n: F.coalesce(left.getField(n), zero) + F.coalesce(right.getField(n), zero) for n in FIELDS}
-    both = pack(summed, F.coalesce(right.getField("model"), left.getField("model")))
-    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(both)
+
+def merge(usages: list[Column]) -> Column:
+    """Sum of usage structs in order; a single one stays as it is, among several an absent field counts as zero."""
+
+    def total(known: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+
+        def summed(name: str) -> Column:
+            return F.aggregate(known, zero, lambda acc, u: acc + F.coalesce(u.getField(name), zero))
+
+        models = F.array_compact(F.transform(known, lambda u: u.getField("model")))
+        both = pack({n: summed(n) for n in FIELDS}, F.try_element_at(models, F.lit(-1)))
+        return F.when(F.size(known) > 1, both).otherwise(F.get(known, F.lit(0)))
+
+    return bind(F.array_compact(F.array(*usages)), total)
 
 
-def extract(value: Column, members: tuple[str, ...] = USAGE_MEMBERS, prefix: str = "$") -> Column:
-    """Usage of a JSON object: its own numbers merged with those of each declared member one level down."""
-    nested = [from_object(value, f"{prefix}.{member}") for member in members]
-    return merge(reduce(merge, nested), from_object(value, prefix))
+def extract(value: Column, members: tuple[str, ...] = USAGE_MEMBERS) -> Column:
+    """Usage of a JSON object: that of each declared member one level down, merged with its own numbers."""
+    nested = [bind(F.try_variant_get(value, f"$.{member}", "variant"), from_object) for member in members]
+    return F.when(value.isNotNull(), merge([*nested, from_object(value)]))
 
 
-def from_payload(value: Column, prefix: str = "$") -> Column:
+def from_payload(value: Column) -> Column:
     """Usage a message carries: its usage member if it has one, else whatever its own members say."""
-    found = [
-        (F.try_variant_get(value, f"{prefix}.{member}", "variant").isNotNull(), from_object(value, f"{prefix}.{member}"))
-        for member in PAYLOAD_MEMBERS
-    ]
-    branch = F.when(found[0][0], found[0][1])
-    for present, usage in found[1:]:
-        branch = branch.when(present, usage)
-    return branch.otherwise(extract(value, ("tokens", "token_count", "tokenCount", "metadata"), prefix))
+    holder = F.coalesce(*[F.try_variant_get(value, f"$.{member}", "variant") for member in PAYLOAD_MEMBERS], value)
+    return bind(holder, extract)
 
 
 def structured_total(usage: Column) -> Column:
@@ -147,12 +146,12 @@ def structured_total(usage: Column) -> Column:
     parts = [usage.getField("input_tokens"), cache, usage.getField("output_tokens")]
     known = F.coalesce(*parts).isNotNull()
     return F.coalesce(
-        usage.getField("total_tokens"), F.when(known, reduce(lambda a, b: a + b, [F.coalesce(p, zero) for p in parts]))
+        usage.getField("total_tokens"), F.when(known, reduce(add, [F.coalesce(p, zero) for p in parts]))
     )
 
 
 def merged_aggregate(usage: Column, order: Column) -> Column:
-    """Aggregate form of ``merge`` over a group: one usage stays as it is, several are summed."""
+    """``merge`` as an aggregate over the rows of a group."""
     several = F.count(usage) >= 2
     zero = F.lit(0).cast("bigint")
     values = {

@@ -14,6 +14,7 @@ from turnwise.functions.text import strip
 from turnwise.functions.tokens import FIELDS
 from turnwise.operators.atoms import SESSION
 from turnwise.operators.turns import TURN, in_context, is_visible_reply, reply_id
+from turnwise.session import materialize
 
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
@@ -133,6 +134,7 @@ def attribute_signals(tagged: DataFrame) -> DataFrame:
     around = with_running(
         rows, TURN, ["pos"], chunk, _prev=last_value(F.col("reply"), False), _next=next_value(F.col("reply"), False)
     )
+    around = materialize(around, "signals")  # read by three branches below
     same = with_running(
         around.where(F.col("message_id").isNotNull()), [*TURN, "message_id"], ["pos"], chunk, _same=last_value(F.col("reply"), False)
     ).where("is_signal")

@@ -59,7 +59,7 @@ def event_k(df: DataFrame) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
-    return df.withColumn("k", event_k(df)).drop("props")
+    return df.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", event_k(df).alias("k"))
 
 
 def event_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
