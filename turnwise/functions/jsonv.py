@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from turnwise.functions.bind import bind
-
 NUMBERS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
 
 
@@ -20,16 +17,17 @@ def as_string(value: Column) -> Column:
 
 def string(value: Column, *paths: str) -> Column:
     """First of the paths that holds a JSON string."""
-    return F.coalesce(*[bind(member(value, path), as_string) for path in paths])
+    found = [F.when(F.schema_of_variant(member(value, p)) == "STRING", F.try_variant_get(value, f"$.{p}", "string")) for p in paths]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
 def number(value: Column, *paths: str) -> Column:
-    typed = [bind(member(value, p), lambda m: F.when(F.schema_of_variant(m).rlike(NUMBERS), m.cast("double"))) for p in paths]
-    return F.coalesce(*typed)
+    found = [F.when(F.schema_of_variant(member(value, p)).rlike(NUMBERS), F.try_variant_get(value, f"$.{p}", "double")) for p in paths]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
 def boolean(value: Column, path: str) -> Column:
-    return bind(member(value, path), lambda m: F.when(F.schema_of_variant(m) == "BOOLEAN", m.cast("boolean")))
+    return F.when(F.schema_of_variant(member(value, path)) == "BOOLEAN", F.try_variant_get(value, f"$.{path}", "boolean"))
 
 
 def is_object(value: Column) -> Column:

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwise.functions import jsonv
 from turnwise.functions.bind import bind
 
 FIELDS = (
@@ -63,15 +64,6 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def number(value: Column, path: str) -> Column:
-    """A JSON number at ``path``; strings and booleans do not count."""
-    kinds = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
-    return bind(
-        F.try_variant_get(value, path, "variant"),
-        lambda member: F.when(F.schema_of_variant(member).rlike(kinds), member.cast("bigint")),
-    )
-
-
 def pack(values: dict[str, Column], model: Column) -> Column:
     return F.struct(*[values[name].cast("bigint").alias(name) for name in FIELDS], model.cast("string").alias("model"))
 
@@ -103,8 +95,12 @@ def normalize(raw: Column) -> Column:
 
 def from_object(value: Column) -> Column:
     """Usage struct of one JSON object, without looking into nested members."""
-    values = {name: F.coalesce(*[number(value, f"$.{key}") for key in keys]) for name, keys in SPELLINGS.items()}
-    return F.when(is_object(value), normalize(pack(values, F.try_variant_get(value, "$.model", "string"))))
+
+    def read(given: Column) -> Column:
+        values = {name: jsonv.number(given, *keys) for name, keys in SPELLINGS.items()}
+        return F.when(is_object(given), normalize(pack(values, F.try_variant_get(given, "$.model", "string"))))
+
+    return bind(value, read)
 
 
 def merge(usages: list[Column]) -> Column:

@@ -130,7 +130,6 @@ def chunks_of(text: str, tagged_prompts: bool) -> list[dict]:
     return [_injected(text)] if text.startswith(openings) else [_authored(text)]
 
 
-@F.pandas_udf(CHUNK_TYPE)
 def _split_marked(texts: pd.Series, tagged_prompts: pd.Series) -> pd.Series:
     return pd.Series([None if text is None else chunks_of(text, bool(tagged)) for text, tagged in zip(texts, tagged_prompts)])
 
@@ -158,6 +157,6 @@ def split_user_text(text: Column, platform: Column, file_path: Column) -> Column
         .when(platform == "antigravity", single("user_authored"))
         .when(delegated, single("delegated_instruction"))
         .when(whole.startswith(AUTOMATION_PREFIX), single("automation_trigger"))
-        .when(needs_udf, _split_marked(F.when(needs_udf, whole), tagged_prompts))
+        .when(needs_udf, F.pandas_udf(_split_marked, CHUNK_TYPE)(F.when(needs_udf, whole), tagged_prompts))
         .otherwise(single("user_authored"))
     )

@@ -22,9 +22,9 @@ def atomize(fragments: DataFrame) -> DataFrame:
     kind = F.col("fragment_kind")
     text, tool, signal = kind == "text", kind.isin("tool_call", "tool_result"), kind.isin(*SIGNALS)
     kept = fragments.where(text | tool | signal)
-    order = ["time_key", "seq_no", "blob_id", "ordinal", "fragment_id"]
+    order = ["time_key", "seq_no", "blob_id", "ordinal", "arrival", "fragment_id"]
     placed = with_position(
-        kept.withColumn("blob_id", F.coalesce("blob_id", F.lit(""))).withColumn("ordinal", F.coalesce("ordinal", F.lit(0))),
+        kept.na.fill("", ["blob_id"]).na.fill(0, ["ordinal", "arrival"]),
         SESSION,
         order,
         [minute_chunk("time_key")],

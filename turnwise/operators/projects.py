@@ -241,7 +241,7 @@ def link_components(classified: DataFrame) -> DataFrame:
     """
     scoped = classified.where(F.col("linkage_scope").isNotNull())
     keys = F.transform("rules", lambda r: F.concat(F.col("linkage_scope"), F.lit("|"), r.key))
-    with_keys = scoped.withColumn("_keys", keys)
+    with_keys = materialize(scoped.withColumn("_keys", keys), "link-keys")
     sets = materialize(with_keys.select("_keys").distinct(), "key-sets")
     nodes = sets.select(F.explode("_keys").alias("node")).distinct()
     pairs = sets.where(F.size("_keys") > 1).select(F.col("_keys")[0].alias("a"), F.explode(F.slice("_keys", 2, 8)).alias("b"))
@@ -552,7 +552,7 @@ def linked_path_text(turns: DataFrame, sessions: DataFrame, projects: DataFrame)
 
 def link_snapshot(sessions: DataFrame, turns: DataFrame, observations: DataFrame, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """Projects, linked turns, sessions with their primary project and linked observations in one go."""
-    hydrated = hydrate_observations(observations, sessions)
+    hydrated = materialize(hydrate_observations(observations, sessions), "observations")
     components = materialize(link_components(classify(hydrated)), "components")
     confidence = materialize(project_confidence(components, primary_rule(components)), "projects")
     projects = project_identity(components, confidence).drop("component")

@@ -279,7 +279,7 @@ def resolve_refs(refs: DataFrame, entities: DataFrame, aliases: list[str], prefi
 
 def common_prefix(left: Column, right: Column) -> Column:
     """Number of leading characters two strings share (0 where one is null)."""
-    size = F.least(F.length(left), F.length(right))
+    size = F.when(left.isNotNull() & right.isNotNull(), F.least(F.length(left), F.length(right)))
     first = F.filter(F.sequence(F.lit(1), size), lambda i: left.substr(F.lit(1), i) != right.substr(F.lit(1), i))
     return F.coalesce(F.when(size > 0, F.coalesce(F.get(first, F.lit(0)) - 1, size)), F.lit(0))
 

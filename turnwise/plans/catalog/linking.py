@@ -72,7 +72,8 @@ def hydrated(spark, sf_dir):
 
 
 def components(spark, sf_dir):
-    return materialize(project_ops.link_components(project_ops.classify(hydrated(spark, sf_dir))), "components")
+    observations = materialize(hydrated(spark, sf_dir), "observations")
+    return materialize(project_ops.link_components(project_ops.classify(observations)), "components")
 
 
 def snapshot(spark, sf_dir, overrides=None):

@@ -53,6 +53,7 @@ FRAGMENT = {
     "record_id": "string",
     "ordinal": "bigint",
     "seq_no": "bigint",
+    "arrival": "bigint",
     "fragment_kind": "string",
     "actor_kind": "string",
     "origin_kind": "string",
