@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise.operators import atoms as atom_ops
 from turnwise.operators import turns as turn_ops
@@ -112,9 +113,7 @@ def test_event_log_of_a_delegated_session(spark):
     assert json.loads(relation.relation)["parent_uuid"] == "p"
 
 
-@pytest.mark.parametrize(
-    "profile, platform, pointer, row, expected",
-    [
+SINGLE = [
         ("factory", "factory_droid", "settings", {"model": "x", "tokenUsage": {"inputTokens": 3}}, [("model_signal", None, "x"), ("token_usage_signal", None, None)]),
         ("factory", "factory_droid", None, {"type": "session_start", "title": "T", "cwd": "/c"}, [("session_meta", None, None), ("title_signal", None, "T"), ("workspace_signal", None, "/c")]),
         ("factory", "factory_droid", None, {"type": "message", "message": {"role": "user", "content": [{"type": "text", "text": "u"}]}}, [("text", "user", "u")]),
@@ -135,11 +134,22 @@ def test_event_log_of_a_delegated_session(spark):
         ("cron_runs", "openclaw", None, {"jobId": "j", "status": "ok", "summary": "ran", "runAtMs": 1704067200000}, [("title_signal", None, "cron:j"), ("session_relation", None, None), ("text", "system", "ran")]),
         ("generic", "codebuddy", None, {"type": "skip_run", "role": "user", "content": "x"}, []),
         ("generic", "cursor_agent", None, {"type": "turn_ended", "role": "user", "content": "x"}, []),
-    ],
-)
-def test_single_records(spark, profile, platform, pointer, row, expected):
-    fragments, _ = fragments_of(records(spark, platform, [row], pointer), profile)
-    assert kinds(fragments) == expected
+]
+
+
+@pytest.mark.parametrize("profile", sorted({case[0] for case in SINGLE}))
+def test_single_records(spark, profile):
+    """All single-record cases of a profile in one run, one record each."""
+    cases = [case for case in SINGLE if case[0] == profile]
+    parts = [records(spark, case[1], [case[3]], case[2], session=f"c{i}").withColumn("ordinal", F.lit(i)) for i, case in enumerate(cases)]
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    fragments, _ = fragments_of(everything.coalesce(1), profile)
+    found = [[] for _ in cases]
+    for r in fragments.orderBy("ordinal", "arrival").collect():
+        found[r.ordinal].append((r.fragment_kind, r.actor_kind, r.text or r.tool_name or r.tool_output or r.model or r.path or r.title))
+    assert found == [case[4] for case in cases]
 
 
 def test_records_to_turns(spark):
