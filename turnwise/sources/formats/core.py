@@ -45,7 +45,10 @@ def no_items() -> Column:
 
 def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split records into parsed ones (column ``v``) and the rest, which become unknown fragments with an audit each."""
-    tried = complete(records, RECORD).withColumn("v", F.try_parse_json("raw_json"))
+    # The parser stops behind the first value; inside brackets anything that follows it is an error or a second element.
+    bracketed = F.try_parse_json(F.concat(F.lit("["), F.col("raw_json"), F.lit("]")))
+    tried = complete(records, RECORD).withColumn("_values", F.try_variant_get(bracketed, "$", "array<variant>"))
+    tried = tried.withColumn("v", F.when(F.size("_values") == 1, F.get("_values", F.lit(0)))).drop("_values")
     good = tried.where(jsonv.is_object(F.col("v"))).drop("raw_json")
     bad = tried.where(~jsonv.is_object(F.col("v")))
     unknown = bad.withColumns({"fragment_kind": F.lit("unknown"), "seq_no": F.lit(0), "arrival": F.lit(0), "time_key": F.col("observed_at"), "detail": F.col("raw_json")})
