@@ -97,8 +97,10 @@ def with_running(
     backward = Window.partitionBy(*chunk_key).orderBy(*[F.desc(name) for name in order])
     local = chunked.select("*", *[_over(spec, forward, backward).alias(f"_local_{name}") for name, spec in specs.items()])
 
-    summary = chunked.groupBy(*keys, *levels).agg(
-        *[_summary(spec, order).alias(f"_part_{name}") for name, spec in specs.items()]
+    # A fine chunk belongs to the coarse one it starts in, so the levels need not divide each other.
+    summary = chunked.groupBy(*chunk_key).agg(
+        *[F.min(level).alias(level) for level in levels[1:]],
+        *[_summary(spec, order).alias(f"_part_{name}") for name, spec in specs.items()],
     )
     inherited = {name: Running(spec.how, F.col(f"_part_{name}"), False) for name, spec in specs.items()}
     if len(levels) == 1:
