@@ -14,7 +14,7 @@ def records(spark, platform, rows, pointer=None, path="/logs/a.jsonl", session="
         for i, r in enumerate(rows)
     ]
     names = "source_id string, source_platform string, blob_id string, origin_path string, session_ref string, record_id string, ordinal long, pointer string, observed_at string, raw_json string"
-    return spark.createDataFrame(data, names)
+    return spark.createDataFrame(data, names).coalesce(1)
 
 
 def kinds(fragments):
