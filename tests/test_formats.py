@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from turnwise.operators import atoms as atom_ops
 from turnwise.operators import turns as turn_ops
+from turnwise.session import materialize
 from turnwise.sources.formats import fragments_of
 
 
@@ -160,6 +161,7 @@ def test_records_to_turns(spark):
         {"role": "assistant", "content": [{"type": "text", "text": "second"}]},
     ]
     fragments, _ = fragments_of(records(spark, "lobechat", rows), "generic")
-    tagged = turn_ops.tag_groups(atom_ops.atomize(fragments))
+    atoms = materialize(atom_ops.atomize(materialize(fragments, "fragments")), "atoms")
+    tagged = materialize(turn_ops.tag_groups(atoms), "tagged")
     turns = turn_ops.turns_with_context(tagged).orderBy("group_index").collect()
     assert [(t.canonical_text, t.assistant_reply_count) for t in turns] == [("one", 1), ("two", 1)]
