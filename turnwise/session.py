@@ -28,7 +28,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def _shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        # Only single-machine sessions (tests) come here: a cluster names the folder in spark.checkpoint.dir.
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        # Driver and executors are one process here, so a folder of this machine is shared by all of them.
         root = tempfile.mkdtemp(prefix="turnwise-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
