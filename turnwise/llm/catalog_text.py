@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnwise.llm.common import LOWER, UPPER, source_table
 from turnwise.llm.decontaminate import WINDOW, WORDS_SQL, decontaminate
 from turnwise.llm.registry import query
+from turnwise.llm.simhash import near_duplicates
 
 _CUT = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS_SQL}')"
 
@@ -34,3 +35,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 @query("op10_decontaminate", DECONTAMINATE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(source_table(spark, sf_dir, "documents"), source_table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(source_table(spark, sf_dir, "documents"))
