@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm.common import LOWER, UPPER, source_table
 from turnwise.llm.decontaminate import WINDOW, WORDS_SQL, decontaminate
+from turnwise.llm.quotes import reply_conversations
 from turnwise.llm.registry import query
 from turnwise.llm.simhash import near_duplicates
 
@@ -40,3 +41,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(source_table(spark, sf_dir, "documents"))
+
+
+@query("op7_reply_order")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_conversations(source_table(spark, sf_dir, "conversations"))
