@@ -18,7 +18,7 @@ from turnwise.llm.sharding import placed
 from turnwise.llm.simhash import keep_first
 
 #: A document whose language is known with less than this calibrated probability is rejected.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

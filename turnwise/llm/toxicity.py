@@ -80,7 +80,7 @@ def _features_of(documents: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, l
 
 
 def _sketch(ids: np.ndarray) -> list[int]:
-    return np.sort(ids.astype(np.uint32) * np.uint32(0x9E3779B1))[:3].tolist()
+    return np.sort(ids.astype(np.uint32) * np.uint32(0x9E3779B1))[:12].tolist()
 
 
 def labelled_sample(labels: DataFrame) -> tuple[DataFrame, float]:
