@@ -47,9 +47,8 @@ BUILTIN_TEMPLATES = (
     MaskTemplate("mask-bearer-token", "regex", r"Bearer\s+[A-Za-z0-9._\-]{16,}", "Bearer Token", 11, _ALL),
 )
 PROMPT_BLOCK_IDS = tuple(t.template_id for t in BUILTIN_TEMPLATES[:8])
-# A masked prefix ends before the first of these, else after 4000 characters.
+# A masked prefix ends before the first of these, else with the text.
 PREFIX_ENDS = ("\n\n====", "\n\n---", "\n\nUser:", "\n\nHuman:", "\n\n# ")
-PREFIX_LIMIT = 4000
 
 SPAN_TYPE = "array<struct<start:int,end:int,template_id:string,label:string>>"
 SEGMENT_TYPE = "array<struct<type:string,content:string,mask_label:string,mask_char_count:int,mask_template_id:string,original_content:string>>"
@@ -65,7 +64,7 @@ def _prefix_end(text: str) -> int:
         at = text.find(mark)
         if at >= 0:
             return at
-    return min(len(text), PREFIX_LIMIT)
+    return len(text)
 
 
 def _accepted_spans(text: str, rules: list[tuple[MaskTemplate, re.Pattern | None]]) -> list[tuple]:
@@ -87,15 +86,19 @@ def _compiled(templates: list[MaskTemplate]) -> list[tuple[MaskTemplate, re.Patt
 
 
 def may_match(text: Column, templates: list[MaskTemplate]) -> Column:
-    """JVM-side test whether any rule can match; only such rows do work in Python."""
+    """JVM-side test whether any rule can match; only such rows do work in Python.
+
+    Blanks mean the same on both sides: Unicode blanks, and the four separators that only Python counts as blanks.
+    """
     guard = F.lit(False)
+    plain = F.translate(text, "\x1c\x1d\x1e\x1f", "    ")
     for t in templates:
         if t.match_type == "prefix":
             guard = guard | text.startswith(t.pattern)
         elif t.match_type == "contains":
             guard = guard | text.contains(t.pattern)
         else:
-            guard = guard | text.rlike(t.pattern)
+            guard = guard | plain.rlike("(?U)" + t.pattern)
     return guard
 
 

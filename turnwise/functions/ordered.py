@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(session).orderBy(pos)`` sends a whole session to on
 all rows, so the scan is done in two levels: rows are windowed inside bounded chunks of a session, each chunk is
 summarised to one row (with map-side combine), the summaries are windowed per session, and every row combines its local
 value with what its chunk inherits. A chunk expression must not decrease along the order; ``position_chunk`` bounds a
-chunk by row count, ``minute_chunk`` by time.
+chunk by row count where rows are numbered. Where they are not, ``with_running_ranged`` cuts the rows of all keys into
+ranges of about equal size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.session import materialize
+
 CHUNK_ROWS = 65_536
 
 
@@ -50,10 +53,6 @@ def position_chunk(pos: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(pos) / F.lit(rows))
 
 
-def minute_chunk(time_key: str) -> Column:
-    return F.substring(F.col(time_key), 1, 16)
-
-
 def _over(spec: Running, forward, backward) -> Column:
     window = backward if spec.how == "next" else forward
     frame = window.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
@@ -119,6 +118,25 @@ def with_running(
     )
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], chunks: list[Column], name: str = "pos") -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows cut into ranges of key and order, written once with the number of their range in ``_range``.
+
+    The bounds come from a sample of the rows, so that a range holds about its share of them whatever their keys and
+    times are; only rows equal in all of key and order must share one. Nulls come first, as in the windows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *keys, *order).select("*", F.spark_partition_id().alias("_range")), "ranges")
+
+
+def with_running_ranged(df: DataFrame, keys: list[str], order: list[str], **specs: Running) -> DataFrame:
+    """``with_running`` over ranges bounded in rows; the input is evaluated once and ``order`` may hold nulls.
+
+    Rows that come from ``ranged`` with the same key and order are scanned as they are, and keep their ``_range``.
+    """
+    cut = df if "_range" in df.columns else ranged(df, keys, order)
+    return with_running(cut, keys, order, ["_range"], **specs).select(*df.columns, *specs)
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """Dense zero-based position of each row within its key."""
-    return with_running(df, keys, order, chunks, **{name: running_sum(F.lit(1), inclusive=False)})
+    return with_running_ranged(df, keys, order, **{name: running_sum(F.lit(1), inclusive=False)})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import timekeys
 from turnwise.functions.ids import stable_id
-from turnwise.functions.ordered import last_value, minute_chunk, position_chunk, running_sum, with_position, with_running
+from turnwise.functions.ordered import last_value, position_chunk, running_sum, with_position, with_running
 from turnwise.schemas import ATOM, complete
 
 SESSION = ["source_id", "session_ref"]
@@ -27,7 +27,6 @@ def atomize(fragments: DataFrame) -> DataFrame:
         kept.na.fill("", ["blob_id"]).na.fill(0, ["ordinal", "arrival"]),
         SESSION,
         order,
-        [minute_chunk("time_key")],
     )
     atoms = placed.select(
         "*",

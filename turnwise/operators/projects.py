@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import paths, timekeys
 from turnwise.functions.bind import bind
 from turnwise.functions.ids import composite_key, stable_id
-from turnwise.functions.ordered import last_value, minute_chunk, next_value, with_running
+from turnwise.functions.ordered import last_value, next_value, with_running_ranged
 from turnwise.functions.text import optional
 from turnwise.operators.atoms import SESSION
 from turnwise.session import materialize
@@ -244,7 +244,7 @@ def link_components(classified: DataFrame) -> DataFrame:
     with_keys = materialize(scoped.withColumn("_keys", keys), "link-keys")
     sets = materialize(with_keys.select("_keys").distinct(), "key-sets")
     nodes = sets.select(F.explode("_keys").alias("node")).distinct()
-    pairs = sets.where(F.size("_keys") > 1).select(F.col("_keys")[0].alias("a"), F.explode(F.slice("_keys", 2, 8)).alias("b"))
+    pairs = sets.where(F.size("_keys") > 1).select(F.col("_keys")[0].alias("a"), F.explode(F.slice("_keys", F.lit(2), F.size("_keys"))).alias("b"))
     labels = connected_labels(pairs.distinct(), nodes)
     joined = with_keys.withColumn("node", F.get("_keys", F.lit(0))).join(labels, "node")
     return joined.withColumnRenamed("label", "component").drop("node", "_keys")
@@ -388,8 +388,8 @@ def linked_observations(hydrated: DataFrame, components: DataFrame, confidence:
 def link_turns(turns: DataFrame, observations: DataFrame, projects: DataFrame) -> DataFrame:
     """Link each turn to the latest linked observation of its session at or before its last activity, else the earliest.
 
-    The as-of lookup is one ordered scan over turns and observations of a session, chunked by minute; no pairs of turns
-    and observations are formed.
+    The as-of lookup is one ordered scan over turns and observations of a session, in ranges bounded by rows; no pairs of
+    turns and observations are formed. A turn without activity comes before all observations and gets the earliest.
     """
     seen = observations.where(F.col("project_id").isNotNull()).select(
         "session_ref",
@@ -405,11 +405,10 @@ def link_turns(turns: DataFrame, observations: DataFrame, projects: DataFrame) -
         F.col("turn_id").alias("_id"),
         F.lit(None).cast("string").alias("_observed"),
     )
-    found = with_running(
+    found = with_running_ranged(
         seen.unionByName(asked),
         ["session_ref"],
         ["_at", "_kind", "_id"],
-        [minute_chunk("_at")],
         _before=last_value(F.col("_observed")),
         _after=next_value(F.col("_observed")),
     ).where(F.col("_kind") == 1)

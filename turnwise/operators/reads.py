@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import paths, timekeys
-from turnwise.functions.ordered import last_value, next_value, running_sum, with_running
+from turnwise.functions.ordered import last_value, next_value, ranged, running_sum, with_running_ranged
 from turnwise.functions.text import optional
 from turnwise.operators.usage import model_summary, session_usage
+from turnwise.session import materialize
 
 UNLINKED_KEY = "__unlinked__"
 CODEX = "codex"
@@ -237,41 +238,59 @@ def lookup_key(value: Column) -> Column:
     return F.lower(F.coalesce(paths.path_identity(value), F.trim(value), F.lit("")))
 
 
-def resolve_refs(refs: DataFrame, entities: DataFrame, aliases: list[str], prefix_aliases: list[str] = (), prefix_min: int = 1) -> DataFrame:
+def resolve_refs(refs: DataFrame, entities: DataFrame, aliases: list[str], prefix_aliases: list[str] = ()) -> DataFrame:
     """Resolve short references against entities ``(id, alias columns)``.
 
     An exact id wins; else a unique alias; else a unique id prefix or prefix-alias. Several hits are ``ambiguous``, none
-    ``not_found``, a blank reference never matches. References are joined by equality: aliases by their spelling, and
-    prefixes by the first ``prefix_min`` characters, which every matching id shares.
+    ``not_found``, a blank reference never matches. Everything is joined by equality, and on spellings that are counted
+    first: one row per alias, and one per prefix, cut to the lengths that occur among the references still open. So rows
+    grow with entities times those lengths, and never with references times entities.
     """
     asked = refs.select("ref").distinct().select("ref", lookup_key(F.col("ref")).alias("key")).where(F.col("key") != "")
 
-    def keep(found: DataFrame, rank: int) -> DataFrame:
-        return found.select("ref", F.col("id").alias("hit"), F.lit(rank).alias("rank")).distinct()
-
-    ids = entities.select("id")
-    exact = keep(asked.join(ids, asked["ref"] == ids["id"]), 0)
-    named = entities.select("id", F.explode(F.array(*[lookup_key(F.col(a)) for a in aliases])).alias("key")) if aliases else None
-    by_id = keep(asked.join(ids, asked["ref"] == ids["id"]), 1)
-    by_alias = by_id if named is None else by_id.unionByName(keep(asked.join(named.where(F.col("key") != ""), "key"), 1)).distinct()
-
-    def prefixed(spelling: Column, key: str) -> DataFrame:
-        starts = entities.select("id", spelling.alias("spelling")).withColumn("_head", F.substring("spelling", 1, prefix_min))
-        wanted = asked.where(F.length(key) >= prefix_min).withColumn("_head", F.substring(key, 1, prefix_min))
-        return keep(wanted.join(starts, "_head").where(F.col("spelling").startswith(F.col(key))), 2)
-
-    by_prefix = prefixed(F.col("id"), "ref")
-    for alias in prefix_aliases:
-        by_prefix = by_prefix.unionByName(prefixed(lookup_key(F.col(alias)), "key"))
-    hits = exact.unionByName(by_alias).unionByName(by_prefix.distinct())
-    # Only counts and the two smallest ids are kept per reference; candidates of an ambiguous one stay rows of the input.
-    per_rank = hits.groupBy("ref", "rank").agg(F.count("*").alias("n"), F.min("hit").alias("first_id"))
-    best = per_rank.groupBy("ref").agg(F.min_by(F.struct("n", "first_id"), "rank").alias("best"), F.min("rank").alias("rank"))
+    def counted(hits: DataFrame, *by: str) -> DataFrame:
+        """(spelling, id) rows to the number of ids and the smallest of each spelling."""
+        return hits.distinct().groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+    own = entities.select("id").distinct().select(F.col("id").alias("ref"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("first_id"))
+    exact = asked.join(own, "ref").select("ref", "n", "first_id")
+    rest = asked.join(exact, "ref", "left_anti")
+    by_alias = exact.limit(0)
+    if aliases:
+        named = entities.select("id", F.explode(F.array(*[lookup_key(F.col(a)) for a in aliases])).alias("key")).where(F.col("key") != "")
+        by_alias = rest.join(counted(named, "key"), "key").select("ref", "n", "first_id")
+        rest = rest.join(by_alias, "ref", "left_anti")
+
+    # An id is compared with a reference as it is written, an alias with its lookup spelling. Ids that fit in both ways
+    # are counted by both heads and taken off once.
+    rest = materialize(rest, "open-refs")
+    lengths = [(r[0], r[1]) for r in rest.select(F.length("ref"), F.length("key")).distinct().collect()]
+
+    def heads(text: Column, sizes: list[int]) -> Column:
+        cut = [F.when(F.length(text) >= n, text.substr(F.lit(1), F.lit(n))) for n in sorted(set(sizes))]
+        return F.explode(F.array_compact(F.array(*cut)))
+
+    by_prefix = exact.limit(0)
+    if lengths:
+        by_id = counted(entities.select("id", heads(F.col("id"), [n for n, _ in lengths]).alias("ref")).join(rest.select("ref"), "ref", "left_semi"), "ref")
+        by_prefix = by_id
+    if lengths and prefix_aliases:
+        spelled = entities.select("id", F.explode(F.array(*[lookup_key(F.col(a)) for a in prefix_aliases])).alias("alias")).where(F.col("alias") != "").distinct()
+        keys = rest.select("key").distinct()
+        other = counted(spelled.select("id", heads(F.col("alias"), [n for _, n in lengths]).alias("key")).join(keys, "key", "left_semi"), "key")
+        fits = [F.when((F.length("id") >= i) & (F.length("alias") >= a), F.struct(F.substring("id", 1, i).alias("ref"), F.substring("alias", 1, a).alias("key"))) for i, a in lengths]
+        both = spelled.select("id", F.inline(F.array_compact(F.array(*fits)))).join(rest, ["ref", "key"], "left_semi")
+        twice = counted(both, "ref", "key").select("ref", F.col("n").alias("twice"))
+        sides = rest.join(by_id.select("ref", F.col("n").alias("n_id"), F.col("first_id").alias("one")), "ref", "left")
+        sides = sides.join(other.select("key", F.col("n").alias("n_alias"), F.col("first_id").alias("two")), "key", "left").join(twice, "ref", "left")
+        total = F.coalesce("n_id", F.lit(0)) + F.coalesce("n_alias", F.lit(0)) - F.coalesce("twice", F.lit(0))
+        by_prefix = sides.select("ref", total.alias("n"), F.least("one", "two").alias("first_id")).where("n > 0")
+    best = exact.unionByName(by_alias).unionByName(by_prefix)
     joined = refs.select("ref").distinct().join(best, "ref", "left")
-    n = F.col("best.n")
+    n = F.col("n")
     return joined.select(
         "ref",
-        F.when(n == 1, F.col("best.first_id")).alias("id"),
+        F.when(n == 1, F.col("first_id")).alias("id"),
         F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_found").alias("status"),
         F.coalesce(n, F.lit(0)).alias("candidates"),
     )
@@ -284,16 +303,13 @@ def common_prefix(left: Column, right: Column) -> Column:
     return F.coalesce(F.when(size > 0, F.coalesce(F.get(first, F.lit(0)) - 1, size)), F.lit(0))
 
 
-def display_refs(ids: DataFrame, minimum: int = 8, buckets: tuple[int, ...] = (12, 6, 3)) -> DataFrame:
+def display_refs(ids: DataFrame, minimum: int = 8) -> DataFrame:
     """Shortest prefix of each id, at least ``minimum`` long, that no other id starts with; the whole id if there is none.
 
-    In sorted order only the neighbours matter. The order is scanned bucket by bucket (leading characters, from fine to
-    coarse), so no task sorts all ids.
+    In sorted order only the neighbours matter. The order is scanned in ranges bounded by rows, so ids that begin alike
+    do not meet in one task.
     """
-    levels = [F.substring("id", 1, size) for size in buckets]
-    near = with_running(
-        ids.select("id"), [], ["id"], levels, _before=last_value(F.col("id"), False), _after=next_value(F.col("id"), False)
-    )
+    near = with_running_ranged(ids.select("id"), [], ["id"], _before=last_value(F.col("id"), False), _after=next_value(F.col("id"), False))
     shared = F.greatest(common_prefix(F.col("id"), F.col("_before")), common_prefix(F.col("id"), F.col("_after")))
     size = F.greatest(F.lit(minimum), shared + 1)
     return near.select("id", F.col("id").substr(F.lit(1), size).alias("display_ref"))
@@ -302,7 +318,7 @@ def display_refs(ids: DataFrame, minimum: int = 8, buckets: tuple[int, ...] = (1
 def session_labels(sessions: DataFrame) -> DataFrame:
     """Session titles, prefixed with the shortest unique native reference where several sessions share one.
 
-    Uniqueness holds within a title; the scan key is the title, its buckets the leading characters of the reference.
+    Uniqueness holds within a title; titles and references are scanned in ranges bounded by rows.
     """
     base = F.coalesce(optional(F.col("title")), "source_session_id", "session_ref")
     labelled = sessions.select("session_ref", "source_platform", "source_session_id", base.alias("base")).withColumn("key", F.lower("base"))
@@ -312,11 +328,10 @@ def session_labels(sessions: DataFrame) -> DataFrame:
     def shortest(df: DataFrame, ref: Column) -> DataFrame:
         # A reference that another one extends has no unique prefix: every prefix of it also starts the other.
         order = df.select("key", "session_ref", ref.alias("ref")).where(F.col("ref").isNotNull())
-        near = with_running(
+        near = with_running_ranged(
             order,
             ["key"],
             ["ref", "session_ref"],
-            [F.substring("ref", 1, 12), F.substring("ref", 1, 6)],
             _before=last_value(F.col("ref"), False),
             _after=next_value(F.col("ref"), False),
         )
@@ -335,18 +350,17 @@ def session_labels(sessions: DataFrame) -> DataFrame:
 def session_runs(turns: DataFrame) -> DataFrame:
     """Contiguous runs of one session in the turn list (newest first), with the session's number of listed turns.
 
-    The list is scanned by minute and day, not in one task.
+    The list is cut once into ranges bounded by rows, and both scans run over them. Turns without a time come last.
     """
+    last = F.lit(1 << 62)
     newest_first = turns.select(
-        "turn_id", "session_ref", (-timekeys.millis(F.col("submission_started_at"))).alias("_at"), (-timekeys.millis(F.col("created_at"))).alias("_made")
+        "turn_id", "session_ref", F.coalesce(-timekeys.millis(F.col("submission_started_at")), last).alias("_at"), F.coalesce(-timekeys.millis(F.col("created_at")), last).alias("_made")
     )
     order = ["_at", "_made", "turn_id"]
-    levels = [F.floor(F.col("_at") / 60_000), F.floor(F.col("_at") / 86_400_000)]
-    before = with_running(newest_first, [], order, levels, _before=last_value(F.col("session_ref"), False))
+    cut = ranged(newest_first, [], order)
+    before = with_running_ranged(cut, [], order, _before=last_value(F.col("session_ref"), False))
     opens = (F.col("_before").isNull() | (F.col("_before") != F.col("session_ref"))).cast("bigint")
-    numbered = with_running(
-        before.withColumn("_opens", opens), [], order, levels, run=running_sum(F.col("_opens")), position=running_sum(F.lit(1), inclusive=False)
-    )
+    numbered = with_running_ranged(before.withColumn("_opens", opens), [], order, run=running_sum(F.col("_opens")), position=running_sum(F.lit(1), inclusive=False))
     runs = numbered.groupBy("run", "session_ref").agg(F.min("position").alias("first_index"), F.count("*").alias("run_length"))
     visible = turns.groupBy("session_ref").agg(F.count("*").alias("visible_turns"))
     return runs.join(visible, "session_ref")

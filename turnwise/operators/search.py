@@ -29,7 +29,7 @@ def search_terms(query: str | None) -> list[str]:
 
 
 def search_candidates(turns: DataFrame, sessions: DataFrame | None = None, observations: DataFrame | None = None) -> DataFrame:
-    """Turns with the text to search: bounded canonical text, and every path known for the turn.
+    """Turns with the text to search: the whole canonical text, and every path known for the turn.
 
     Path fields of a session's observations are made distinct (with map-side combine) before they are joined to text.
     """
@@ -50,7 +50,7 @@ def search_candidates(turns: DataFrame, sessions: DataFrame | None = None, obser
     parts = F.filter(F.array_compact(F.array(*path_parts)), lambda p: p != "")
     return turns.withColumns(
         {
-            "canonical_text": text.bound_text(F.coalesce("canonical_text", F.lit(""))),
+            "canonical_text": F.coalesce("canonical_text", F.lit("")),
             "path_text": F.nullif(F.array_join(parts, " "), F.lit("")),
         }
     ).drop(*extra)

@@ -25,6 +25,8 @@ BOUND = """bounded AS (SELECT * EXCLUDE (text), CASE WHEN octet_length(encode(te
         list_aggregate(list_transform(list_filter(list_zip(string_split(text, ''), range(1, length(text) + 1)),
           lambda z: octet_length(encode(left(text, CAST(z[2] AS BIGINT)))) <= 16370), lambda z: z[1]), 'string_agg', '') || '...[truncated]' END AS canonical_text FROM docs)"""
 
+WHOLE = "bounded AS (SELECT * EXCLUDE (text), text AS canonical_text FROM docs)"
+
 
 def candidates(spark, sf_dir):
     return search.search_candidates(bridge.document_turns(spark, sf_dir))
@@ -48,26 +50,25 @@ def _hits_sql(terms: list[str]) -> str:
 
 @query("search_text_bound", f"WITH {DOCS}, {BOUND} SELECT turn_id, octet_length(encode(canonical_text)) AS bytes, md5(canonical_text) AS digest FROM bounded")
 def search_text_bound(spark, sf_dir):
-    return candidates(spark, sf_dir).select(
-        "turn_id", F.octet_length("canonical_text").cast("bigint").alias("bytes"), F.md5("canonical_text").alias("digest")
-    )
+    cut = bridge.document_turns(spark, sf_dir).select("turn_id", text.bound_text(F.col("canonical_text")).alias("cut"))
+    return cut.select("turn_id", F.octet_length("cut").cast("bigint").alias("bytes"), F.md5("cut").alias("digest"))
 
 
 @query(
     "search_match",
-    f"WITH {DOCS}, {BOUND} SELECT turn_id FROM bounded WHERE {_match('canonical_text', ['the', 'data'])} OR {_match('path_text', ['the', 'data'])}",
+    f"WITH {DOCS}, {WHOLE} SELECT turn_id FROM bounded WHERE {_match('canonical_text', ['the', 'data'])} OR {_match('path_text', ['the', 'data'])}",
 )
 def search_match(spark, sf_dir):
     return candidates(spark, sf_dir).where(search.search_match(search.search_terms(" The  DATA the "))).select("turn_id")
 
 
-@query("search_highlights", f"WITH {DOCS}, {BOUND}, {_hits_sql(['data'])} SELECT turn_id, CAST(highlight_count AS BIGINT) AS highlight_count FROM hits")
+@query("search_highlights", f"WITH {DOCS}, {WHOLE}, {_hits_sql(['data'])} SELECT turn_id, CAST(highlight_count AS BIGINT) AS highlight_count FROM hits")
 def search_highlights(spark, sf_dir):
     hits = search.search_hits(candidates(spark, sf_dir), "data", NOW_MS)
     return hits.select("turn_id", F.size("highlights").cast("bigint").alias("highlight_count"))
 
 
-@query("search_relevance", f"WITH {DOCS}, {BOUND}, {_hits_sql(['data'])} SELECT turn_id, round(relevance_score, 6) AS relevance_score FROM hits")
+@query("search_relevance", f"WITH {DOCS}, {WHOLE}, {_hits_sql(['data'])} SELECT turn_id, round(relevance_score, 6) AS relevance_score FROM hits")
 def search_relevance(spark, sf_dir):
     hits = search.search_hits(candidates(spark, sf_dir), "data", NOW_MS)
     return hits.select("turn_id", F.round("relevance_score", 6).alias("relevance_score"))
@@ -75,7 +76,7 @@ def search_relevance(spark, sf_dir):
 
 @query(
     "search_page",
-    f"""WITH {DOCS}, {BOUND}, {_hits_sql(['data'])}
+    f"""WITH {DOCS}, {WHOLE}, {_hits_sql(['data'])}
     SELECT turn_id, round(relevance_score, 6) AS relevance_score FROM hits ORDER BY hits.relevance_score DESC, submission_started_at DESC, turn_id LIMIT 11 OFFSET 3""",
 )
 def search_page(spark, sf_dir):
@@ -85,7 +86,7 @@ def search_page(spark, sf_dir):
 
 @query(
     "search_total",
-    f"""WITH {DOCS}, {BOUND} SELECT count(*) AS total FROM bounded WHERE ({_match('canonical_text', ['data'])} OR {_match('path_text', ['data'])})
+    f"""WITH {DOCS}, {WHOLE} SELECT count(*) AS total FROM bounded WHERE ({_match('canonical_text', ['data'])} OR {_match('path_text', ['data'])})
     AND project_id = 'p1' AND link_state IN ('committed', 'candidate') AND value_axis = 'active'""",
 )
 def search_total(spark, sf_dir):
@@ -100,7 +101,7 @@ def _document_projects(spark, sf_dir):
 
 @query(
     "search_groups",
-    f"""WITH {DOCS}, {BOUND}, {_hits_sql(['data'])}
+    f"""WITH {DOCS}, {WHOLE}, {_hits_sql(['data'])}
     SELECT CASE WHEN project_id IS NULL OR project_id = 'p3' THEN '__unlinked__' ELSE project_id END AS project_key,
            CASE WHEN project_id IS NULL OR project_id = 'p3' THEN 'Unlinked' ELSE 'Project ' || project_id END AS project_name,
            count(*) AS hits, arg_max(turn_id, (highlight_count, said_at)) AS best_turn_id
@@ -354,7 +355,7 @@ def resolve_refs(spark, sf_dir):
     entities = bridge.usage_sessions(spark, sf_dir).select(
         F.col("session_ref").alias("id"), "source_session_id", "title", "working_directory"
     )
-    return reads.resolve_refs(_refs(spark, sf_dir), entities, ["source_session_id", "title", "working_directory"], ["source_session_id"], prefix_min=3)
+    return reads.resolve_refs(_refs(spark, sf_dir), entities, ["source_session_id", "title", "working_directory"], ["source_session_id"])
 
 
 @query(

@@ -249,10 +249,48 @@ def canonical_text(spark, sf_dir):
     return shown.select("doc_id", F.md5(masks.canonical_text(F.col("segments"))).alias("digest"))
 
 
-@query("leak_scan", f"SELECT doc_id, 'email address' AS label FROM documents WHERE regexp_matches(text, '{MAIL}')")
+# The label, the allowed form (taken out first, since this SQL has no lookahead), and what must not be left.
+LEAKS = (
+    ("unexpected home path", "/Users/mock_user/", """/Users/[^/\\s"')]+/"""),
+    ("unsanitized git forge host", None, r"\bgitea\.[A-Za-z0-9.-]+\b"),
+    ("unsanitized temp root", "/var/folders/mock/", "/var/folders/"),
+    ("unsanitized launchd socket", r"/private/tmp/com\.apple\.launchd\.mock/", r"/private/tmp/com\.apple\.launchd\."),
+    ("unsanitized vscode git socket", r"vscode-git-mock\.sock", "vscode-git-[A-Za-z0-9]+"),
+    ("email address", None, MAIL),
+    ("GitHub token", None, r"\bghp_[A-Za-z0-9]{20,}\b"),
+    ("OpenAI-style token", None, r"\bsk-[A-Za-z0-9]{20,}\b"),
+    ("authorization header", None, r"Authorization:\s+Bearer [A-Za-z0-9._-]{16,}"),
+    ("bearer token", None, "Bearer [A-Za-z0-9._-]{16,}"),
+    ("unsanitized shell integration nonce", None, '"(?:shellIntegrationNonce|VSCODE_NONCE|nonce)":"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"'),
+    ("real username", None, "ouea"),
+    ("real GitHub path", None, r"github\.com/ouea"),
+)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# Documents hold mail addresses only, so one text in two gets a leak (or an allowed form) of another kind behind it.
+LEAK_SAMPLES = (
+    "see /Users/someone/x", "see /Users/mock_user/x", "host gitea.corp.example", "/private/var/folders/ab", "/var/folders/mock/x", "/private/tmp/com.apple.launchd.a1/L",
+    "vscode-git-a1b2.sock", "vscode-git-mock.sock", "ghp_" + "a1" * 12, "sk-" + "b2" * 12, "Authorization:  Bearer " + "c" * 20, "Bearer ${token}",
+    '"nonce":"01234567-89ab-cdef-0123-456789abcdef"', "https://github.com/ouea/x",
+)
+_SAMPLES_SQL = "[" + ", ".join(_quoted(x) for x in LEAK_SAMPLES) + "]"
+LEAK_SQL = f"WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_SAMPLES_SQL}[CAST(doc_id // 2 % {len(LEAK_SAMPLES)} AS INT) + 1] ELSE '' END AS text FROM documents) " + " UNION ALL ".join(
+    f"SELECT doc_id, {_quoted(label)} AS label FROM d WHERE regexp_matches({f'regexp_replace(text, {_quoted(allowed)}, {_quoted(chr(32))}, {_quoted(chr(103))})' if allowed else 'text'}, {_quoted(pattern)})"
+    for label, allowed, pattern in LEAKS
+)
+
+
+@query("leak_scan", LEAK_SQL)
 def leak_scan(spark, sf_dir):
-    found = quality.leak_scan(bridge.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.where(F.col("label") == "email address")
+    samples = F.array(*[F.lit(x) for x in LEAK_SAMPLES])
+    sample = F.get(samples, (F.floor(F.col("doc_id") / 2) % len(LEAK_SAMPLES)).cast("int"))
+    docs = bridge.table(spark, sf_dir, "documents")
+    leaking = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), sample)).otherwise(F.col("text")).alias("text"))
+    return quality.leak_scan(leaking, "doc_id", "text", private_names=("ouea",))
 
 
 # --- sessions --------------------------------------------------------------------------------------------------------
