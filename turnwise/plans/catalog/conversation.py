@@ -14,20 +14,20 @@ from turnwise.sources import bridge
 
 def atoms_sql(gaps: bool = False) -> str:
     origin = "WHEN role = 'user' AND length(text) % 5 = 0 THEN 'injected_user_shaped' " if gaps else ""
-    where = "WHERE NOT (role = 'assistant' AND (conv_id + turn) % 3 = 0)" if gaps else ""
+    visible = "NOT (role = 'assistant' AND (conv_id + turn) % 3 = 0)" if gaps else "true"
     return f"""
     atoms AS (
       SELECT 'sess:conv:' || conv_id AS session_ref, turn AS pos, 'a:' || conv_id || ':' || turn AS atom_id, role AS actor_kind,
              CASE {origin}WHEN role = 'user' THEN 'user_authored' WHEN role = 'assistant' THEN 'assistant_authored'
                   ELSE 'source_instruction' END AS origin_kind,
              strftime(epoch_ms(1704067200000 + conv_id * 3600000 + turn * 60000), '%Y-%m-%dT%H:%M:%S.%gZ') AS time_key,
-             text, CASE WHEN role = 'assistant' THEN 'm' || (conv_id % 3) END AS model
-      FROM conversations {where})"""
+             text, CASE WHEN role = 'assistant' THEN 'm' || (conv_id % 3) END AS model, {visible} AS visible
+      FROM conversations)"""
 
 
 GROUPS_SQL = """
-    c1 AS (SELECT *, actor_kind = 'user' AS is_user, actor_kind = 'assistant' AS is_reply,
-                  sum(CASE WHEN actor_kind = 'assistant' THEN 1 ELSE 0 END) OVER w AS replies_so_far,
+    c1 AS (SELECT *, actor_kind = 'user' AS is_user, actor_kind = 'assistant' AND visible AS is_reply,
+                  sum(CASE WHEN actor_kind = 'assistant' AND visible THEN 1 ELSE 0 END) OVER w AS replies_so_far,
                   sum(CASE WHEN actor_kind = 'user' THEN 1 ELSE 0 END) OVER w AS users_so_far
            FROM atoms WINDOW w AS (PARTITION BY session_ref ORDER BY pos)),
     c2 AS (SELECT *, is_user AND (users_so_far = 1 OR origin_kind = 'user_authored') AS is_anchor FROM c1),

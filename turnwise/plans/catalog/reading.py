@@ -142,10 +142,10 @@ PROJECTS = f"""{TURNS}, {SESSIONS},
     proj AS (SELECT project_id, count(*) FILTER (link_state = 'committed') AS committed_turn_count, count(*) FILTER (link_state = 'candidate') AS candidate_turn_count,
              count(DISTINCT session_ref) AS session_count, max(last_context_activity_at) AS activity, 'Project ' || project_id[2:] AS display_name,
              '/work/app' || project_id[2:] AS primary_workspace_path, CASE WHEN CAST(project_id[2:] AS INT) < 4 THEN 'committed' ELSE 'candidate' END AS linkage_state
-      FROM turns WHERE project_id IS NOT NULL AND project_id <> 'p6' GROUP BY project_id)"""
+      FROM turns WHERE project_id IS NOT NULL GROUP BY project_id)"""
 
 
-@query("list_sources", "SELECT event_type AS source_id, 'slot-' || event_type AS slot_id, count(*) AS total_turns FROM events WHERE event_type <> 'signup' GROUP BY 1")
+@query("list_sources", "SELECT event_type AS source_id, 'slot-' || event_type AS slot_id, count(*) AS total_turns FROM events GROUP BY 1")
 def list_sources(spark, sf_dir):
     return reads.list_sources(bridge.usage_sources(spark, sf_dir)).select("source_id", "slot_id", "total_turns")
 
@@ -153,7 +153,7 @@ def list_sources(spark, sf_dir):
 @query(
     "source_health",
     """SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'stale' ELSE 'healthy' END AS health, count(DISTINCT event_type) AS sources
-    FROM events WHERE event_type <> 'signup' GROUP BY 1""",
+    FROM events GROUP BY 1""",
 )
 def source_health(spark, sf_dir):
     return reads.source_health(bridge.usage_sources(spark, sf_dir))
@@ -285,7 +285,7 @@ def project_tree(spark, sf_dir):
     SELECT project_id AS key, display_name, linkage_state, primary_workspace_path AS workspace_path, session_count,
            committed_turn_count + candidate_turn_count AS turn_count, activity AS last_activity_at FROM proj
     UNION ALL SELECT '__unlinked__', 'Unlinked / candidate-only', 'unlinked', NULL, count(DISTINCT session_ref), count(*), arg_min(last_context_activity_at, submission_started_at)
-    FROM turns WHERE project_id IS NULL OR project_id = 'p6'""",
+    FROM turns WHERE project_id IS NULL""",
 )
 def project_entries(spark, sf_dir):
     return reads.project_entries(bridge.usage_projects(spark, sf_dir), bridge.usage_turns(spark, sf_dir))

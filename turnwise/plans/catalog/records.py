@@ -384,7 +384,7 @@ def audit(spark, sf_dir):
     sessions = bridge.usage_sessions(spark, sf_dir)
     user = F.substring("session_ref", 9, 9).cast("int")
     sessions = sessions.withColumn("turn_count", F.col("turn_count") + F.when(user % 10 == 0, 1).otherwise(0))
-    found = quality.audit(bridge.usage_sources(spark, sf_dir), bridge.usage_projects(spark, sf_dir), sessions, turns)
+    found = quality.audit(bridge.usage_sources(spark, sf_dir, known=False), bridge.usage_projects(spark, sf_dir, known=False), sessions, turns)
     return found.select("code", "entity", "id")
 
 
@@ -432,7 +432,7 @@ def stage_runs(spark, sf_dir):
     "source_status",
     f"""WITH {TURNS}, {SESSIONS}, n AS (SELECT source_id, count(*) AS t FROM turns WHERE source_id <> 'error' GROUP BY 1), s AS (SELECT source_id, count(*) AS c FROM sess GROUP BY 1)
     SELECT e.event_type AS source_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'healthy' END AS sync_status, coalesce(c, 0) AS total_sessions, coalesce(t, 0) AS total_turns
-    FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'signup') e LEFT JOIN n ON n.source_id = e.event_type LEFT JOIN s ON s.source_id = e.event_type""",
+    FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN n ON n.source_id = e.event_type LEFT JOIN s ON s.source_id = e.event_type""",
 )
 def source_status(spark, sf_dir):
     turns = bridge.usage_turns(spark, sf_dir).where(F.col("source_id") != "error")

@@ -94,8 +94,8 @@ def facts(spark, sf_dir, **filters):
     return usage_ops.usage_facts(
         bridge.usage_turns(spark, sf_dir),
         bridge.usage_sessions(spark, sf_dir),
-        bridge.usage_sources(spark, sf_dir),
-        bridge.usage_projects(spark, sf_dir),
+        bridge.usage_sources(spark, sf_dir, known=False),
+        bridge.usage_projects(spark, sf_dir, known=False),
         **filters,
     )
 

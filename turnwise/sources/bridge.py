@@ -23,12 +23,13 @@ def minutes_after_start(minutes: Column) -> Column:
 
 
 def conversation_atoms(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
-    """Atoms of ``conversations``; with ``gaps`` some replies are missing and some prompts count as injected."""
+    """Atoms of ``conversations``; with ``gaps`` some replies are hidden and some prompts count as injected."""
     rows = table(spark, sf_dir, "conversations")
     role = F.col("role")
     origin = F.when(role == "user", "user_authored").when(role == "assistant", "assistant_authored").otherwise("source_instruction")
+    hidden = F.lit(False)
     if gaps:
-        rows = rows.where(~((role == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 0)))
+        hidden = (role == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 0)
         origin = F.when((role == "user") & (F.length("text") % 5 == 0), "injected_user_shaped").otherwise(origin)
     key = F.concat(F.col("conv_id"), F.lit(":"), F.col("turn"))
     return complete(
@@ -44,7 +45,7 @@ def conversation_atoms(spark: SparkSession, sf_dir: str, gaps: bool = False) ->
             role.alias("actor_kind"),
             origin.alias("origin_kind"),
             F.lit("text").alias("content_kind"),
-            F.lit("show").alias("display_policy"),
+            F.when(hidden, "hide").otherwise("show").alias("display_policy"),
             timekeys.from_millis(F.lit(EPOCH_MS) + F.col("conv_id") * HOUR_MS + F.col("turn") * MINUTE_MS).alias("time_key"),
             "text",
             F.when(role == "assistant", F.concat(F.lit("m"), F.col("conv_id") % 3)).alias("model"),
@@ -167,12 +168,15 @@ def usage_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def usage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source per event type, with counts by which it is healthy, stale or failed."""
+def usage_sources(spark: SparkSession, sf_dir: str, known: bool = True) -> DataFrame:
+    """One source per event type, with counts by which it is healthy, stale or failed.
+
+    Without ``known``, one type has no source, for reads that have to cope with turns of a missing one.
+    """
     rows = events(spark, sf_dir)
     kind = F.col("event_type")
     per_type = rows.groupBy("event_type").agg(F.count("*").alias("total_turns"), F.countDistinct("user_id").alias("total_sessions"))
-    return per_type.where(kind != "signup").select(
+    return per_type.where(F.lit(known) | (kind != "signup")).select(
         kind.alias("source_id"),
         F.concat(F.lit("slot-"), kind).alias("slot_id"),
         F.initcap(kind).alias("display_name"),
@@ -184,9 +188,9 @@ def usage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def usage_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects named by ``usage_turns`` except one, so that a turn can point at a missing project."""
-    turns = usage_turns(spark, sf_dir).where(F.col("project_id").isNotNull() & (F.col("project_id") != "p6"))
+def usage_projects(spark: SparkSession, sf_dir: str, known: bool = True) -> DataFrame:
+    """Projects named by ``usage_turns``; without ``known`` one is left out, so that turns point at a missing project."""
+    turns = usage_turns(spark, sf_dir).where(F.col("project_id").isNotNull() & (F.lit(known) | (F.col("project_id") != "p6")))
     number = F.substring("project_id", 2, 9).cast("int")
     per_project = turns.groupBy("project_id").agg(
         F.count_if(F.col("link_state") == "committed").alias("committed_turn_count"),
