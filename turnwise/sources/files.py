@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import jsonv, timekeys
 from turnwise.functions.ids import stable_id
+from turnwise.functions.ordered import last_value, next_value, position_chunk, with_position, with_running
 from turnwise.schemas import RECORD, complete
 
 LINE_BREAK = r"\r\n|\r|\n"
@@ -107,8 +108,6 @@ def impute_ordinal_time(records: DataFrame, base: Column) -> DataFrame:
 
 def impute_fill_time(records: DataFrame, fallback: str) -> DataFrame:
     """Records without a time take the previous one's, else the next one's, else the fallback; scanned in chunks."""
-    from turnwise.functions.ordered import last_value, next_value, position_chunk, with_running
-
     seen = with_running(
         records, ["blob_id"], ["ordinal"], [position_chunk("ordinal")], _prev=last_value(F.col("observed_at")), _next=next_value(F.col("observed_at"))
     )
@@ -195,7 +194,8 @@ def appended_records(previous: DataFrame, current: DataFrame) -> DataFrame:
     file counts as grown if its head of the old size has the old checksum and the cut falls on a line end.
     """
     joined = current.join(previous.select("origin_path", "size_bytes", "checksum", "record_count"), "origin_path")
-    head = F.substring(F.col("content"), F.lit(1), F.col("size_bytes").cast("int"))
+    old = F.when(F.col("size_bytes") < (1 << 31), F.col("size_bytes").cast("int"))
+    head = F.substring(F.col("content"), F.lit(1), old)
     grown = (F.length("content") > F.col("size_bytes")) & (F.sha1(head) == F.col("checksum"))
     on_line = F.substring(F.col("content"), F.col("size_bytes").cast("int"), F.lit(1)).isin(b"\n", b"\r")
     rest = F.substring(F.col("content"), F.col("size_bytes").cast("int") + 1, F.lit(2147483647)).cast("string")
@@ -272,10 +272,10 @@ def from_kv_store(kv: DataFrame) -> DataFrame:
     """Bubbles of every composer row of a key-value store, in composer order: (composer_id, position, raw_json).
 
     A referenced bubble is looked up by equality under its possible keys, the first spelling that exists counting. A
-    composer none of whose references exist takes the bubbles filed under its own prefix.
+    composer none of whose references exist takes the bubbles filed under its own prefix, by their time and key.
     """
     composers = kv.where(F.col("storage_key").startswith("composerData:")).select(
-        F.substring("storage_key", 14, 1000).alias("composer_id"), F.try_parse_json("storage_value").alias("v")
+        F.col("storage_key").substr(F.lit(14), F.length("storage_key")).alias("composer_id"), F.try_parse_json("storage_value").alias("v")
     )
     headers = F.concat(jsonv.array(F.col("v"), "fullConversationHeadersOnly"), jsonv.array(F.col("v"), "conversation"))
     refs = composers.select("composer_id", F.posexplode(headers).alias("position", "ref")).withColumn("bubble", jsonv.string(F.col("ref"), "bubbleId", "id"))
@@ -291,24 +291,29 @@ def from_kv_store(kv: DataFrame) -> DataFrame:
     found = tried.join(kv, "storage_key").groupBy("composer_id", "position").agg(F.min_by("storage_value", "rank").alias("raw_json"))
     own = kv.where(F.col("storage_key").startswith("bubbleId:")).withColumn("composer_id", F.split_part("storage_key", F.lit(":"), F.lit(2)))
     orphan = composers.select("composer_id").join(found.select("composer_id").distinct(), "composer_id", "left_anti")
-    filed = own.join(orphan, "composer_id").select("composer_id", F.xxhash64("storage_key").alias("position"), F.col("storage_value").alias("raw_json"))
+    bubble = F.try_parse_json("storage_value")
+    made = F.coalesce(timekeys.coerce(jsonv.string(bubble, "createdAt")), timekeys.from_millis(jsonv.number(bubble, "createdAt")), F.lit("~"))
+    timed = own.join(orphan, "composer_id").select("composer_id", made.alias("made"), "storage_key", F.col("storage_value").alias("raw_json"))
+    filed = with_position(timed, ["composer_id"], ["made", "storage_key"], "position").select("composer_id", "position", "raw_json")
     return found.select("composer_id", F.col("position").cast("bigint"), "raw_json").unionByName(filed)
 
 
 def from_prompt_history(kv: DataFrame, base: str) -> DataFrame:
-    """User records of a workspace's prompt list (``generations``, else ``prompts``), one session per workspace.
+    """User records of a workspace's prompt list (``generations``, else ``prompts`` if no entry has a text), one session per workspace.
 
     ``kv`` gives (workspace, storage_key, storage_value); a prompt without a time gets the base time plus its number of seconds.
     """
     wanted = kv.where(F.col("storage_key").isin("aiService.generations", "aiService.prompts"))
-    best = wanted.groupBy("workspace").agg(F.min_by("storage_value", "storage_key").alias("doc"))
-    listed = best.select("workspace", F.posexplode(F.from_json("doc", "array<variant>")).alias("ordinal", "entry"))
+    entries = wanted.select("workspace", "storage_key", F.posexplode(F.from_json("storage_value", "array<variant>")).alias("ordinal", "entry"))
+    told = entries.withColumn("said", jsonv.string(F.col("entry"), "textDescription", "text", "prompt")).where(F.trim("said") != "")
+    # A list without a usable text does not count, so the next one is read.
+    first = told.groupBy("workspace").agg(F.min("storage_key").alias("storage_key"))
+    listed = told.join(first, ["workspace", "storage_key"])
     at = F.coalesce(
         timekeys.from_millis(jsonv.number(F.col("entry"), "unixMs")),
         timekeys.from_millis(timekeys.millis(F.lit(base)) + F.col("ordinal") * 1000),
     )
-    said = jsonv.string(F.col("entry"), "textDescription", "text")
-    return listed.select("workspace", "ordinal", at.alias("observed_at"), said.alias("text")).where(F.trim("text") != "")
+    return listed.select("workspace", "ordinal", at.alias("observed_at"), F.col("said").alias("text"))
 
 
 def read_thread_docs(spark: SparkSession, paths: str | list[str], source_id: str, platform: str = "amp") -> DataFrame:

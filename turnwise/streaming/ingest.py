@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnwise.functions.tokens import FIELDS
 from turnwise.sources.files import _plain_path, _records, lines_of
 
 
@@ -28,40 +29,40 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
     query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+DELTAS = {name: f"delta_{name.removesuffix('_tokens')}" for name in FIELDS}
+DELTA_SCHEMA = "session_ref string, counter string, pos long, " + ", ".join(f"{delta} long" for delta in DELTAS.values())
+
+
 class RunningPeaks(StatefulProcessor):
-    """Per (session, counter) the largest values so far; emits what each checkpoint adds to them."""
+    """Per (session, counter) the largest values so far; emits what each checkpoint adds to them.
+
+    ``counter`` is the baseline key: checkpoints of one running counter share it, and a new one starts from zero. A
+    counter that a checkpoint leaves out adds nothing and keeps its peak.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.peaks = handle.getValueState("peaks", "input_tokens long, output_tokens long")
+        self.peaks = handle.getValueState("peaks", ", ".join(f"{name} long" for name in FIELDS))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        top = self.peaks.get() if self.peaks.exists() else (0, 0)
-        top_in, top_out = int(top[0]), int(top[1])
+        top = [int(v) for v in self.peaks.get()] if self.peaks.exists() else [0] * len(FIELDS)
+        # What arrived for one counter in one trigger; the source's files per trigger bound it.
         batch = pd.concat(list(rows)).sort_values("pos")
-        given, made = batch["input_tokens"].astype("int64"), batch["output_tokens"].astype("int64")
-        before_in = given.cummax().shift(fill_value=0).clip(lower=top_in)
-        before_out = made.cummax().shift(fill_value=0).clip(lower=top_out)
-        self.peaks.update((int(max(top_in, given.max())), int(max(top_out, made.max()))))
-        yield pd.DataFrame(
-            {
-                "session_ref": key[0],
-                "counter": key[1],
-                "pos": batch["pos"].astype("int64"),
-                "delta_input": (given - before_in).clip(lower=0),
-                "delta_output": (made - before_out).clip(lower=0),
-            }
-        )
+        out = {"session_ref": key[0], "counter": key[1], "pos": batch["pos"].astype("int64")}
+        for i, name in enumerate(FIELDS):
+            seen = batch[name].fillna(0).astype("int64").cummax().clip(lower=top[i])
+            out[DELTAS[name]] = seen - seen.shift(fill_value=top[i])
+            top[i] = int(seen.iloc[-1])
+        self.peaks.update(tuple(top))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-DELTA_SCHEMA = "session_ref string, counter string, pos long, delta_input long, delta_output long"
-
-
 def stream_usage_deltas(checkpoints: DataFrame) -> DataFrame:
-    """Increments of running counters over appended checkpoints (session_ref, counter, pos, input_tokens, output_tokens)."""
-    keyed = checkpoints.groupBy("session_ref", "counter")
+    """Increments of running counters over appended checkpoints (session_ref, counter, pos, and any of the usage fields)."""
+    given = [F.col(name).cast("long") if name in checkpoints.columns else F.lit(None).cast("long").alias(name) for name in FIELDS]
+    keyed = checkpoints.select("session_ref", "counter", "pos", *given).groupBy("session_ref", "counter")
     return keyed.transformWithStateInPandas(
         statefulProcessor=RunningPeaks(), outputStructType=DELTA_SCHEMA, outputMode="Append", timeMode="None"
     )
