@@ -79,7 +79,7 @@ def edges_spawned_from(atoms: DataFrame) -> DataFrame:
 
 
 # Words that do not count when two prompts are compared.
-COMMON_WORDS = frozenset("the and for with from that this into onto about following established project".split())
+COMMON_WORDS = frozenset(("the", "and", "for", "with", "from", "that", "this", "into", "onto", "about", "following", "established", "project"))
 VARIANT_GAP_MS = 10 * 60 * 1000
 
 

@@ -147,6 +147,7 @@ def hydrate_observations(observations: DataFrame, sessions: DataFrame) -> DataFr
 
 def is_weak_path(path: Column) -> Column:
     """Scratch directories say little about a project."""
+    # The folders that count as scratch.
     low = F.lower(path)
     last = F.coalesce(paths.basename(low), F.lit(""))
     return (
@@ -288,6 +289,7 @@ def project_confidence(components: DataFrame, primary: DataFrame) -> DataFrame:
     )
     two, three = F.col("sessions") >= 2, F.col("sessions") >= 3
     mixed, rooted = F.col("platforms") >= 2, F.col("has_root")
+    # Base score, ceiling and steps of each reason.
     continuity = _clamped(0.68, 0.88, (two, 0.12), (three, 0.05), (mixed, 0.03), (rooted, 0.03))
     score = (
         F.when(F.col("linkage_scope") == "committed", F.round("rule_confidence", 2))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import jsonv, timekeys, tokens
 from turnwise.functions.ids import stable_id
-from turnwise.functions.ordered import last_value, running_sum, with_running
+from turnwise.functions.ordered import last_value, running_sum, with_running, with_running_ranged
 from turnwise.operators.reads import with_last_message
 
 # Processing stages in order.
@@ -57,29 +57,29 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
 
     ``position`` on turns and sessions is their place in the list as delivered; without it order is not checked.
     """
-    quoted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("undefined"))
+    quoted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     issues = [
-        _duplicates(sources, "source_id", "source", "source id appears more than once"),
-        _duplicates(projects, "project_id", "project", "project id appears more than once"),
-        _duplicates(sessions, "session_ref", "session", "session id appears more than once"),
-        _duplicates(turns, "turn_id", "turn", "turn id appears more than once"),
-        _issue(_missing(sessions, sources, "source_id", "source_id"), "missing-source", "session", F.col("session_ref"), _text("source ", F.col("source_id"), " is not present")),
-        _issue(_missing(turns, sources, "source_id", "source_id"), "missing-source", "turn", F.col("turn_id"), _text("source ", F.col("source_id"), " is not present")),
-        _issue(_missing(turns, sessions, "session_ref", "session_ref"), "missing-session", "turn", F.col("turn_id"), _text("session ", F.col("session_ref"), " is not present")),
-        _issue(_missing(turns, projects, "project_id", "project_id"), "missing-project", "turn", F.col("turn_id"), _text("project ", F.col("project_id"), " is not present")),
+        _duplicates(sources, "source_id", "source", "two sources share this id"),
+        _duplicates(projects, "project_id", "project", "two projects share this id"),
+        _duplicates(sessions, "session_ref", "session", "two sessions share this id"),
+        _duplicates(turns, "turn_id", "turn", "two turns share this id"),
+        _issue(_missing(sessions, sources, "source_id", "source_id"), "missing-source", "session", F.col("session_ref"), _text("no source called ", F.col("source_id"))),
+        _issue(_missing(turns, sources, "source_id", "source_id"), "missing-source", "turn", F.col("turn_id"), _text("no source called ", F.col("source_id"))),
+        _issue(_missing(turns, sessions, "session_ref", "session_ref"), "missing-session", "turn", F.col("turn_id"), _text("no session called ", F.col("session_ref"))),
+        _issue(_missing(turns, projects, "project_id", "project_id"), "missing-project", "turn", F.col("turn_id"), _text("no project called ", F.col("project_id"))),
         _issue(
             _missing(sessions, projects, "primary_project_id", "project_id"),
             "session-primary-project",
             "session",
             F.col("session_ref"),
-            _text("primary project ", F.col("primary_project_id"), " is not present"),
+            _text("main project is ", F.col("primary_project_id"), ", which the table lacks"),
         ),
         _issue(
             turns.where(F.col("project_id").isNotNull() & (F.col("link_state") == "unlinked")),
             "projected-unlinked-turn",
             "turn",
             F.col("turn_id"),
-            _text("turn points at project ", F.col("project_id"), " but is marked unlinked"),
+            _text("state says unlinked, yet the row names ", F.col("project_id")),
         ),
     ]
     total = turns.withColumn("_total", tokens.structured_total(F.col("token_usage"))).where(F.col("_total") != F.col("total_tokens"))
@@ -89,7 +89,7 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
             "turn-usage-total-mismatch",
             "turn",
             F.col("turn_id"),
-            _text("structured token usage totals ", F.col("_total").cast("string"), " but context summary declares ", F.col("total_tokens").cast("string")),
+            _text("usage adds up to ", F.col("_total").cast("string"), ", the total column has ", F.col("total_tokens").cast("string")),
         )
     )
     per_session = turns.groupBy("session_ref").agg(F.count("*").alias("_turns"))
@@ -100,7 +100,7 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
             "session-turn-count",
             "session",
             F.col("session_ref"),
-            _text("declares ", quoted("turn_count"), " turns but projects ", F.col("_turns").cast("string")),
+            _text("turn_count is ", quoted("turn_count"), ", counted ", F.col("_turns").cast("string")),
         )
     )
     per_project = turns.where(F.col("project_id").isNotNull()).groupBy("project_id").agg(
@@ -115,7 +115,7 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
             "project-turn-count",
             "project",
             F.col("project_id"),
-            _text("declares ", quoted("committed_turn_count"), " committed and ", quoted("candidate_turn_count"), " candidate turns but projects ", quoted("_committed"), " and ", quoted("_candidate")),
+            _text("committed/candidate columns hold ", quoted("committed_turn_count"), "/", quoted("candidate_turn_count"), ", counted ", quoted("_committed"), "/", quoted("_candidate")),
         )
     )
     issues.append(
@@ -124,14 +124,14 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
             "project-session-count",
             "project",
             F.col("project_id"),
-            _text("declares ", quoted("session_count"), " sessions but projects ", quoted("_sessions")),
+            _text("session_count is ", quoted("session_count"), ", counted ", quoted("_sessions")),
         )
     )
     if "position" in turns.columns:
         at = [(-timekeys.millis(F.col("submission_started_at"))).alias("a"), (-timekeys.millis(F.col("created_at"))).alias("b"), F.col("turn_id").alias("turn_id")]
         ordered = _before(turns.select("turn_id", "position", F.struct(*at).alias("at")), "turn_id", "position", ["at"])
         late = ordered.where(F.col("_prev.at") > F.col("at"))
-        issues.append(_issue(late, "turns-not-recency-ordered", "snapshot", F.col("turn_id"), _text("turn follows a newer turn ", F.col("_prev.at.turn_id"))))
+        issues.append(_issue(late, "turns-not-recency-ordered", "snapshot", F.col("turn_id"), _text("listed behind ", F.col("_prev.at.turn_id"), ", which should come later")))
     if "position" in sessions.columns:
         silent = F.col("last_message_at").isNull()
         at = F.struct(
@@ -141,11 +141,10 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
             F.col("session_ref").alias("session_ref"),
         )
         expected = with_last_message(sessions, turns).select("session_ref", "position", at.alias("at"), "last_message_at")
-        wanted = with_running(
+        wanted = with_running_ranged(
             expected.select("at", F.col("at.silent").alias("k0"), F.col("at.a").alias("k1"), F.col("at.b").alias("k2"), F.col("at.session_ref").alias("k3")),
             [],
             ["k0", "k1", "k2", "k3"],
-            [F.struct("k0", F.floor(F.col("k1") / 60_000).alias("m")), F.struct("k0", F.floor(F.col("k1") / 86_400_000).alias("d"))],
             place=running_sum(F.lit(1), inclusive=False),
         ).select("place", F.col("k3").alias("expected_ref"))
         wrong = sessions.select("session_ref", F.col("position").alias("place")).join(wanted, "place").where(F.col("session_ref") != F.col("expected_ref"))
@@ -155,13 +154,13 @@ def audit(sources: DataFrame, projects: DataFrame, sessions: DataFrame, turns: D
                 "sessions-not-recency-ordered",
                 "snapshot",
                 F.col("session_ref"),
-                _text("expected session ", F.col("expected_ref"), " at position ", (F.col("place") + 1).cast("string")),
+                _text("place ", (F.col("place") + 1).cast("string"), " belongs to ", F.col("expected_ref")),
             )
         )
     if contexts is not None:
-        issues.append(_duplicates(contexts, "turn_id", "context", "context turn id appears more than once"))
+        issues.append(_duplicates(contexts, "turn_id", "context", "two contexts share this turn"))
         loose = contexts.join(turns.select("turn_id").distinct(), "turn_id", "left_anti")
-        issues.append(_issue(loose, "missing-context-turn", "context", F.col("turn_id"), F.lit("context points at a turn that is not present")))
+        issues.append(_issue(loose, "missing-context-turn", "context", F.col("turn_id"), F.lit("no turn with this id")))
     found = issues[0]
     for more in issues[1:]:
         found = found.unionByName(more)

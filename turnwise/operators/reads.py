@@ -11,6 +11,7 @@ from turnwise.functions.text import optional
 from turnwise.operators.usage import model_summary, session_usage
 from turnwise.session import materialize
 
+# The key of the bucket for turns without a project, and the platform with ids of its own.
 UNLINKED_KEY = "__unlinked__"
 CODEX = "codex"
 

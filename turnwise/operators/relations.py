@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import jsonv
 from turnwise.functions.ids import composite_key
-from turnwise.functions.text import optional
+from turnwise.functions.text import strip
 from turnwise.session import materialize
 
 # Members under which a relation names its ends, first match wins.
@@ -17,28 +17,38 @@ TOOL_MEMBERS = ("parent_tool_ref", "callingToolUseId", "calling_tool_use_id")
 AGENT_MEMBERS = ("agent_id", "agentId", "childAgentKey", "child_agent_key")
 
 
-def _first(detail: Column, members: tuple[str, ...]) -> Column:
-    return F.coalesce(*[optional(jsonv.string(detail, m)) for m in members])
+def _strings(detail: Column) -> Column:
+    """All text members of an object, trimmed; other members and blank ones are absent."""
+    members = F.map_filter(F.try_variant_get(detail, "$", "map<string,variant>"), lambda k, v: F.schema_of_variant(v) == "STRING")
+    return F.map_filter(F.transform_values(members, lambda k, v: strip(v.cast("string"))), lambda k, v: v != "")
+
+
+def _first(members: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_element_at("_said", F.lit(m)) for m in members])
 
 
 def relation_edges(fragments: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Relations of known sessions: automation runs, and delegations (side threads or anything with a parent)."""
+    """Relations of known sessions: automation runs, and delegations (side threads or anything with a parent).
+
+    The members of a relation are read into one map, and everything else looks them up there.
+    """
     detail = F.col("_detail")
-    parsed = fragments.select("fragment_id", "session_ref", "time_key", "relation", F.try_parse_json("relation").alias("_detail"))
-    named = parsed.where(jsonv.is_object(detail)).select(
+    parsed = fragments.select("fragment_id", "session_ref", "time_key", "relation", F.try_parse_json("relation").alias("_detail")).where(jsonv.is_object(detail))
+    said = parsed.select("*", _strings(detail).alias("_said"), F.coalesce(jsonv.boolean(detail, "is_sidechain"), F.lit(False)).alias("is_sidechain"))
+    named = said.select(
         "fragment_id",
         "session_ref",
         "time_key",
         "relation",
-        optional(jsonv.string(detail, "relation_kind")).alias("_kind"),
-        F.coalesce(jsonv.boolean(detail, "is_sidechain"), F.lit(False)).alias("is_sidechain"),
-        _first(detail, PARENT_MEMBERS).alias("parent_ref"),
-        _first(detail, CHILD_MEMBERS).alias("child_ref"),
-        _first(detail, TOOL_MEMBERS).alias("parent_tool_ref"),
-        _first(detail, AGENT_MEMBERS).alias("child_agent_key"),
-        optional(jsonv.string(detail, "session_key")).alias("session_key"),
-        optional(jsonv.string(detail, "job_id")).alias("job_id"),
-        optional(jsonv.string(detail, "status")).alias("status"),
+        _first(("relation_kind",)).alias("_kind"),
+        "is_sidechain",
+        _first(PARENT_MEMBERS).alias("parent_ref"),
+        _first(CHILD_MEMBERS).alias("child_ref"),
+        _first(TOOL_MEMBERS).alias("parent_tool_ref"),
+        _first(AGENT_MEMBERS).alias("child_agent_key"),
+        _first(("session_key",)).alias("session_key"),
+        _first(("job_id",)).alias("job_id"),
+        _first(("status",)).alias("status"),
     )
     kind = F.when(F.col("_kind") == "automation_run", "automation_run").when(
         F.col("is_sidechain") | F.col("parent_ref").isNotNull(), "delegated_session"

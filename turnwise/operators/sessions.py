@@ -22,22 +22,24 @@ def hydrate_sessions(atoms: DataFrame) -> DataFrame:
     model = (F.col("signal_kind") == "model_signal") & F.col("model").isNotNull()
     titled = (F.col("signal_kind") == "title_signal") & F.col("title").isNotNull()
     authored = (F.col("actor_kind") == "user") & (F.col("origin_kind") == "user_authored")
-    prompts = atoms.withColumns(
-        {
-            "_title": F.when(authored, session_title(F.col("text"))),
-            "_masked": F.when(authored, session_title(masks.masked_text(F.when(authored, F.col("text")), "user_message"))),
-        }
-    )
-    return prompts.groupBy(*SESSION).agg(
+    told = atoms.withColumn("_title", F.when(authored, session_title(F.col("text"))))
+    at = F.when(F.col("_title").isNotNull(), F.col("pos"))
+    found = told.groupBy(*SESSION).agg(
         F.first("source_platform", ignorenulls=True).alias("source_platform"),
         F.max_by("path", F.when(workspace, F.col("pos"))).alias("working_directory"),
         F.max_by("model", F.when(model, F.col("pos"))).alias("model"),
-        F.coalesce(
-            F.min_by("title", F.when(titled, F.col("pos"))), F.min_by("_title", F.when(F.col("_title").isNotNull(), F.col("pos")))
-        ).alias("title"),
-        F.coalesce(
-            F.min_by("title", F.when(titled, F.col("pos"))), F.min_by("_masked", F.when(F.col("_title").isNotNull(), F.col("pos")))
-        ).alias("canonical_title"),
+        F.min_by("title", F.when(titled, F.col("pos"))).alias("_signal"),
+        F.min_by(F.struct("_title", "text"), at).alias("_first"),
+    )
+    # Only the prompt that gives the title is masked, one per session.
+    masked = session_title(masks.masked_text(F.col("_first.text"), "user_message"))
+    return found.select(
+        *SESSION,
+        "source_platform",
+        "working_directory",
+        "model",
+        F.coalesce("_signal", "_first._title").alias("title"),
+        F.coalesce("_signal", masked).alias("canonical_title"),
     )
 
 

@@ -17,6 +17,7 @@ from turnwise.operators.atoms import SESSION, edges_spawned_from, edges_tool_res
 TURN = [*SESSION, "group_index"]
 PREVIEW = 140
 
+
 def is_user_atom() -> Column:
     kind = (F.col("actor_kind") == "user") & (F.col("content_kind") == "text")
     return kind & F.col("origin_kind").isin("user_authored", "injected_user_shaped")
@@ -223,11 +224,14 @@ def assistant_replies(tagged: DataFrame, sessions: DataFrame | None = None, temp
     ).withColumn("content_preview", text.truncate(F.coalesce(F.nullif("canonical_text", F.lit("")), "content"), PREVIEW))
 
 
+def visible_calls(tagged: DataFrame) -> DataFrame:
+    return tagged.where(in_context() & (F.col("content_kind") == "tool_call") & (F.col("display_policy") != "hide"))
+
+
 def tool_calls(tagged: DataFrame, templates=masks.BUILTIN_TEMPLATES) -> DataFrame:
     """Visible tool calls of each context with the reply they belong to and their first result inside the context."""
     rows = tagged.where(in_context())
-    calls = rows.where((F.col("content_kind") == "tool_call") & (F.col("display_policy") != "hide"))
-    calls = calls.select(*TURN, "pos", "atom_id", "time_key", "tool_name", "tool_input")
+    calls = visible_calls(tagged).select(*TURN, "pos", "atom_id", "time_key", "tool_name", "tool_input")
     calls = with_running(calls, TURN, ["pos"], [position_chunk("pos")], sequence=running_sum(F.lit(1), inclusive=False))
 
     spawned = edges_spawned_from(tagged).select("from_atom_id", "to_atom_id")
@@ -333,7 +337,7 @@ def turn_path_text(tagged: DataFrame, turns: DataFrame, sessions: DataFrame) ->
 
 
 def turns_with_context(tagged: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """User turns with last activity and context summary in one table."""
+    """User turns with last activity and context summary in one table; tool calls are counted, not built."""
     turns = user_turns(tagged)
-    summary = context_summary(turns, assistant_replies(tagged, sessions), tool_calls(tagged), sessions)
+    summary = context_summary(turns, assistant_replies(tagged, sessions), visible_calls(tagged).select(turn_id().alias("turn_id")), sessions)
     return turns.join(last_activity(tagged), TURN, "left").join(summary, "turn_id", "left")
