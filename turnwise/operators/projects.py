@@ -11,7 +11,7 @@ from turnwise.functions.ids import composite_key, stable_id
 from turnwise.functions.ordered import last_value, next_value, with_running_ranged
 from turnwise.functions.text import optional
 from turnwise.operators.atoms import SESSION
-from turnwise.session import materialize
+from turnwise.session import discard, materialize
 
 # Reasons in order of preference.
 REASONS = (
@@ -219,7 +219,7 @@ def connected_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = materialize(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "link-edges"
     )
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = replaced = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     while True:
         offered = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("offer"))
         lowered = labels.join(offered, labels["node"] == offered["b"], "left").select(
@@ -229,8 +229,11 @@ def connected_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         target = lowered.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         jumped = lowered.join(target, "next").select("node", F.col("jump").alias("label"), (F.col("label") != F.col("jump")).alias("moved"))
         jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "label")
+        # A round is replaced as a whole: what it read is deleted once the next labels are written.
+        discard(replaced, lowered)
+        labels, replaced = jumped.select("node", "label"), jumped
         if jumped.where("moved").limit(1).count() == 0:
+            discard(both)
             return labels
 
 

@@ -170,7 +170,7 @@ def list_projects(spark, sf_dir):
 
 
 def _some_turns(spark, sf_dir):
-    """Turns of projects below p5 only, so that some sessions have none."""
+    """Turns without those of every eighth user, so that some sessions have none."""
     return bridge.usage_turns(spark, sf_dir).where(F.substring("session_ref", 9, 9).cast("int") % 8 != 3)
 
 
@@ -182,19 +182,7 @@ def _some_turns(spark, sf_dir):
     FROM sess LEFT JOIN last USING (session_ref)""",
 )
 def order_sessions(spark, sf_dir):
-    ordered = reads.with_last_message(bridge.usage_sessions(spark, sf_dir), _some_turns(spark, sf_dir))
-    from turnwise.functions import timekeys
-    from turnwise.functions.ordered import running_sum, with_running
-
-    keyed = ordered.select(
-        "session_ref",
-        "last_message_at",
-        F.col("last_message_at").isNull().alias("k0"),
-        (-timekeys.millis(F.coalesce("last_message_at", "updated_at"))).alias("k1"),
-        (-timekeys.millis(F.col("created_at"))).alias("k2"),
-    )
-    chunk = F.struct("k0", F.floor(F.col("k1") / 3_600_000).alias("hour"))
-    placed = with_running(keyed, [], ["k0", "k1", "k2", "session_ref"], [chunk], place=running_sum(F.lit(1)))
+    placed = reads.session_places(bridge.usage_sessions(spark, sf_dir), _some_turns(spark, sf_dir))
     return placed.select("session_ref", "last_message_at", "place")
 
 
@@ -360,7 +348,7 @@ def resolve_refs(spark, sf_dir):
 
 @query(
     "display_refs",
-    """WITH ids AS (SELECT sha1('turn::' || doc_id) AS id FROM documents UNION SELECT 'conv-' || conv_id FROM conversations),
+    """WITH ids AS (SELECT sha1('turn::' || doc_id) AS id FROM documents UNION SELECT 'conv-' || conv_id FROM conversations UNION SELECT 'sess:claude_code:' || sha1(CAST(page_id AS VARCHAR)) FROM pages),
     near AS (SELECT id, lag(id) OVER (ORDER BY id) AS b, lead(id) OVER (ORDER BY id) AS a FROM ids),
     shared AS (SELECT id, coalesce(list_max(list_filter(range(0, length(id) + 1), lambda i: left(b, CAST(i AS BIGINT)) = left(id, CAST(i AS BIGINT)) AND length(b) >= i)), 0) AS sb,
                       coalesce(list_max(list_filter(range(0, length(id) + 1), lambda i: left(a, CAST(i AS BIGINT)) = left(id, CAST(i AS BIGINT)) AND length(a) >= i)), 0) AS sa FROM near)
@@ -369,7 +357,8 @@ def resolve_refs(spark, sf_dir):
 def display_refs(spark, sf_dir):
     docs = bridge.table(spark, sf_dir, "documents").select(F.sha1(F.concat(F.lit("turn::"), F.col("doc_id"))).alias("id"))
     talks = bridge.table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id")).distinct()
-    return reads.display_refs(docs.unionByName(talks))
+    pages = bridge.table(spark, sf_dir, "pages").select(F.concat(F.lit("sess:claude_code:"), F.sha1(F.col("page_id").cast("string"))).alias("id"))
+    return reads.display_refs(docs.unionByName(talks).unionByName(pages))
 
 
 @query(

@@ -13,7 +13,7 @@ from turnwise.plans.catalog.conversation import GROUPS_SQL, atoms_sql
 from turnwise.plans.catalog.linking import ISO
 from turnwise.plans.catalog.registry import query
 from turnwise.plans.catalog.usage import EV, SESSIONS, TURNS
-from turnwise.schemas import RECORD, complete
+from turnwise.schemas import ATOM, RECORD, complete
 from turnwise.session import materialize, work_dir
 from turnwise.sources import bridge, files, sinks
 from turnwise.sources.formats import fragments_of
@@ -172,15 +172,15 @@ def stable_ids(spark, sf_dir):
 @query(
     "path_identity",
     r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
-    c AS (SELECT page_id, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS path FROM p WHERE NOT contains(path, '%') AND NOT contains(path, '/.') AND path <> '' AND NOT regexp_matches(path, '^/[A-Za-z]:'))
-    SELECT page_id, '/w' || path AS plain, 'c:/w' || path AS drive, '//host/w' || path AS share, '/w' || path AS dotted FROM c""",
+    c AS (SELECT page_id, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS path FROM p)
+    SELECT page_id, '/w' || path AS plain, '/w a' || path AS encoded, 'c:/w' || path AS drive, '//host/w' || path AS share, '/w' || path AS dotted FROM c""",
 )
 def path_identity(spark, sf_dir):
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
     rows = bridge.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    rows = rows.where(~F.col("path").contains("%") & ~F.col("path").contains("/.") & (F.col("path") != "") & ~F.col("path").rlike("^/[A-Za-z]:"))
     spelled = {
         "plain": F.concat(F.lit("file:///w"), "path"),
+        "encoded": F.concat(F.lit("file:///w%20a/./b/../"), "path"),
         "drive": F.concat(F.lit("C:\\w"), F.translate("path", "/", "\\")),
         "share": F.concat(F.lit("\\\\host\\w"), F.translate("path", "/", "\\")),
         "dotted": F.concat(F.lit("/w/x/./..//"), "path"),
@@ -359,9 +359,55 @@ def suppress_overlap(spark, sf_dir):
     return session_ops.suppress_overlap(records).select("event_id")
 
 
-@query("collapse_prompt_variants")
+COMMON = ", ".join(f"'{w}'" for w in sorted(atom_ops.COMMON_WORDS))
+COLLAPSE_SQL = rf"""WITH RECURSIVE src AS (
+      SELECT conv_id, turn, role, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'Please REVIEW the **parser** modules, and their ' || CASE turn % 4 WHEN 0 THEN 'tests' WHEN 2 THEN 'stories again' ELSE 'x' END
+             WHEN role = 'user' AND conv_id % 3 = 1 AND turn > 0 THEN (SELECT text FROM conversations o WHERE o.conv_id = c.conv_id AND role = 'user' ORDER BY turn LIMIT 1) || CASE WHEN turn % 4 = 2 THEN ' and more of it' ELSE '' END
+             ELSE text END AS text, role = 'assistant' AND conv_id % 5 <> 0 AS reply, (turn // 4) * 660000 + turn * 60000 AS ms FROM conversations c),
+    m AS (SELECT *, sum(CASE WHEN reply THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS replies FROM src WHERE role = 'user' OR reply),
+    u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(abs(ms - lag(ms) OVER (PARTITION BY conv_id ORDER BY turn)) > 600000, true) AS paused FROM m WHERE role = 'user'),
+    p AS (SELECT *, sum(paused::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS island, trim(regexp_replace(lower(replace(replace(text, '**', ''), '`', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS plain FROM u),
+    w AS (SELECT *, list_distinct(list_filter(list_transform(string_split(plain, ' '), lambda x: CASE
+            WHEN regexp_full_match(x, '[a-z]{{3,}}') THEN CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END
+            WHEN length(x) >= CASE WHEN regexp_full_match(x, '[\x00-\x7F]*') THEN 3 ELSE 2 END THEN x END), lambda x: x IS NOT NULL AND x NOT IN ({COMMON}))) AS stems FROM p),
+    walk AS (
+      SELECT conv_id, n, turn, replies, island, ms AS kept_ms, plain AS kept, stems AS kept_stems, false AS dropped FROM w WHERE n = 1
+      UNION ALL
+      SELECT conv_id, n, turn, CASE WHEN d THEN r0 ELSE replies END, CASE WHEN d THEN i0 ELSE island END, CASE WHEN d THEN kept_ms ELSE ms END, CASE WHEN d THEN kept ELSE plain END, CASE WHEN d THEN kept_stems ELSE stems END, d
+      FROM (SELECT w.*, k.kept_ms, k.kept, k.kept_stems, k.replies AS r0, k.island AS i0,
+              k.replies = w.replies AND k.island = w.island AND abs(w.ms - k.kept_ms) <= 600000 AND k.kept <> '' AND w.plain <> '' AND (
+                k.kept = w.plain OR (length(k.kept) <= length(w.plain) AND length(k.kept) >= 24 AND contains(w.plain, k.kept)) OR (length(w.plain) < length(k.kept) AND length(w.plain) >= 24 AND contains(k.kept, w.plain))
+                OR (least(len(w.stems), len(k.kept_stems)) > 0 AND len(list_intersect(w.stems, k.kept_stems)) >= 4 AND len(list_intersect(w.stems, k.kept_stems)) / least(len(w.stems), len(k.kept_stems)) >= 0.6
+                    AND len(list_intersect(w.stems, k.kept_stems)) / greatest(len(w.stems), len(k.kept_stems)) >= 0.45)) AS d
+            FROM walk k JOIN w ON w.conv_id = k.conv_id AND w.n = k.n + 1))
+    SELECT 'sess:conv:' || conv_id AS session_ref, turn AS pos, 'a:' || conv_id || ':' || turn AS atom_id FROM src WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM walk WHERE dropped)"""
+
+
+@query("collapse_prompt_variants", COLLAPSE_SQL)
 def collapse_prompt_variants(spark, sf_dir):
-    return atom_ops.collapse_prompt_variants(bridge.conversation_atoms(spark, sf_dir, gaps=True)).select("session_ref", "pos", "atom_id")
+    """A third of the conversations repeat one prompt in other words, another third their first prompt; some replies are hidden."""
+    rows = bridge.table(spark, sf_dir, "conversations")
+    first = rows.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("_first"))
+    turn, third, user = F.col("turn"), F.col("conv_id") % 3, F.col("role") == "user"
+    words = F.when(turn % 4 == 0, "tests").when(turn % 4 == 2, "stories again").otherwise("x")
+    said = (
+        F.when(user & (third == 0), F.concat(F.lit("Please REVIEW the **parser** modules, and their "), words))
+        .when(user & (third == 1) & (turn > 0), F.concat("_first", F.when(turn % 4 == 2, " and more of it").otherwise("")))
+        .otherwise(F.col("text"))
+    )
+    atoms = rows.join(first, "conv_id", "left").select(
+        F.lit("conv").alias("source_id"),
+        F.concat(F.lit("sess:conv:"), "conv_id").alias("session_ref"),
+        F.concat(F.lit("a:"), "conv_id", F.lit(":"), "turn").alias("atom_id"),
+        turn.alias("pos"),
+        F.col("role").alias("actor_kind"),
+        F.lit("text").alias("content_kind"),
+        F.when(user, "user_authored").otherwise("assistant_authored").alias("origin_kind"),
+        F.when((F.col("role") == "assistant") & (F.col("conv_id") % 5 == 0), "hide").otherwise("show").alias("display_policy"),
+        timekeys.from_millis(F.lit(bridge.EPOCH_MS) + F.floor(turn / 4) * 660_000 + turn * 60_000).alias("time_key"),
+        said.alias("text"),
+    )
+    return atom_ops.collapse_prompt_variants(complete(atoms, ATOM)).select("session_ref", "pos", "atom_id")
 
 
 # --- audits ----------------------------------------------------------------------------------------------------------
