@@ -103,8 +103,8 @@ def from_object(value: Column) -> Column:
     return bind(value, read)
 
 
-def merge(usages: list[Column]) -> Column:
-    """Sum of usage structs in order; a single one stays as it is, among several an absent field counts as zero."""
+def merge(usages: list[Column] | Column) -> Column:
+    """Sum of usage structs (columns, or one array of them) in order; a single one stays as it is, among several an absent field counts as zero."""
 
     def total(known: Column) -> Column:
         zero = F.lit(0).cast("bigint")
@@ -116,13 +116,15 @@ def merge(usages: list[Column]) -> Column:
         both = pack({n: summed(n) for n in FIELDS}, F.try_element_at(models, F.lit(-1)))
         return F.when(F.size(known) > 1, both).otherwise(F.get(known, F.lit(0)))
 
-    return bind(F.array_compact(F.array(*usages)), total)
+    listed = F.array(*usages) if isinstance(usages, list) else usages
+    return bind(F.array_compact(listed), total)
 
 
 def extract(value: Column, members: tuple[str, ...] = USAGE_MEMBERS) -> Column:
-    """Usage of a JSON object: that of each declared member one level down, merged with its own numbers."""
-    nested = [bind(F.try_variant_get(value, f"$.{member}", "variant"), from_object) for member in members]
-    return F.when(value.isNotNull(), merge([*nested, from_object(value)]))
+    """Usage of a JSON object: that of each declared member, one and two levels down, merged with its own numbers."""
+    places = [*(f"$.{a}.{b}" for a in members for b in members), *(f"$.{a}" for a in members), "$"]
+    held = F.array_compact(F.array(*[F.try_variant_get(value, place, "variant") for place in places]))
+    return F.when(value.isNotNull(), merge(F.transform(F.filter(held, is_object), from_object)))
 
 
 def from_payload(value: Column) -> Column:

@@ -399,3 +399,72 @@ def prompt_history(spark, sf_dir):
     first = rows.select(F.col("conv_id").cast("string").alias("workspace"), F.lit("aiService.generations").alias("storage_key"), listed("g", lambda t: blank | ((F.col("conv_id") % 3 == 2) & (t % 2 == 1))).alias("storage_value"))
     second = rows.select(F.col("conv_id").cast("string").alias("workspace"), F.lit("aiService.prompts").alias("storage_key"), listed("p", lambda t: F.lit(False)).alias("storage_value"))
     return files.from_prompt_history(first.unionByName(second), "2024-01-01T00:00:00.000Z").select("workspace", F.col("text").alias("said"))
+
+
+# --- exported documents ----------------------------------------------------------------------------------------------
+
+
+@query(
+    "conversation_documents",
+    f"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 <> 3 THEN strftime(epoch_ms(1704067200000 + (100 - turn) * 60000), {ISO}) END AS said_at FROM conversations),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY said_at NULLS FIRST, turn % 2, turn) - 1 AS position FROM m)
+    SELECT 'd' || conv_id AS conversation_id, position, said_at AS observed_at, CASE WHEN turn % 5 = 4 AND role <> 'user' THEN 'assistant' ELSE role END AS role, 't' || turn AS said,
+           CASE WHEN turn % 3 = 0 THEN 10 + turn END AS input_tokens, CASE WHEN turn % 2 = 0 THEN 'm' || turn ELSE NULL END AS model, '/w/' || conv_id AS cwd FROM o
+    UNION ALL SELECT 'd' || conv_id, -1, NULL, NULL, NULL, NULL, NULL, '/w/' || conv_id FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
+def conversation_documents(spark, sf_dir):
+    """Conversations exported as two containers of one id each, which share a message; messages in five shapes and out of order."""
+    rows = _table(spark, sf_dir, "conversations")
+    turn, q = F.col("turn"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    at = timekeys.from_millis(F.lit(bridge.EPOCH_MS) + (F.lit(100) - turn) * 60_000)
+    millis = (F.lit(bridge.EPOCH_MS) + (F.lit(100) - turn) * 60_000).cast("string")
+    usage = F.when(turn % 3 == 0, F.concat(F.lit(',"metadata":{"usage":{"prompt_tokens":'), turn + 10, F.lit("}}"))).otherwise("")
+    model = F.when(turn % 2 == 0, F.concat(F.lit(',"model":"m'), turn, F.lit('"'))).otherwise("")
+    text = q(F.concat(F.lit("t"), turn))
+    shape = (
+        F.when(turn % 4 == 0, F.concat(F.lit('{"role":'), q(F.col("role")), F.lit(',"content":'), text, F.lit(',"timestamp":'), q(at), usage, model, F.lit("}")))
+        .when(turn % 4 == 1, F.concat(F.lit('{"message":{"author":{"role":'), q(F.col("role")), F.lit('},"text":'), text, F.lit(',"createdAt":'), millis, model, F.lit("}"), usage, F.lit("}")))
+        .when(turn % 4 == 2, F.concat(F.lit('{"info":{"role":'), q(F.col("role")), F.lit(',"created":'), millis, model, F.lit('},"parts":'), text, usage, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"sender":'), q(F.col("role")), F.lit(',"richText":'), text, usage, model, F.lit("}")))
+    )
+    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", shape.alias("m")))).alias("all"))
+    head = F.concat(F.lit('{"id":"d'), F.col("conv_id"), F.lit('","cwd":"/w/'), F.col("conv_id"), F.lit('","messages":['))
+    part = lambda rest: F.array_join(F.transform(F.filter("all", lambda x: x.turn % 2 == rest), lambda x: x.m), ",")
+    first = F.transform(F.slice("all", 1, 1), lambda x: x.m)
+    both = F.concat(F.lit('{"conversations":['), head, part(0), F.lit("]},"), head, F.array_join(F.concat(first, F.array(part(1))), ","), F.lit("]}]}"))
+    given = docs.select(F.concat(F.lit("/x/"), "conv_id", F.lit(".json")).alias("origin_path"), F.try_parse_json(F.regexp_replace(both, r",\]", "]")).alias("v"))
+    found = files.read_conversation_docs(given)
+    get = lambda name: F.get_json_object("raw_json", f"$.{name}")
+    meta = F.col("position") < 0
+    return found.select(
+        "conversation_id", "position", "observed_at", F.when(~meta, get("role")).alias("role"), get("content").alias("said"), get("usage.input_tokens").cast("long").alias("input_tokens"), F.when(~meta, get("model")).alias("model"), get("cwd").alias("cwd")
+    )
+
+
+@query(
+    "thread_documents",
+    f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN strftime(epoch_ms(1704067200000 + turn * 1000), {ISO}) WHEN 1 THEN strftime(epoch_ms(1704067200000 + turn * 2000), {ISO})
+        WHEN 2 THEN strftime(epoch_ms(1704067200000 + turn * 5000), {ISO}) ELSE strftime(epoch_ms(1704067200000 + conv_id * 60000), {ISO}) END AS observed_at FROM conversations
+    UNION ALL SELECT conv_id, -1, strftime(epoch_ms(1704067200000 + conv_id * 60000), {ISO}) FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
+def thread_documents(spark, sf_dir):
+    """Threads as files; messages are timed by when they were sent, a time stamp, their content items, or not at all."""
+    from turnwise.session import work_dir
+
+    turn, epoch = F.col("turn"), F.lit(bridge.EPOCH_MS)
+    time = (
+        F.when(turn % 4 == 0, F.concat(F.lit(',"meta":{"sentAt":'), epoch + turn * 1000, F.lit("}")))
+        .when(turn % 4 == 1, F.concat(F.lit(',"timestamp":"'), timekeys.from_millis(epoch + turn * 2000), F.lit('"')))
+        .when(turn % 4 == 2, F.concat(F.lit(',"content":[{"startTime":'), epoch + turn * 3000, F.lit("},{"), F.lit('"finalTime":'), epoch + turn * 5000, F.lit("}]")))
+        .otherwise("")
+    )
+    message = F.concat(F.lit('{"n":'), turn, time, F.lit("}"))
+    threads = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("all"))
+    listed = F.array_join(F.transform("all", lambda x: x.m), ",")
+    doc = F.concat(F.lit('{"id":"'), "conv_id", F.lit('","created":'), epoch + F.col("conv_id") * 60_000, F.lit(',"messages":['), listed, F.lit(",7]}"))
+    folder = work_dir(spark, "threads")
+    # One thread per file: a file is a thread document.
+    threads.select(doc.alias("value"), F.col("conv_id").alias("part")).repartition("part").write.partitionBy("part").text(folder)
+    found = files.read_thread_docs(spark, folder, "threads")
+    number = F.coalesce(F.get_json_object("raw_json", "$.n").cast("long"), F.lit(-1))
+    return found.select(F.substring("session_ref", 10, 20).cast("long").alias("conv_id"), number.alias("turn"), "observed_at")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import jsonv, timekeys
+from turnwise.functions.bind import bind
 from turnwise.functions.ids import stable_id
 from turnwise.functions.ordered import last_value, next_value, position_chunk, with_position, with_running
 from turnwise.schemas import RECORD, complete
+from turnwise.session import materialize
 
 LINE_BREAK = r"\r\n|\r|\n"
 
@@ -322,11 +324,14 @@ def read_thread_docs(spark: SparkSession, paths: str | list[str], source_id: str
     whole = spark.read.text(paths, wholetext=True).select(
         _plain_path(F.col("_metadata.file_path")).alias("origin_path"), F.sha1("value").alias("checksum"), F.try_parse_json("value").alias("v")
     )
-    created = timekeys.from_millis(jsonv.number(v, "created"))
+    created = F.coalesce(timekeys.coerce(jsonv.string(v, "created_at")), timekeys.from_millis(jsonv.number(v, "created")))
     root = F.struct(F.lit("root").alias("pointer"), F.to_json(F.struct(*[jsonv.member(v, n).alias(n) for n in ("id", "title", "created", "env")])).alias("raw_json"))
-    messages = F.transform(jsonv.array(v, "messages"), lambda m: F.struct(F.lit("message").alias("pointer"), F.to_json(m).alias("raw_json")))
+    messages = F.transform(F.filter(jsonv.array(v, "messages"), jsonv.is_object), lambda m: F.struct(F.lit("message").alias("pointer"), F.to_json(m).alias("raw_json")))
     rows = whole.select("origin_path", "checksum", jsonv.string(v, "id").alias("native"), created.alias("created"), F.posexplode(F.concat(F.array(root), messages)).alias("ordinal", "r"))
-    sent = timekeys.from_millis(jsonv.number(F.try_parse_json("r.raw_json"), "meta.sentAt"))
+    said = F.try_parse_json("r.raw_json")
+    items = F.flatten(F.transform(jsonv.array(said, "content"), lambda c: F.array(jsonv.number(c, "startTime"), jsonv.number(c, "finalTime"))))
+    # The latest of the times a message names; a message without any has the thread's.
+    sent = F.greatest(timekeys.from_millis(jsonv.number(said, "meta.sentAt")), timekeys.coerce(jsonv.string(said, "timestamp")), timekeys.from_millis(F.array_max(items)))
     shaped = rows.select(
         F.lit(source_id).alias("source_id"),
         F.lit(platform).alias("source_platform"),
@@ -335,7 +340,7 @@ def read_thread_docs(spark: SparkSession, paths: str | list[str], source_id: str
         F.concat(F.lit(f"sess:{platform}:"), F.col("native")).alias("session_ref"),
         F.col("ordinal").cast("bigint").alias("ordinal"),
         F.col("r.pointer").alias("pointer"),
-        F.greatest(sent, "created").alias("observed_at"),
+        F.coalesce(sent, "created").alias("observed_at"),
         F.col("r.raw_json").alias("raw_json"),
     )
     return complete(shaped.withColumn("record_id", stable_id("record", F.col("blob_id"), F.col("ordinal"))), RECORD)
@@ -354,14 +359,55 @@ def message_time(message: Column) -> Column:
     return F.coalesce(*spelled)
 
 
+def normalized_message(value: Column, default_cwd: Column) -> Column:
+    """(observed_at, raw_json) of a message in any of the shapes exports use; null if it has neither role nor content.
+
+    The message itself may sit under ``message`` or ``info``. Its content is a content member, the parts beside it or
+    rich text; usage, stop reason, model and directory are looked for in it, then around it.
+    """
+    from turnwise.functions import roles, tokens
+    from turnwise.sources.formats.core import first_present
+    from turnwise.sources.formats.generic import generic_role
+
+    def inner(name: str) -> Column:
+        return bind(jsonv.member(value, name), lambda m: F.when(jsonv.is_object(m), m))
+
+    def build(held: Column) -> Column:
+        base, info = held.getField("base"), held.getField("info")
+        content = F.coalesce(first_present(base, "content", "items", "text"), first_present(value, "parts"), first_present(base, "richText"), first_present(value, "richText"))
+        role = F.coalesce(generic_role(base), generic_role(value), generic_role(info))
+        at = F.coalesce(
+            *[timekeys.coerce(jsonv.string(base, n)) for n in ("timestamp", "createdAt", "updatedAt")],
+            timekeys.coerce(jsonv.string(value, "timestamp")),
+            timekeys.coerce(jsonv.string(info, "createdAt")),
+            *[timekeys.from_millis(jsonv.number(base, n)) for n in ("timestamp", "createdAt", "created")],
+            *[timekeys.from_millis(jsonv.number(info, n)) for n in ("createdAt", "created")],
+            timekeys.from_millis(jsonv.number(value, "createdAt")),
+            message_time(value),
+        )
+        stop = F.coalesce(jsonv.string(base, "stop_reason", "stopReason"), jsonv.string(info, "stopReason"), jsonv.string(value, "stopReason"))
+        record = F.struct(
+            F.coalesce(jsonv.string(base, "id"), jsonv.string(value, "id")).alias("id"),
+            F.coalesce(role, F.lit("assistant")).alias("role"),
+            content.alias("content"),
+            F.get(F.array_compact(F.transform(F.array(value, info, base), lambda v: tokens.extract(v))), F.lit(0)).alias("usage"),
+            roles.normalize_stop_reason(stop).alias("stopReason"),
+            F.coalesce(jsonv.string(base, "model"), jsonv.string(info, "model"), jsonv.string(value, "model")).alias("model"),
+            F.coalesce(jsonv.string(value, "cwd", "workspacePath", "directory"), default_cwd).alias("cwd"),
+        )
+        return F.when(role.isNotNull() | content.isNotNull(), F.struct(at.alias("observed_at"), F.to_json(record).alias("raw_json"), role.alias("role")))
+
+    message, info = inner("message"), inner("info")
+    return bind(F.struct(F.coalesce(message, info, value).alias("base"), info.alias("info")), build)
+
+
 def read_conversation_docs(docs: DataFrame, containers: tuple[str, ...] = ("conversations", "sessions", "chats", "data")) -> DataFrame:
     """Messages of exported conversations: (origin_path, conversation_id, position, observed_at, raw_json), metadata first.
 
     ``docs`` gives (origin_path, v). A document is one conversation, a list of them, or holds a list under one of the
-    declared container members; conversations without a user or assistant row are dropped, equal ids merge.
+    declared container members. Conversations of one id in a document are one: the first one's metadata, and the
+    distinct messages of all in order of time. Conversations without a user or assistant row are dropped.
     """
-    from turnwise.sources.formats.generic import generic_role
-
     v = F.col("v")
     many = F.concat(*[jsonv.array(v, c) for c in containers])
     itself = F.try_variant_get(v, "$", "array<variant>")
@@ -374,15 +420,23 @@ def read_conversation_docs(docs: DataFrame, containers: tuple[str, ...] = ("conv
     named = held.select(
         "origin_path",
         F.coalesce(jsonv.string(c, *ID_MEMBERS), F.concat(stem, F.lit("-"), F.col("conv_no"))).alias("conversation_id"),
+        "conv_no",
         F.to_json(F.struct(*[jsonv.member(c, n).alias(n) for n in ("title", "model", "cwd", "directory", "createdAt", "updatedAt")])).alias("head"),
         message_time(c).alias("head_at"),
+        jsonv.string(c, "cwd", "directory").alias("cwd"),
         F.filter(listed, jsonv.is_object).alias("messages"),
     )
-    spoken = named.where(F.exists("messages", lambda m: F.coalesce(generic_role(m), generic_role(jsonv.member(m, "message"))).isin("user", "assistant")))
-    meta = spoken.select("origin_path", "conversation_id", F.lit(-1).alias("position"), F.col("head_at").alias("observed_at"), F.col("head").alias("raw_json"))
-    rows = spoken.select("origin_path", "conversation_id", F.posexplode("messages").alias("position", "m"))
-    said = rows.select("origin_path", "conversation_id", "position", message_time(F.col("m")).alias("observed_at"), F.to_json("m").alias("raw_json"))
-    return meta.unionByName(said)
+    key = ["origin_path", "conversation_id"]
+    each = named.select(*key, "conv_no", "cwd", F.posexplode("messages").alias("place", "m"))
+    said = each.select(*key, "conv_no", "place", normalized_message(F.col("m"), F.col("cwd")).alias("r")).where(F.col("r").isNotNull())
+    # Repeats of a message keep the place of the first one; untimed messages stay in front, in the order given.
+    first = said.groupBy(*key, "r.raw_json", "r.observed_at", "r.role").agg(F.min(F.struct("conv_no", "place")).alias("at"))
+    flat = materialize(first.select(*key, "raw_json", "observed_at", "role", "at.conv_no", "at.place"), "messages")
+    spoken = flat.where(F.col("role").isin("user", "assistant")).select(*key).distinct()
+    heads = named.groupBy(*key).agg(F.min_by(F.struct("head", "head_at"), "conv_no").alias("h")).join(spoken, key, "left_semi")
+    meta = heads.select(*key, F.lit(-1).cast("bigint").alias("position"), F.col("h.head_at").alias("observed_at"), F.col("h.head").alias("raw_json"))
+    rows = with_position(flat.join(spoken, key, "left_semi"), key, ["observed_at", "conv_no", "place"], "position")
+    return meta.unionByName(rows.select(*key, F.col("position").cast("bigint").alias("position"), "observed_at", "raw_json"))
 
 
 def records_from_steps(steps: DataFrame) -> DataFrame:
