@@ -14,6 +14,8 @@ ranked by pointer doubling in a number of rounds that grows with the logarithm o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,15 +130,21 @@ def reply_order(parents: DataFrame) -> DataFrame:
     leave = nodes.select("conv", F.col("pos").alias("at"), F.lit(1).alias("out"), F.when(F.col("sibling").isNotNull(), F.col("sibling")).when(F.col("parent") >= 0, F.col("parent")).alias("next"), F.when(F.col("sibling").isNotNull(), 0).otherwise(1).alias("next_out"), F.lit(0).alias("enters"), F.lit(-1).alias("rise"))
     tour = enter.unionByName(leave).select("conv", "at", "out", "next", "next_out", F.col("enters").cast("long"), F.col("rise").cast("long"))
     # ``enters`` and ``rise`` add up a step and all it has skipped; steps that end the walk have no next.
+    # A round is over the conversations that still have open steps: steps never lead from one conversation to another.
+    finished = []
     while True:
         tour = materialize(tour, "tour")
-        if tour.filter("next IS NOT NULL").isEmpty():
+        unfinished = materialize(tour.filter("next IS NOT NULL").select("conv").distinct(), "unfinished")
+        finished.append(tour.join(unfinished, "conv", "left_anti"))
+        if unfinished.isEmpty():
             break
+        tour = tour.join(unfinished, "conv", "left_semi")
         ahead = tour.select("conv", F.col("at").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("n"), F.col("next_out").alias("no"), F.col("enters").alias("e"), F.col("rise").alias("r"))
         tour = tour.join(ahead, ["conv", "next", "next_out"], "left").select(
             "conv", "at", "out", F.col("n").alias("next"), F.when(F.col("n").isNotNull(), F.col("no")).alias("next_out"),
             (F.col("enters") + F.coalesce("e", F.lit(0))).alias("enters"), (F.col("rise") + F.coalesce("r", F.lit(0))).alias("rise"),
         )
+    tour = reduce(DataFrame.unionByName, finished)
     # ``enters`` now counts the messages from here to the end, and ``rise`` is minus the depth above.
     totals = parents.groupBy("conv").agg(F.count("*").alias("n"))
     entered = tour.filter("out = 0").select("conv", F.col("at").alias("pos"), "enters", (-F.col("rise")).alias("depth"))
