@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise import session as base
-from turnwise.session import materialize, work_dir
+from turnwise.session import discard, materialize, work_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of anything but the six ASCII blanks.
@@ -20,7 +20,7 @@ BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
-    "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "held_out", "learnable", "materialize",
+    "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "held_out", "learnable", "materialize",
     "prefix_sums", "source_table", "text_slices", "work_dir",
 ]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize
+from turnwise.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(current, "edges")
     state = None
     while True:
-        current = materialize(_star(_star(current, large=True), large=False), "stars")
+        following = materialize(_star(_star(current, large=True), large=False), "stars")
+        discard(current)
+        current = following
         # The star of a finished component maps to itself; equal counts and sums over two rounds mean nothing moved.
         row = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
         if tuple(row) == state:
