@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.functions import masks, paths, timekeys, usertext
+from turnwise.functions import masks, paths, timekeys, tokens, usertext
 from turnwise.operators import atoms as atom_ops
 from turnwise.operators import projects as project_ops
 from turnwise.operators import quality, questions, reads
@@ -468,3 +468,54 @@ def thread_documents(spark, sf_dir):
     found = files.read_thread_docs(spark, folder, "threads")
     number = F.coalesce(F.get_json_object("raw_json", "$.n").cast("long"), F.lit(-1))
     return found.select(F.substring("session_ref", 10, 20).cast("long").alias("conv_id"), number.alias("turn"), "observed_at")
+
+
+# --- usage and masks -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "nested_usage",
+    f"""WITH {EV} SELECT event_id, CASE WHEN k % 4 < 3 THEN k END AS input_tokens, CASE WHEN k % 4 = 2 THEN 7 END AS cache_read_input_tokens, CASE WHEN k % 4 < 3 THEN 2 * k END AS output_tokens,
+        CASE k % 4 WHEN 0 THEN 3 * k + 1 WHEN 1 THEN 3 * k WHEN 2 THEN 3 * k + 7 END AS total_tokens FROM ev""",
+)
+def nested_usage(spark, sf_dir):
+    """Usage as a member with a total, under metadata, as a lump with the cache in it, and not at all."""
+    k = F.col("k")
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"role":"assistant","usage":{"inputTokens":'), k, F.lit(',"completion_tokens":'), 2 * k, F.lit(',"total_tokens":'), 3 * k + 1, F.lit("}}")))
+        .when(k % 4 == 1, F.concat(F.lit('{"metadata":{"usage":{"prompt_tokens":'), k, F.lit(',"output_tokens":'), 2 * k, F.lit("}}}")))
+        .when(k % 4 == 2, F.concat(F.lit('{"tokens":{"input_tokens":'), k + 7, F.lit(',"cached_input_tokens":7,"outputTokens":'), 2 * k, F.lit("}}")))
+        .otherwise('{"role":"user","content":"no numbers"}')
+    )
+    usage = tokens.from_payload(F.try_parse_json(said))
+    return bridge.events(spark, sf_dir).select("event_id", usage.alias("u")).select(
+        "event_id", *[F.col(f"u.{n}").alias(n) for n in ("input_tokens", "cache_read_input_tokens", "output_tokens", "total_tokens")]
+    )
+
+
+# A text for each built-in rule (and one that no rule may touch), with the labels it must get.
+MASKED_TEXTS = (
+    ("<INSTRUCTIONS>\nx\n</INSTRUCTIONS> go", "Instructions"),
+    ("# AGENTS.md instructions for /w\n\n<INSTRUCTIONS>a</INSTRUCTIONS>", "Agent Instructions"),
+    ("a <environment_context>e</environment_context> b", "Environment Context"),
+    ("<system-reminder>r</system-reminder><system-reminder>s</system-reminder>", "System Reminder|System Reminder"),
+    ("<skills_instructions>s</skills_instructions>", "Skills Instructions"),
+    ("## Skills\nA skill is a set of local instructions to follow</INSTRUCTIONS>", "Skills Instructions"),
+    ("<permissions instructions>p</permissions instructions>", "Permissions Instructions"),
+    ("<collaboration_mode>c</collaboration_mode>", "Collaboration Mode"),
+    ("key sk-" + "a1" * 12 + " end", "API Key"),
+    ("-----BEGIN RSA PRIVATE KEY-----\nab\n-----END RSA PRIVATE KEY-----", "Private Key"),
+    ("Bearer\u00a0" + "t" * 20, "Bearer Token"),
+    ("Bearer\x1c" + "t" * 20, "Bearer Token"),
+    ("plain words", ""),
+)
+_LABELS_SQL = "[" + ", ".join(f"'{label}'" for _, label in MASKED_TEXTS) + "]"
+
+
+@query("mask_builtin", f"SELECT doc_id, {_LABELS_SQL}[CAST(doc_id % {len(MASKED_TEXTS)} AS INT) + 1] AS labels FROM documents")
+def mask_builtin(spark, sf_dir):
+    """Documents with a text of one built-in rule in front, in the context of user messages; their own words match none."""
+    texts = F.array(*[F.lit(t) for t, _ in MASKED_TEXTS])
+    text = F.concat(F.get(texts, (F.col("doc_id") % len(MASKED_TEXTS)).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    spans = masks.mask_spans(text, masks.select_templates("user_message"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(spans, lambda s: s.label), "|").alias("labels"))
