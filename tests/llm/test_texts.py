@@ -171,3 +171,36 @@ def test_walk_against_recursion(spark):
         walk(k, 0)
     got = reply_order(spark.createDataFrame([("c", k, p) for k, p in enumerate(parents)], "conv string, pos long, parent long")).orderBy("position").collect()
     assert [(r.pos, r.depth) for r in got] == want
+
+
+def test_reply_order_against_sql(spark):
+    """Random threads whose messages quote, at several levels, whole earlier messages, single lines of them, or nothing known."""
+    import duckdb
+
+    from turnwise.llm.catalog_text import REPLY_ORDER_SQL
+
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "gamma,", "delta", "Été", "zeta!"]
+    rows = []
+    for conv in range(40):
+        own = []
+        for turn in range(rng.randint(1, 12)):
+            lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))]
+            text = []
+            if own and rng.random() < 0.6:
+                for level in rng.sample([1, 2, 3], rng.randint(1, 2)):
+                    text += ["On some day X wrote:"] if rng.random() < 0.5 else []
+                    text += [">" * level + rng.choice(["", " "]) + x for x in (rng.choice(own) if rng.random() < 0.8 else ["never said"])]
+                    text += rng.choice([[], [""]])
+            own.append(lines)
+            rows.append((conv, turn, rng.choice("ua"), "\n".join(text + lines)))
+    rows += rows[:5]
+    want_db = duckdb.connect()
+    want_db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    want_db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cursor = want_db.execute(REPLY_ORDER_SQL)
+    names = [d[0] for d in cursor.description]
+    want = sorted(cursor.fetchall())
+    got = reply_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*names)
+    assert sorted(map(tuple, got.collect())) == want
+    assert any(row[names.index("n_linked")] for row in want)
