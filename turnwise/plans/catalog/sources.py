@@ -519,3 +519,25 @@ def mask_builtin(spark, sf_dir):
     text = F.concat(F.get(texts, (F.col("doc_id") % len(MASKED_TEXTS)).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
     spans = masks.mask_spans(text, masks.select_templates("user_message"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(spans, lambda s: s.label), "|").alias("labels"))
+
+
+@query(
+    "files_to_read",
+    """SELECT '/logs/' || user_id AS origin_path FROM events GROUP BY user_id
+    HAVING user_id % 4 = 3 OR (user_id % 4 = 1 AND count(*) FILTER (event_id % 2 = 0) <> count(*)) OR (user_id % 4 = 2 AND max(value) <> max(value) FILTER (event_id % 2 = 0)) OR (user_id % 4 IN (1, 2) AND count(*) FILTER (event_id % 2 = 0) = 0)""",
+)
+def files_to_read(spark, sf_dir):
+    """One file per user; a fourth is unchanged, a fourth may have grown, a fourth may have another time, a fourth is new."""
+    rows = bridge.events(spark, sf_dir)
+    user, old = F.col("user_id"), F.col("event_id") % 2 == 0
+
+    def listing(size, time):
+        return F.concat(F.lit("/logs/"), user).alias("origin_path"), size.alias("size_bytes"), time.alias("file_modified_at")
+
+    both = rows.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_if(old).alias("n_old"), F.max("value").alias("t"), F.max(F.when(old, F.col("value"))).alias("t_old")
+    )
+    now = both.select(*listing(F.col("n"), F.col("t")))
+    known = both.where((user % 4 == 0) | ((user % 4 != 3) & (F.col("n_old") > 0)))
+    previous = known.select(*listing(F.when(user % 4 == 1, F.col("n_old")).otherwise(F.col("n")), F.when(user % 4 == 2, F.col("t_old")).otherwise(F.col("t"))))
+    return files.files_to_read(now, previous).select("origin_path")

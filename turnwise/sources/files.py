@@ -189,6 +189,16 @@ def changed_files(inventory_now: DataFrame, previous: DataFrame, since: str | No
     return changed.where(F.col("file_modified_at") >= cut)
 
 
+def files_to_read(now: DataFrame, previous: DataFrame) -> DataFrame:
+    """Files that are new or whose size or modification time changed, told from the listing alone.
+
+    Both sides give (origin_path, size_bytes, file_modified_at); no content is read, so a file that was captured before
+    with equal size and time is reused as it is.
+    """
+    same = previous.select("origin_path", "size_bytes", "file_modified_at").distinct()
+    return now.join(same, ["origin_path", "size_bytes", "file_modified_at"], "left_anti")
+
+
 def appended_records(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Records behind what was already captured of files that only grew.
 
