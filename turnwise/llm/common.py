@@ -20,8 +20,8 @@ BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
-    "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "held_out", "learnable", "materialize",
-    "prefix_sums", "source_table", "text_slices", "work_dir",
+    "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "held_out", "learnable", "materialize", "mix",
+    "power_tables", "prefix_sums", "source_table", "text_slices", "unit_hash", "work_dir",
 ]
 
 
@@ -33,6 +33,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Odd, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, for positions below ``n``."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        tables = []
+        for factor in (BASE, pow(BASE, -1, 1 << 64)):
+            table = np.full(size, factor, np.uint64)
+            table[0] = 1
+            tables.append(np.cumprod(table, dtype=np.uint64))
+        _powers = tables[0], tables[1]
+    return _powers
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

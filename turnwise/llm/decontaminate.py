@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize, text_slices, work_dir
+from turnwise.llm.common import BASE, materialize, mix, power_tables, text_slices, work_dir
 
 GRAM, WINDOW = 5, 10
 #: Fingerprints of the benchmark held by a Python worker at once (8 bytes each and a bitmap); more make further passes.
@@ -28,29 +28,6 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[ord("A") : ord("Z") + 1] += 32
 _is_word = np.zeros(256, bool)
 _is_word[ord("0") : ord("9") + 1] = _is_word[ord("a") : ord("z") + 1] = _is_word[128:] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions below ``n``."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        tables = []
-        for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(size, factor, np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers = tables[0], tables[1]
-    return _powers
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
 
 class Words:
     """The words of a run of texts: byte bounds, the text each is in, and a hash of each."""
@@ -67,18 +44,18 @@ class Words:
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
         #: Index of each text's first word, and behind the last.
         self.first = np.searchsorted(self.text, np.arange(len(offsets)))
-        power, inverse = _power_tables(len(data) + 1)
+        power, inverse = power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        self.hashes = _mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of each run of ``n`` words, also of runs over the end of a text."""
         count = max(len(self.hashes) - n + 1, 0)
         total = np.full(count, n, np.uint64)
         for k in range(n):
-            total = total * np.uint64(_BASE) + self.hashes[k : k + count]
-        return _mix(total)
+            total = total * np.uint64(BASE) + self.hashes[k : k + count]
+        return mix(total)
 
     def within(self, n: int) -> np.ndarray:
         """Whether each run of ``n`` words stays in one text."""

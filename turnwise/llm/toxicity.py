@@ -15,20 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from turnwise.llm.common import learnable, materialize, unit_hash
+from turnwise.llm.common import learnable, materialize, mix, power_tables, unit_hash
 
 DIMENSIONS = 1 << 20
 #: Documents of either class in the labelled sample, and of either side of the posterior in the classifier's sample.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
 #: Voters at most, the labelled toxic documents a voter needs, and how often each of those should be covered.
 VOTERS, SUPPORT, COVER = 255, 4, 4
 #: How much likelier in toxic documents a voter's feature must be, at the cautious end of its estimate.
@@ -37,28 +35,35 @@ ROUNDS = 5
 #: Features of the linear classifier.
 VOCABULARY = 2000
 THRESHOLD = 0.3
-REMEMBERED = 300_000
 
-_words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_letters = np.zeros(0, bool)
 
 
-class _WordIds(dict):
-    """A word to its features: the word, and its first 4, 5 and 6 characters."""
-
-    def __missing__(self, word: str) -> tuple[int, int, int, int]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = ids = tuple(crc32(part.encode("utf-8", "surrogatepass")) % DIMENSIONS for part in (word, word[:4] + "*", word[:5] + "*", word[:6] + "*"))
-        return ids
-
-
-_ids = _WordIds()
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter; made once per worker."""
+    global _letters
+    if not len(_letters):
+        _letters = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _letters
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct features of a text, in ascending order."""
-    words = set(_words((text or "").lower()))
-    return np.unique(np.array([_ids[w] for w in words], np.int32))
+    """Distinct features of a text, in ascending order: each word in lower case, and its first 4, 5 and 6 letters.
+
+    A word is a run of letters. Its hash is the difference of two prefix sums, so all of a text are hashed at once.
+    """
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _is_letter()[points]
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    power, inverse = power_tables(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points.astype(np.uint64) * power[: len(points)], out=sums[1:])
+    cuts = np.concatenate([ends, *[np.minimum(starts + k, ends) for k in (4, 5, 6)]])
+    begins = np.tile(starts, 4)
+    kinds = np.repeat(np.array([1, 4, 5, 6], np.uint64), len(starts))
+    hashes = mix((sums[cuts] - sums[begins]) * inverse[begins] * np.uint64(8) + kinds)
+    return np.unique((hashes >> np.uint64(64 - DIMENSIONS.bit_length() + 1)).astype(np.int32))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +107,7 @@ def _cut(rows: DataFrame, bar) -> tuple[DataFrame, float]:
 
 
 def choose_voters(toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Features that vote: likelier by LIFT in toxic documents, taken while they cover ones that few others cover."""
+    """Features that vote: likelier by LIFT in toxic documents, surest first, while they cover ones that few others cover."""
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return np.zeros(0, np.int64)
@@ -110,7 +115,7 @@ def choose_voters(toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     hits, false = count(toxic), count(~toxic)
     cautious = (np.maximum(hits - np.sqrt(hits), 0) / n_toxic) / ((false + 1) / n_clean)
     candidates = np.flatnonzero((hits >= SUPPORT) & (cautious >= LIFT))
-    candidates = candidates[np.lexsort((candidates, false[candidates], -hits[candidates]))]
+    candidates = candidates[np.lexsort((candidates, -cautious[candidates]))]
     where: dict[int, list[int]] = {int(c): [] for c in candidates}
     for k in np.flatnonzero(toxic):
         for f in rows[k].tolist():
