@@ -149,7 +149,8 @@ def _hex(fp: Column) -> Column:
 def keep_first(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` that are the smallest doc_id of their group of near-duplicates; all columns stay.
 
-    A row without doc_id stays only if its whole group has none. Repeated rows of the id that stays all stay.
+    Repeated rows of the id that stays all stay. Rows without doc_id cannot be told apart: all of them stay if some group
+    has no id at all, else all go.
     """
     found = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return documents.join(found, documents["doc_id"].cast("long").eqNullSafe(found["kept_id"]), "left_semi")
