@@ -26,6 +26,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_ALL = 400, 8000
 #: One in so many of the sample is kept for the temperature.
 CALIBRATION = 5
 UNKNOWN = "und"
+BROADCAST_LANGUAGES = 10_000
 
 _words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
@@ -164,7 +165,9 @@ def train(documents: DataFrame) -> Model:
     each = max(2, min(SAMPLE_PER_LANGUAGE, SAMPLE_ALL // languages))
     # A sample by hash: about ``each`` rows of every language, all rows of a rare one.
     place = unit_hash(F.col("key"), F.col("text"))
-    rated = labelled.withColumn("place", place).join(per_language, "lang").filter(F.col("place") * F.col("n") < each)
+    # One row per language, counted above; the texts stay where they are and only the sample goes on.
+    sizes = F.broadcast(per_language) if languages <= BROADCAST_LANGUAGES else per_language
+    rated = labelled.withColumn("place", place).join(sizes, "lang").filter(F.col("place") * F.col("n") < each)
     rows = materialize(rated.select("place", "lang", "text").mapInArrow(_sampled, "place double, lang string, ids array<int>, counts array<int>"), "sample").orderBy("place", "lang").toArrow()
     names = tuple(sorted(set(rows["lang"].to_pylist())))
     labels = np.array([names.index(x) for x in rows["lang"].to_pylist()], np.int64)
