@@ -209,3 +209,26 @@ def test_toxicity_held_out(spark, odd_documents, no_documents):
     assert len(odd) == odd_documents.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in odd)
     assert toxicity.scored(odd_documents, toxicity.train(odd_documents, known.limit(0))).filter("predicted = 1").isEmpty()
     assert toxicity.scored(no_documents, toxicity.train(no_documents, known)).count() == 0
+
+
+@pytest.mark.parametrize("n_toxic, n_clean, leak", [(8, 40, 0.0), (24, 24, 0.0), (150, 900, 0.08), (3, 40, 0.0)], ids=["few", "balanced", "common", "three"])
+def test_toxicity_of_few_balanced_and_common_words(spark, n_toxic, n_clean, leak):
+    rng = random.Random(11)
+    common, bad = ["".join(rng.choice("abdeginorst") for _ in range(rng.randint(3, 9))) for _ in range(600)], ["vilest", "grobian", "schuft"]
+    docs = []
+    for k in range(4 * (n_toxic + n_clean)):
+        toxic = k % (n_toxic + n_clean) < n_toxic
+        words = [rng.choice(common) for _ in range(rng.randint(20, 80))]
+        # Each toxic text has the three words; where they leak, one of them is in a clean text now and then.
+        words += bad if toxic else [w for w in bad if rng.random() < leak]
+        docs.append((k, " ".join(rng.sample(words, len(words))), int(toxic)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    rows = toxicity.scored(table, toxicity.train(table, table.filter(f"doc_id < {n_toxic + n_clean}").select("doc_id", "toxic"))).filter(f"doc_id >= {n_toxic + n_clean}").collect()
+    caught, spared = [r.predicted == 1 for r in rows if r.toxic], [r.predicted == 0 for r in rows if not r.toxic]
+    assert _accuracy(caught) > 0.9 and _accuracy(spared) > 0.9
+
+
+def test_toxicity_voters_of_one_document_a_side():
+    rows = [np.array([1, 2, 3], np.int32), np.array([1, 4], np.int32)]
+    assert set(toxicity.choose_voters(np.array([True, False]), rows)) <= {2, 3} and len(toxicity.choose_voters(np.array([True, False]), rows))
+    assert not len(toxicity.choose_voters(np.array([True, True]), rows))

@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
-1. From a bounded sample of labelled documents, words and word beginnings that are far commoner in toxic ones become
-   voters; three more look at whether none, one or several of these fire.
+1. From a bounded sample of labelled documents, words and word beginnings that are surely commoner in toxic ones become
+   voters, far commoner ones first; three more look at whether none, one or several of these fire.
 2. All documents are voted on. A generative model of the votes (for each voter, how often it fires in either class) is
    fitted by expectation-maximisation over the counts of all vote patterns, with the labelled sample as anchor; the
    correlations of voters within the classes discount voters that say the same thing.
@@ -29,7 +29,7 @@ DIMENSIONS = 1 << 20
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
 #: Voters at most, the labelled toxic documents a voter needs, and how often each of those should be covered.
 VOTERS, SUPPORT, COVER = 255, 4, 4
-#: How much likelier in toxic documents a voter's feature must be, at the cautious end of its estimate.
+#: How much likelier in toxic documents, at the cautious end of its estimate, a feature is that no weaker one needs to back.
 LIFT = 25.0
 ROUNDS = 5
 #: Features of the linear classifier.
@@ -107,26 +107,41 @@ def _cut(rows: DataFrame, bar) -> tuple[DataFrame, float]:
 
 
 def choose_voters(toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Features that vote: likelier by LIFT in toxic documents, surest first, while they cover ones that few others cover."""
+    """Features that vote: likelier in toxic documents, surest first, while they cover ones that few others cover.
+
+    Those likelier by LIFT come first; others cover only documents that none of these covers. Features count if the
+    difference of their rates is beyond chance for as many features as were seen, and if none is, the best of those that
+    are likelier at all, so both sides having a document with words is enough for a voter unless no word tells them apart.
+    """
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return np.zeros(0, np.int64)
     count = lambda chosen: np.bincount(np.concatenate([np.zeros(0, np.int32), *[r for r, c in zip(rows, chosen) if c]]), minlength=DIMENSIONS)
     hits, false = count(toxic), count(~toxic)
+    rate = (hits + false) / len(rows)
+    surely = (hits / n_toxic - false / n_clean) / np.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean) + 1e-9)
+    # About the largest value that chance gives among as many features.
+    chance = np.sqrt(2 * np.log(max(int((hits + false > 0).sum()), 2)))
     cautious = (np.maximum(hits - np.sqrt(hits), 0) / n_toxic) / ((false + 1) / n_clean)
-    candidates = np.flatnonzero((hits >= SUPPORT) & (cautious >= LIFT))
-    candidates = candidates[np.lexsort((candidates, -cautious[candidates]))]
+    clear = (hits >= SUPPORT) & (cautious >= LIFT)
+    for enough in (clear | ((hits >= SUPPORT) & (surely >= chance)), hits >= SUPPORT, hits > 0):
+        candidates = np.flatnonzero(enough & (surely > 0))
+        if len(candidates):
+            break
+    candidates = candidates[np.lexsort((candidates, -surely[candidates], -cautious[candidates], ~clear[candidates]))]
     where: dict[int, list[int]] = {int(c): [] for c in candidates}
     for k in np.flatnonzero(toxic):
         for f in rows[k].tolist():
             if f in where:
                 where[f].append(int(k))
-    covered = np.zeros(len(rows), np.int64)
+    covered, clearly = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
     voters = []
     for f in candidates.tolist():
-        at = where[f]
-        if (covered[at] < COVER).sum() >= 2:
+        at = np.array(where[f])
+        wanted = (covered[at] < COVER) & (clear[f] | ~clearly[at])
+        if wanted.sum() >= min(2, len(at)):
             covered[at] += 1
+            clearly[at] |= clear[f]
             voters.append(f)
             if len(voters) == VOTERS:
                 break
@@ -256,7 +271,10 @@ class Scorer:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Scorer:
-    """Fit voters, label model and classifier; without toxic or clean labels to learn from every text scores about 0."""
+    """Fit voters, label model and classifier; without toxic or clean labels to learn from every text scores about 0.
+
+    So it does if no word at all is likelier in toxic documents than in clean ones.
+    """
     sample, share = labelled_sample(labels)
     aims, rows = _features_of(documents, sample)
     toxic = aims > 0.5
