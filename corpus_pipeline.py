@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from turnwise.llm import langid
 from turnwise.llm.common import configure, materialize
-from turnwise.llm.decontaminate import decontaminate
+from turnwise.llm.decontaminate import clean
 from turnwise.llm.mixing import emit, mixed
 from turnwise.llm.sharding import placed
-from turnwise.llm.simhash import keep_first
+from turnwise.llm.simhash import keep_one
 
 #: A document whose language is known with less than this calibrated probability is rejected.
 LANGUAGE_SCORE = 0.3
@@ -30,17 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by near-equal fingerprints."""
+    """One document, the first by doc_id and text, of each group linked by near-equal fingerprints."""
     configure(spark)
-    return keep_first(docs)
+    return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     configure(spark)
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaking = found.filter("contaminated").select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(leaking, docs["doc_id"].cast("long").eqNullSafe(leaking["_leaking"]), "left_anti")
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 import zlib
@@ -232,3 +233,14 @@ def test_toxicity_voters_of_one_document_a_side():
     rows = [np.array([1, 2, 3], np.int32), np.array([1, 4], np.int32)]
     assert set(toxicity.choose_voters(np.array([True, False]), rows)) <= {2, 3} and len(toxicity.choose_voters(np.array([True, False]), rows))
     assert not len(toxicity.choose_voters(np.array([True, True]), rows))
+
+
+def test_emit_of_null_and_shared_ids_meets_the_mix(spark):
+    rows = [(k % 3 or None, f"w{k} " * (k % 7 + 1), f"s{k % 4}") for k in range(120)] + [(5, "same text", "s0")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixed(docs)
+    want = Counter()
+    for r in mix.collect():
+        want[r.source, r.doc_id, bytes(r.text_digest)] += r.copies
+    got = Counter((r.source, r.doc_id, hashlib.md5(r.text.encode()).digest()) for r in emit(docs, mix).collect())
+    assert got == +want

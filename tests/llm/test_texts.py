@@ -204,3 +204,28 @@ def test_reply_order_against_sql(spark):
     got = reply_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*names)
     assert sorted(map(tuple, got.collect())) == want
     assert any(row[names.index("n_linked")] for row in want)
+
+
+LEAK = "one two three four five six seven eight nine ten eleven twelve"
+
+
+@pytest.fixture
+def shared_ids(spark):
+    rows = [(None, LEAK), (None, "a clean text without a number"), (7, LEAK + " more"), (7, "another clean text of seven"), (8, None), (None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_decontaminate_null_and_shared_ids(spark, shared_ids):
+    items = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    got = dec.decontaminate(shared_ids, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == sorted([("None", 12, 12, True), ("None", 6, 0, False), ("7", 13, 12, True), ("7", 5, 0, False), ("8", 0, 0, False), ("None", 0, 0, False)])
+    kept = dec.clean(shared_ids, items)
+    assert kept.columns == shared_ids.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(None, "a clean text without a number"), (7, "another clean text of seven"), (8, None), (None, None)]))
+
+
+def test_keep_one_of_null_and_shared_ids(spark, shared_ids, odd_documents, no_documents):
+    many = shared_ids.union(shared_ids.filter("doc_id IS NULL")).union(spark.createDataFrame([(3, LEAK.upper())], "doc_id long, text string"))
+    kept = sorted(map(str, map(tuple, simhash.keep_one(many).collect())))
+    assert kept == sorted(map(str, [(3, LEAK.upper()), (None, "a clean text without a number"), (7, LEAK + " more"), (7, "another clean text of seven"), (8, None)]))
+    assert sorted((r.doc_id for r in simhash.keep_one(odd_documents).collect()), key=str) == sorted([1, 1, 3, 6, 7, 8, None], key=str)
+    assert simhash.keep_one(no_documents).count() == 0

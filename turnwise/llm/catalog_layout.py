@@ -42,7 +42,7 @@ SELECT doc_id, source, size, source_size, target, (start + expected) // {_UNIT}
 
 @query("op1_mix", MIX_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(source_table(spark, sf_dir, "documents"))
+    return mixed(source_table(spark, sf_dir, "documents")).drop("text_digest")
 
 
 TOP_K_SQL = f"""

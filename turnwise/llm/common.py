@@ -21,7 +21,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
     "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "held_out", "learnable", "materialize", "mix",
-    "power_tables", "prefix_sums", "source_table", "text_slices", "unit_hash", "work_dir",
+    "power_tables", "prefix_sums", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
 ]
 
 
@@ -71,6 +71,16 @@ def learnable(doc_id: Column) -> Column:
     return ~held_out(doc_id)
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; with the doc_id it tells rows apart of which the id is null or shared."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def same_row(documents: DataFrame, doc_id: Column, digest: Column) -> Column:
+    """Whether a row of ``documents`` has this id and text; null is a value."""
+    return documents["doc_id"].cast("long").eqNullSafe(doc_id) & text_digest(documents["text"]).eqNullSafe(digest)
+
+
 def unit_hash(*columns: Column) -> Column:
     """A stable value in [0, 1) for hash-ordered samples."""
     return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import BASE, materialize, mix, power_tables, text_slices, work_dir
+from turnwise.llm.common import BASE, materialize, mix, power_tables, same_row, text_digest, text_slices, work_dir
 
 GRAM, WINDOW = 5, 10
 #: Fingerprints of the benchmark held by a Python worker at once (8 bytes each and a bitmap); more make further passes.
@@ -139,12 +139,12 @@ class _Lookup:
 
 def _scan(lengths_and_hashes: dict[int, np.ndarray], everything: bool):
     """Documents to their word count and the windows around fingerprint hits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("window", pa.string())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("window", pa.string())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = {n: _Lookup(hashes) for n, hashes in lengths_and_hashes.items()}
         for batch in batches:
-            ids = batch.column(0)
+            ids, digests = batch.column(0), batch.column(2)
             for first, last, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets)
                 found: list[tuple[np.ndarray, int]] = []
@@ -169,6 +169,7 @@ def _scan(lengths_and_hashes: dict[int, np.ndarray], everything: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[first + k].as_py() for k in rows], pa.int64()),
+                        pa.array([digests[first + k].as_py() for k in rows], pa.binary()),
                         pa.array([int(counts[k]) for k in rows], pa.int64()),
                         pa.array([hits[k] for k in rows], schema.field("hits").type),
                     ],
@@ -178,20 +179,14 @@ def _scan(lengths_and_hashes: dict[int, np.ndarray], everything: bool):
     return scan
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A word is hit if it lies in an occurrence of a window of some item. One row comes out per row of ``documents``;
-    rows that share a doc_id (or have none) share their hits. Null and empty texts have no words and no hits; items with
-    null or empty text have no window; items without an id mark words but are not named or counted. Other columns of
-    either side are not read.
-    """
+def _found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_words) per row of ``documents``; (hit_id, hit_digest, n_hit, n_items, items) per id and text with a hit."""
     spark = documents.sparkSession
     windows = materialize(benchmark_windows(benchmark), "benchmark-windows")
     kept = windows.select("n", F.explode("kept").alias("h")).distinct()
     blocks = -(-kept.count() // BLOCK_FINGERPRINTS) or 1
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id bigint, n_words bigint, hits array<struct<start:int,n:int,window:string>>"
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_digest(F.col("text")).alias("digest"))
+    schema = "doc_id bigint, digest binary, n_words bigint, hits array<struct<start:int,n:int,window:string>>"
     path = work_dir(spark, "scanned")
     for block in range(blocks):
         # At most about BLOCK_FINGERPRINTS rows reach the driver at once; hashes are dealt evenly over the blocks.
@@ -201,23 +196,36 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts.mapInArrow(_scan(chosen, block == 0), schema).withColumn("first", F.lit(block == 0)).write.mode("append").parquet(path)
     scanned = spark.read.schema(f"{schema}, first boolean").parquet(path)
 
-    hits = scanned.filter(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    row = ["doc_id", "digest"]
+    hits = scanned.filter(F.size("hits") > 0).select(*row, F.explode("hits").alias("hit")).select(*row, "hit.*")
     named = windows.select("window", "n", "item_id").distinct()
     known = named.select("window", "n").distinct()
     real = materialize(hits.join(known, ["window", "n"], "left_semi").distinct(), "real-hits")
 
-    order = Window.partitionBy("doc_id").orderBy("start", "n")
+    order = Window.partitionBy(*row).orderBy("start", "n")
     reached = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    covered = real.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), reached.alias("reached"))
-    words = covered.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reached", F.lit(0))))).alias("n_hit"))
+    covered = real.select(*row, "start", (F.col("start") + F.col("n")).alias("end"), reached.alias("reached"))
+    words = covered.groupBy(*row).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reached", F.lit(0))))).alias("n_hit"))
     items = (
-        real.select("doc_id", "window", "n").distinct().join(named.filter("item_id IS NOT NULL"), ["window", "n"])
-        .select("doc_id", "item_id").distinct()
-        .groupBy("doc_id").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item_id"))).alias("items"))
+        real.select(*row, "window", "n").distinct().join(named.filter("item_id IS NOT NULL"), ["window", "n"])
+        .select(*row, "item_id").distinct()
+        .groupBy(*row).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item_id"))).alias("items"))
     )
-    found = words.join(items, words.doc_id.eqNullSafe(items.doc_id), "left").select(words.doc_id.alias("hit_id"), "n_hit", "n_items", "items")
-    base = scanned.filter("first").select("doc_id", "n_words")
-    return base.join(found, base.doc_id.eqNullSafe(found.hit_id), "left").select(
+    same = words.doc_id.eqNullSafe(items.doc_id) & (words.digest == items.digest)
+    found = words.join(items, same, "left").select(words.doc_id.alias("hit_id"), words.digest.alias("hit_digest"), "n_hit", "n_items", "items")
+    return scanned.filter("first").select(*row, "n_words"), found
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A word is hit if it lies in an occurrence of a window of some item. One row comes out per row of ``documents``, and
+    its hits are those of its own text, also where a doc_id is null or shared. Null and empty texts have no words and no
+    hits; items with null or empty text have no window; items without an id mark words but are not named or counted.
+    Other columns of either side are not read.
+    """
+    base, found = _found(documents, benchmark)
+    return base.join(found, base.doc_id.eqNullSafe(found.hit_id) & (base.digest == found.hit_digest), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -225,3 +233,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``documents`` whose text has no hit."""
+    found = _found(documents, benchmark)[1]
+    return documents.join(found, same_row(documents, found["hit_id"], found["hit_digest"]), "left_anti")

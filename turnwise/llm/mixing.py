@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import BLANK_SEPARATED, materialize, prefix_sums
+from turnwise.llm.common import BLANK_SEPARATED, materialize, prefix_sums, same_row, text_digest
 
 #: Expected copies are whole multiples of 2**-BITS, so that sums are exact in any order.
 BITS = 40
@@ -55,11 +55,11 @@ def source_offset(source: Column, seed: str) -> Column:
 
 
 def copies_by_systematic_sampling(expected: DataFrame, seed: str = "mix") -> DataFrame:
-    """Add ``copies`` to rows of (doc_id, source, size, expected): expected is in units of 2**-BITS.
+    """Add ``copies`` to rows of (doc_id, source, size, text_digest, expected): expected is in units of 2**-BITS.
 
     The copies of a source add up to its summed expectations rounded down or up, and those of a document to its own.
     """
-    placed = prefix_sums(expected, ["source"], [F.col("size"), F.col("doc_id")], "mix-order", before=F.col("expected").cast("decimal(20,0)"))
+    placed = prefix_sums(expected, ["source"], [F.col("size"), F.col("doc_id"), F.col("text_digest")], "mix-order", before=F.col("expected").cast("decimal(20,0)"))
     unit = 1 << BITS
     # Only the part below one matters: a stretch crosses as many whole numbers wherever it begins.
     start = F.pmod(F.col("before") + source_offset(F.col("source"), seed), F.lit(unit).cast("decimal(20,0)")).cast("long")
@@ -67,26 +67,42 @@ def copies_by_systematic_sampling(expected: DataFrame, seed: str = "mix") -> Dat
 
 
 def mixed(documents: DataFrame, weights: DataFrame | None = None, share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """Per row of ``documents``: doc_id, source, size (words), source_size, target of its source, copies, taken.
+    """Per row of ``documents``: doc_id, source, size (words), source_size, target of its source, copies, taken, text_digest.
 
     ``weights`` has (source, weight); by default weights 5, 2, 1 are dealt in turn. Null and empty texts have size 0 and
     their copies take no words; a null source is a source; repeated rows are rows of their own; a source of size zero has
     target zero and is not taken. Reruns give the same copies. Other columns are not read.
     """
-    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), text_digest(F.col("text")).alias("text_digest"))
     sized = materialize(sized, "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(water_levels(sizes, weights if weights is not None else cycled_weights(sizes), share, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(1 << BITS))).cast("long")).otherwise(0)
     rates = targets.select(F.col("source").alias("_t_source"), "source_size", "target", rate.alias("expected"))
-    expected = sized.join(rates, F.col("source").eqNullSafe(F.col("_t_source"))).select("doc_id", "source", "size", "source_size", "target", "expected")
+    expected = sized.join(rates, F.col("source").eqNullSafe(F.col("_t_source"))).select("doc_id", "source", "size", "source_size", "target", "text_digest", "expected")
     return copies_by_systematic_sampling(expected, seed).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_digest"
     )
 
 
 def emit(documents: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of ``documents``, each as often as the mix takes it; rows of one doc_id share the copies of that id."""
-    copies = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = documents.join(copies, documents["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[documents[c] for c in documents.columns])
+    """The rows of ``documents``, as often as the mix takes them.
+
+    Rows equal in doc_id, source and text come out as often, together, as the mix takes all of them: each as often as the
+    least taken, and one of them for what is left.
+    """
+    per = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_digest").alias("_digest"))
+    taken = materialize(per.agg(F.min("copies").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_left")), "copies")
+    columns = documents.columns
+
+    def match(rows: DataFrame) -> Column:
+        return same_row(documents, rows["_id"], rows["_digest"]) & documents["source"].cast("string").eqNullSafe(rows["_source"])
+
+    def repeated(rows: DataFrame, times: str) -> DataFrame:
+        return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int"))))
+
+    each, rest = taken.filter("_copies > 0").drop("_left"), taken.filter("_left > 0").drop("_copies")
+    own = [documents[c] for c in columns]
+    always = repeated(documents.join(each, match(each)), "_copies").select(*own)
+    one = documents.join(rest, match(rest)).groupBy("_id", "_source", "_digest", "_left").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row"))
+    return always.unionAll(repeated(one, "_left").select("_row.*"))
