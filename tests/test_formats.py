@@ -165,3 +165,28 @@ def test_records_to_turns(spark):
     tagged = materialize(turn_ops.tag_groups(atoms), "tagged")
     turns = turn_ops.turns_with_context(tagged).orderBy("group_index").collect()
     assert [(t.canonical_text, t.assistant_reply_count) for t in turns] == [("one", 1), ("two", 1)]
+
+
+# Own numbers and members of one, two and three levels; the fourth level is not read.
+NESTED = {"usage": {"input_tokens": 1}, "metadata": {"token_usage": {"output_tokens": 20, "tokens": {"input_tokens": 300, "usage": {"input_tokens": 9000}}}}}
+
+
+@pytest.mark.parametrize(
+    "profile, platform, record, total",
+    [
+        ("chat_history", "grok", {"type": "assistant", "content": "ok", **NESTED}, 321),
+        ("message_blocks", "claude_code", {"type": "assistant", "message": {"role": "assistant", "content": "ok", **NESTED}}, 321),
+        ("factory", "factory_droid", {"type": "message", "message": {"role": "assistant", "content": [{"type": "text", "text": "ok"}], **NESTED}}, 321),
+        ("generic", "generic", {"role": "assistant", "content": "ok", "usage": NESTED}, 321),
+        ("event_log", "codex", {"type": "event_msg", "payload": {"type": "token_count", "info": NESTED}}, 321),
+    ],
+)
+def test_nested_usage_of_records(spark, profile, platform, record, total):
+    fragments, _ = fragments_of(records(spark, platform, [record]), profile)
+    assert [r.usage.total_tokens for r in fragments.where("usage IS NOT NULL").collect()] == [total]
+
+
+def test_cumulative_usage_in_nested_members(spark):
+    record = {"type": "event_msg", "payload": {"type": "token_count", "info": {"usage": {"input_tokens": 5}, "totalUsage": {"input_tokens": 7, "total_usage": {"input_tokens": 40}}}}}
+    row = fragments_of(records(spark, "codex", [record]), "event_log")[0].where("usage IS NOT NULL").first()
+    assert (row.usage.input_tokens, row.cumulative_usage.input_tokens) == (5, 47)

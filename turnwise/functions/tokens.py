@@ -57,6 +57,8 @@ USAGE_MEMBERS = (
     "lastTokenUsage",
 )
 CUMULATIVE_MEMBERS = ("total_token_usage", "totalTokenUsage", "total_usage", "totalUsage", "info")
+# Levels of members that are looked into.
+DEPTH = 3
 PAYLOAD_MEMBERS = ("token_usage", "usage", "tokenUsage")
 
 
@@ -121,10 +123,19 @@ def merge(usages: list[Column] | Column) -> Column:
 
 
 def extract(value: Column, members: tuple[str, ...] = USAGE_MEMBERS) -> Column:
-    """Usage of a JSON object: that of each declared member, one and two levels down, merged with its own numbers."""
-    places = [*(f"$.{a}.{b}" for a in members for b in members), *(f"$.{a}" for a in members), "$"]
-    held = F.array_compact(F.array(*[F.try_variant_get(value, place, "variant") for place in places]))
-    return F.when(value.isNotNull(), merge(F.transform(F.filter(held, is_object), from_object)))
+    """Usage of a JSON object: that of each declared member, down to three levels, merged with its own numbers."""
+
+    def objects(held: Column, depth: int) -> Column:
+        """An object and those in its members, each after what it holds."""
+        if not depth:
+            return F.array(held)
+        inner = F.filter(F.array(*[F.try_variant_get(held, f"$.{member}", "variant") for member in members]), is_object)
+        return F.concat(F.flatten(F.transform(inner, lambda one: objects(one, depth - 1))), F.array(held))
+
+    def total(given: Column) -> Column:
+        return F.when(is_object(given), merge(F.transform(objects(given, DEPTH), from_object)))
+
+    return bind(value, total)
 
 
 def from_payload(value: Column) -> Column:

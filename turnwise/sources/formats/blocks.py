@@ -78,7 +78,7 @@ def fragments_message_blocks(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             "mid": jsonv.string(message, "id"),
             "request": F.coalesce(jsonv.string(v, "requestId", "request_id"), jsonv.string(message, "requestId", "request_id")),
             "plain": jsonv.string(message, "content"),
-            "billed": core.with_model(tokens.from_object(jsonv.member(message, "usage")), jsonv.string(message, "model")),
+            "billed": core.with_model(tokens.extract(message), jsonv.string(message, "model")),
         }
     )
     actor, side = F.col("actor"), F.coalesce("side", F.lit(False))
@@ -119,8 +119,8 @@ def fragments_factory(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         {
             "actor": roles.map_role(F.coalesce(jsonv.string(message, "role"), F.lit("assistant"))),
             "text_stop": roles.normalize_stop_reason(jsonv.string(message, "stop_reason")),
-            "billed": tokens.from_object(jsonv.member(message, "usage")),
-            "settings_usage": tokens.from_object(core.first_present(v, "tokenUsage", "usage")),
+            "billed": tokens.extract(message),
+            "settings_usage": tokens.extract(core.first_present(v, "tokenUsage", "usage")),
             "settings_model": jsonv.string(v, "model"),
             "title": jsonv.string(v, "sessionTitle", "title"),
             "cwd": jsonv.string(v, "cwd"),
@@ -184,7 +184,7 @@ def fragments_thread(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             "time_key": sent,
             "actor": roles.map_role(F.coalesce(jsonv.string(v, "role"), F.lit("assistant"))),
             "text_stop": roles.normalize_stop_reason(jsonv.string(v, "state.stopReason", "stopReason")),
-            "billed": tokens.from_object(jsonv.member(v, "usage")),
+            "billed": tokens.extract(jsonv.member(v, "usage")),
             "title": jsonv.string(v, "title"),
             "uri": jsonv.string(tree, "uri"),
         }

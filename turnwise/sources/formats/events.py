@@ -71,14 +71,8 @@ def fragments_event_log(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             "p_model": jsonv.string(p, "model"),
             "call": F.coalesce(jsonv.string(p, "call_id"), F.concat(F.lit("event:"), F.col("record_id"))),
             "own_meta": F.concat(F.lit("sess:"), F.col("source_platform"), F.lit(":"), jsonv.string(p, "id")) == F.col("session_ref"),
-            "usage": F.coalesce(
-                tokens.from_object(core.first_present(p, "usage", "token_usage", "info.last_token_usage", "last_token_usage")),
-                tokens.from_object(F.coalesce(core.first_present(p, "info"), p)),
-            ),
-            "cumulative": F.coalesce(
-                tokens.from_object(core.first_present(p, "info.total_token_usage", "total_token_usage")),
-                tokens.from_object(F.coalesce(core.first_present(p, "info"), p)),
-            ),
+            "usage": tokens.extract(F.when(jsonv.string(p, "type") == "message", p).otherwise(F.coalesce(core.first_present(p, "info"), p))),
+            "cumulative": tokens.extract(F.coalesce(core.first_present(p, "info"), p), tokens.CUMULATIVE_MEMBERS),
             "text_stop": roles.normalize_stop_reason(jsonv.string(p, "stop_reason")),
             "said": F.nullif(jsonv.string(p, "message"), F.lit("")),
         }

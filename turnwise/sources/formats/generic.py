@@ -47,7 +47,7 @@ AGENT = (
     "agentId", "agent_id", "childAgentKey", "child_agent_key", "session.agentId", "session.agent_id", "session.childAgentKey",
     "session.child_agent_key",
 )
-# Where a message may hold its usage, in order; deeper nesting is read by ``tokens.extract`` where exports need it.
+# Where a message may hold its usage, in order; what is nested in it is read by ``tokens.extract``.
 USAGE = ("usage", "token_usage", "tokenUsage", "tokens", "metadata.usage", "metadata.token_usage", "metadata.tokenUsage", "metadata.tokens")
 ROLE = ("role", "author.role", "author.type", "author", "sender.role", "sender", "from", "info.role")
 ROLE_ALIASES = {
@@ -156,7 +156,7 @@ def fragments_generic(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = read.withColumns(
         {
             "role": F.coalesce(generic_role(v), generic_role(message)),
-            "billed": tokens.from_object(F.coalesce(core.first_present(message, *USAGE), core.first_present(v, "usage", "providerData.usage"))),
+            "billed": tokens.extract(F.coalesce(core.first_present(message, *USAGE), core.first_present(v, "usage", "providerData.usage"))),
             "text_stop": roles.normalize_stop_reason(
                 F.coalesce(jsonv.string(message, "stop_reason", "stopReason"), jsonv.string(v, "stop_reason", "stopReason"))
             ),

@@ -21,7 +21,7 @@ def fragments_multi_agent(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             "role": jsonv.string(v, "role"),
             "content": jsonv.string(v, "content"),
             "error": F.coalesce(jsonv.boolean(v, "metadata.is_error"), jsonv.boolean(v, "metadata.isError"), F.lit(False)),
-            "billed": tokens.from_object(jsonv.member(v, "metadata.usage")),
+            "billed": tokens.extract(jsonv.member(v, "metadata.usage")),
             "text_stop": roles.normalize_stop_reason(jsonv.string(v, "stop_reason", "stopReason")),
             "label": jsonv.string(v, "label"),
             "title": jsonv.string(v, "title"),
@@ -100,7 +100,7 @@ def fragments_chat_history(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             "summary": _plain_text(v, "summary"),
             "synthetic": F.coalesce(jsonv.string(v, "synthetic_reason") != "", F.lit(False)),
             "said_model": jsonv.string(v, "model_id", "model"),
-            "billed": tokens.from_object(core.first_present(v, "usage", "token_usage", "tokens")),
+            "billed": tokens.extract(v),
             "title": jsonv.string(v, "generated_title", "session_summary", "title"),
             "current_model": jsonv.string(v, "current_model_id", "model"),
             "directory": path_identity(F.coalesce(jsonv.string(v, "info.cwd", "git_root_dir"), decode_percent(jsonv.string(v, "encoded_cwd")))),
