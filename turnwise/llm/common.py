@@ -20,8 +20,8 @@ BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
-    "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "held_out", "learnable", "materialize", "mix",
-    "power_tables", "prefix_sums", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
+    "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "file_uri", "held_out", "join_split", "learnable",
+    "materialize", "mix", "power_tables", "prefix_sums", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
 ]
 
 
@@ -86,6 +86,32 @@ def unit_hash(*columns: Column) -> Column:
     return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
 
+#: A key with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def join_split(facts: DataFrame, lookup: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``facts`` with the one row that ``lookup`` has per key, whatever share of the facts a key holds.
+
+    ``lookup.rows`` tells how many of the ``total`` facts have the key, so less than HOT_SHARE lookup rows are hot: these
+    are broadcast and their facts stay where they are. All other facts are shuffled by a key that is never hot. ``how``
+    is inner or left; the column ``rows`` is left out. A null key matches nothing.
+    """
+    heavy = F.col(rows) * HOT_SHARE > total
+    hot, rest = lookup.filter(heavy).drop(rows), lookup.filter(~heavy).drop(rows)
+    stay = facts.join(F.broadcast(hot), key)
+    move = facts.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return stay.unionByName(move)
+
+
+def file_uri(path: str) -> str:
+    """A path as pyarrow's file systems take it: with a scheme, and an empty host where none is named."""
+    if "://" in path:
+        return path
+    scheme, colon, rest = path.partition(":/")
+    return f"{scheme}:///{rest.lstrip('/')}" if colon else f"file://{path}"
+
+
 def text_slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row, UTF-8 bytes, offsets) of runs of texts of about ``limit`` bytes; null reads as empty.
 
