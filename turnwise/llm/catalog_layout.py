@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnwise.llm import gnat
 from turnwise.llm.common import BLANK_SEPARATED, source_table
 from turnwise.llm.mixing import BITS, mixed
 from turnwise.llm.registry import query
@@ -78,3 +79,31 @@ SELECT doc_id, CAST(d.slot AS INT) AS slot, 'shard-' || lpad(CAST(number AS VARC
 @query("op9_shard", SHARD_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(source_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
+NEGATIVES_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {gnat.SHIFTED} = 0 THEN (label + 1) % {gnat.LABELS} ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {gnat.SCALE}) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v AS a, v AS c WHERE a.vec_id % {gnat.ANCHORS} = 0 AND c.vec_id <> a.vec_id AND len(a.x) = len(c.x)
+),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.r ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  WHERE p.r <= {gnat.POSITIVES} AND {gnat.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {gnat.HIGH} * positive_score
+)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= {gnat.NEGATIVES}
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(source_table(spark, sf_dir, "embeddings"))
