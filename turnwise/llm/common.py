@@ -21,7 +21,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
     "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "file_uri", "held_out", "join_split", "learnable",
-    "materialize", "mix", "power_tables", "prefix_sums", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
+    "materialize", "mix", "power_tables", "prefix_sums", "runs", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
 ]
 
 
@@ -131,6 +131,25 @@ def text_slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[in
         first = last
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of a sorted stream by their first ``keys`` columns, which hold no null; one group is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        columns = [np.asarray(batch.column(k)) for k in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        for first, last in zip([0, *change], [*change, batch.num_rows]):
+            if first == last:
+                continue
+            now = tuple(c[first] for c in columns)
+            if now != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], label: str, **values: Column) -> DataFrame:
     """Add, per key and in ``order``, the sum of each value over all earlier rows (exclusive; nulls count as zero).
 

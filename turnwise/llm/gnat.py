@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import discard, materialize, unit_hash
+from turnwise.llm.common import discard, materialize, runs, unit_hash
 
 SCALE, ANCHORS, SHIFTED, LABELS = 256, 50, 7, 10
 POSITIVES, NEGATIVES = 5, 3
@@ -239,30 +239,6 @@ class Index:
     trees: DataFrame
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of a sorted stream by their first ``keys`` columns, one group held at a time."""
-    key, held = None, []
-    for batch in batches:
-        columns = [np.asarray(batch.column(k)) for k in range(keys)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
-        for first, last in zip([0, *change], [*change, batch.num_rows]):
-            if first == last:
-                continue
-            now = tuple(int(c[first]) for c in columns)
-            if now != key and held:
-                yield key, pa.Table.from_batches(held)
-                held = []
-            key = now
-            held.append(batch.slice(first, last - first))
-    if held:
-        yield key, pa.Table.from_batches(held)
-
-
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    joined = column.combine_chunks()
-    return pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
-
-
 def build(rows: DataFrame) -> Index:
     """Index of all ``rows`` (vec_id, label, vector); split points at the top come from SAMPLE_ROWS rows by hash.
 
@@ -320,7 +296,7 @@ def build(rows: DataFrame) -> Index:
     keys = ["dim", "region", "chunk"]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, table in _runs(batches, 3):
+        for key, table in runs(batches, 3):
             ids, labels, vectors = np.asarray(_one(table.column(3))), np.asarray(_one(table.column(4))), _matrix(_one(table.column(5)))
             tree = pickle.dumps((ids, labels, vectors, grown(vectors, space)), protocol=5)
             yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([tree], pa.large_binary()).cast(pa.binary())], names=[*keys, "tree"])
@@ -386,7 +362,7 @@ def search(index: Index, anchors: DataFrame, same: bool, keep: int, home: bool)
         planted = None
         # The tree of a chunk comes before the anchors that look into it, and these in bounded batches.
         for batch in batches:
-            for key, table in _runs(iter([batch]), 5):
+            for key, table in runs(iter([batch]), 5):
                 if key[4] == 0:
                     planted = key[:4], pickle.loads(table.column(10)[0].as_py())
                     continue
