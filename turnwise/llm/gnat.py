@@ -33,8 +33,9 @@ POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 #: Split points at the top, and rows of the sample they are chosen from.
 REGIONS, SAMPLE_ROWS = 64, 4096
-#: Rows of a chunk, split points of an inner node, rows of a leaf.
-CHUNK_ROWS, DEGREE, LEAF_ROWS = 4096, 16, 256
+#: Rows of a chunk at most (less where twice the mean of a region is less, but not below the second), split points of an
+#: inner node, rows of a leaf.
+CHUNK_ROWS, SMALL_CHUNK, DEGREE, LEAF_ROWS = 4096, 512, 16, 256
 #: Anchors that one task holds against a chunk, and at a time.
 BLOCK_ANCHORS, TILE_ANCHORS = 8192, 512
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -239,6 +240,11 @@ class Index:
     trees: DataFrame
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
+
+
 def build(rows: DataFrame) -> Index:
     """Index of all ``rows`` (vec_id, label, vector); split points at the top come from SAMPLE_ROWS rows by hash.
 
@@ -289,7 +295,10 @@ def build(rows: DataFrame) -> Index:
     for r in spans.groupBy("dim", "point", "region").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         ranges[r.dim][0][r.point, r.region], ranges[r.dim][1][r.point, r.region] = r.low, r.high
 
-    sizes = materialize(dealt.groupBy("dim", "region").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")), "chunk-counts")
+    # A crowded region is cut finer than its neighbours, so that no task has much more to do than the others.
+    regions = sum(map(len, points.values())) or 1
+    rows_each = min(CHUNK_ROWS, max(SMALL_CHUNK, 2 * longest[1] // regions))
+    sizes = materialize(dealt.groupBy("dim", "region").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("chunks")), "chunk-counts")
     place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("chunks").cast("long")).cast("int")
     # One row per region: fewer than SAMPLE_ROWS, and one for each length that the sample did not hold.
     chunked = dealt.join(sizes, ["dim", "region"]).select("dim", "region", place.alias("chunk"), "vec_id", "label", "vector")
