@@ -3,8 +3,10 @@ import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,43 @@ def test_emit_of_null_and_shared_ids_meets_the_mix(spark):
         want[r.source, r.doc_id, bytes(r.text_digest)] += r.copies
     got = Counter((r.source, r.doc_id, hashlib.md5(r.text.encode()).digest()) for r in emit(docs, mix).collect())
     assert got == +want
+
+
+def test_rows_without_an_id_spread_over_files(spark):
+    rows = [(None if k % 12 else k, f"text {k % 50}" if k % 3 else "the same text") for k in range(4000)]
+    folder = work_dir(spark, "test-ids")
+    orphan = Path(folder) / "ids-00000000-00000-lost.zst"
+    orphan.parent.mkdir(parents=True)
+    orphan.write_bytes(b"half a file")
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), str(WORDS), folder)
+    sizes = [r.n for r in token_files.read_token_files(files).groupBy("shard", "part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 1000
+    assert not orphan.exists() and len(list(Path(folder).glob("ids-*"))) == 8
+    assert token_files._per_file(files).rdd.getNumPartitions() == 8
+
+
+def test_pieces_beyond_sixteen_bytes_and_full_tables(library, monkeypatch):
+    from turnwise.llm import encoding
+
+    monkeypatch.setattr(encoding, "REMEMBERED", 300)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiouéßñstr") for _ in range(rng.randint(1, 30))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "'s", "'re", "'really", "''t", ".", "!'d"]) for _ in range(40)) for _ in range(200)]
+    texts[7:7] = ["", "中文 plain", "a<|endoftext|>b", None]
+    coder = Encoder(str(WORDS))
+    for first in range(0, len(texts), 16):
+        part = texts[first : first + 16]
+        ids, counts = coder.encoded(pa.array(part))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_hot_keys_join_without_being_gathered(spark, monkeypatch):
+    from turnwise.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    facts = spark.createDataFrame([("hot" if k % 2 else f"k{k % 300}" if k % 5 else None, k) for k in range(3000)], "key string, v long")
+    lookup = facts.filter("key IS NOT NULL AND key <> 'k2'").groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    for how in ("inner", "left"):
+        want = facts.join(lookup.drop("n"), "key", how)
+        assert Counter(map(tuple, common.join_split(facts, lookup, "key", "n", 3000, how).select("key", "v", "most").collect())) == Counter(map(tuple, want.select("key", "v", "most").collect()))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize
+from turnwise.llm.common import file_uri, materialize
 from turnwise.llm.encoding import encoder
 
 #: Fixed by the zstandard format: the kinds of skippable frame used, and the end of a seek table.
@@ -39,12 +39,11 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("known", "<u4"), ("frame", "<u4"), ("at",
 
 
 class ShardWriter:
-    """Writes one file through a temporary name, so that a lost or repeated attempt leaves no half file behind."""
+    """Writes one file. Every attempt of a task has names of its own; which files count is told by the table of files."""
 
     def __init__(self, uri: str) -> None:
-        self.fs, self.path = pa.fs.FileSystem.from_uri(uri)
-        self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.fs.open_output_stream(self.part)
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        self.out = fs.open_output_stream(path, compression=None)
         self.zip = zstandard.ZstdCompressor(level=1, write_checksum=False)
         self.pending: list[bytes] = []
         self.pending_bytes = self.bytes = 0
@@ -74,7 +73,6 @@ class ShardWriter:
         table = b"".join(struct.pack("<III", *row) for row in self.seek)
         self.out.write(struct.pack("<II", SEEK_KIND, len(table) + 9) + table + struct.pack("<IBI", len(self.seek), 0x80, SEEK_MAGIC))
         self.out.close()
-        self.fs.move(self.part, self.path)
 
 
 class ShardReader:
@@ -123,16 +121,18 @@ def _write(path: str, end_id: int | None, folder: str):
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, writer, done = None, 0, None, []
+        shard, part, writer, done, attempt = None, 0, None, [], uuid.uuid4().hex
         for batch in batches:
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py() if shard is None else shard
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).packed([t or "" for t in batch.column(1).to_pylist()])):
+            ids, counts = encoder(path).encoded(batch.column(1))
+            ids, ends = ids.astype("<u4", copy=False), np.cumsum(counts)
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist()):
                 if writer is None:
-                    done.append((shard, part, f"{folder}/ids-{shard:08d}-{part:05d}.zst"))
+                    done.append((shard, part, f"{folder}/ids-{shard:08d}-{part:05d}-{attempt}.zst"))
                     writer, part = ShardWriter(done[-1][2]), part + 1
-                writer.add(doc_id, ids + end)
+                writer.add(doc_id, ids[first:last].tobytes() + end)
                 if writer.bytes >= FILE_BYTES:
                     writer.close()
                     writer = None
@@ -147,18 +147,46 @@ def _write(path: str, end_id: int | None, folder: str):
 def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int | None = 1) -> DataFrame:
     """Encode every text, append ``end_id`` and write files in ascending doc_id order; returns (shard, part, uri).
 
-    The order of (shard, part) and the place in a file is the order of doc_id, nulls last, equal ids in any order.
-    ``folder`` is a shared folder; null texts are empty and hold the end id only; an empty table writes no file.
-    Texts are moved once, before they are encoded, and each task writes what it has sorted.
+    The order of (shard, part) and the place in a file is the order of doc_id, nulls last; rows of one id, or of none, come
+    in the order of a hash of their texts and may spread over several files. ``folder`` is a shared folder; null texts are
+    empty and hold the end id only; an empty table writes no file. Texts are moved once, before they are encoded, and each
+    task writes what it has sorted. A file counts once the task that wrote it is committed to the table returned; files of
+    attempts that were lost are deleted then.
     """
     spark = documents.sparkSession
-    target, local = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    folder = file_uri(folder)
+    target, local = pa.fs.FileSystem.from_uri(folder)
     target.create_dir(local, recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("doc_id").asc_nulls_last()
     texts = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    sorted_texts = texts.repartitionByRange(parts, key).sortWithinPartitions(key).select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
-    return materialize(sorted_texts.mapInArrow(_write(path, end_id, folder if "://" in folder else f"file://{folder}"), _FILES), "token-files")
+    # Rows equal in id and text may be a third of all, so their place in the input cuts between them.
+    keyed = texts.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    key = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("place")]
+    sorted_texts = keyed.repartitionByRange(parts, *key).sortWithinPartitions(*key).select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
+    files = materialize(sorted_texts.mapInArrow(_write(path, end_id, folder), _FILES), "token-files")
+    _sweep(files, folder)
+    return files
+
+
+def _sweep(files: DataFrame, folder: str) -> None:
+    """Delete token files of the folder that no committed task has written."""
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(1).to_pylist():
+                fs, path = pa.fs.FileSystem.from_uri(file_uri(uri))
+                fs.delete_file(path)
+            yield batch.select([0])
+
+    name = lambda uri: F.element_at(F.split(uri, "/"), -1)
+    written = files.select(name("uri").alias("name"))
+    there = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "ids-*.zst").load(folder).select(name("path").alias("name"), "path")
+    there.join(written, "name", "left_anti").mapInArrow(delete, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _per_file(files: DataFrame) -> DataFrame:
+    """The table of files dealt to one task each."""
+    return files.repartition(max(1, min(files.count(), 100_000)), F.col("shard"), F.col("part"))
 
 
 def read_token_files(files: DataFrame, wanted: list[int] | None = None) -> DataFrame:
@@ -176,7 +204,7 @@ def read_token_files(files: DataFrame, wanted: list[int] | None = None) -> DataF
                         rows, size = [], 0
                 yield _rows(rows)
 
-    return files.repartition(F.col("shard"), F.col("part")).mapInArrow(read, _IDS)
+    return _per_file(files).mapInArrow(read, _IDS)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,7 +232,7 @@ _SUMMARY = ["doc_id", "shard", "part", "at", "n_tokens", "ids_crc32"]
 
 def token_layout(files: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    read = materialize(files.repartition(F.col("shard"), F.col("part")).mapInArrow(_summary, ", ".join(f"{c} bigint" for c in _SUMMARY)), "token-layout")
+    read = materialize(_per_file(files).mapInArrow(_summary, ", ".join(f"{c} bigint" for c in _SUMMARY)), "token-layout")
     sizes = read.groupBy("shard", "part").agg(F.sum("n_tokens").alias("ids"))
     # One row per file of up to FILE_BYTES; the running sum over them is the only thing one task does alone.
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
