@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize
+from turnwise.llm.common import join_split, materialize
 from turnwise.llm.encoding import encoder, tokenizer_digest
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens bigint"
@@ -41,7 +41,7 @@ def read_cache(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFram
 def _counted(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(ids) // 4 for ids in encoder(path).packed(batch.column(1).to_pylist())]
+            sizes = encoder(path).encoded(batch.column(1))[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["content", "n_tokens"])
 
     return count
@@ -61,7 +61,8 @@ def token_counts(documents: DataFrame, path: str, cache_path: str, limit: int =
     content = content.withColumn("content", F.unhex(F.sha2("normal", 256)))
     narrow = materialize(content.select("doc_id", "n_bytes", "content"), "digests")
 
-    missing = materialize(narrow.select("content").distinct().join(read_cache(spark, cache_path, tokenizer), "content", "left_anti"), "missing")
+    contents = materialize(narrow.groupBy("content").agg(F.count("*").alias("rows")), "contents")
+    missing = materialize(contents.select("content").join(read_cache(spark, cache_path, tokenizer), "content", "left_anti"), "missing")
     count = missing.count()
     if count:
         if count <= BROADCAST_DIGESTS:
@@ -72,5 +73,7 @@ def token_counts(documents: DataFrame, path: str, cache_path: str, limit: int =
             distinct = distinct.join(missing, "content", "left_semi")
         fresh = distinct.select("content", "normal").mapInArrow(_counted(path), "content binary, n_tokens bigint")
         fresh.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, tokenizer)
-    return narrow.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Both sides have a row per content here; the rows of the documents then join without a hot key.
+    counts = materialize(read_cache(spark, cache_path, tokenizer).join(contents, "content"), "counts")
+    told = join_split(narrow, counts, "content", "rows", narrow.count())
+    return told.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
