@@ -17,7 +17,6 @@ from turnwise.schemas import ATOM, RECORD, complete
 from turnwise.session import materialize, work_dir
 from turnwise.sources import bridge, files, sinks
 from turnwise.sources.formats import fragments_of
-from turnwise.streaming import ingest
 
 # --- transcript records written from conversations -------------------------------------------------------------------
 
@@ -520,7 +519,7 @@ def changed_files(spark, sf_dir):
     return files.changed_files(captures.where(~odd), captures.where(odd), since="2w", now="2024-02-01T00:00:00.000Z").select("blob_id")
 
 
-# --- exports, files and streams --------------------------------------------------------------------------------------
+# --- exports --------------------------------------------------------------------------------------
 
 
 @query("export_jsonl", f"WITH {TURNS}, {SESSIONS} SELECT 'turn' AS kind, count(*) AS lines FROM turns UNION ALL SELECT 'session', count(*) FROM sess")
@@ -542,51 +541,3 @@ def export_markdown(spark, sf_dir):
 @query("compact_turns", f"WITH {TURNS} SELECT turn_id, session_ref, project_id, link_state, primary_model AS model, replies AS assistant_reply_count FROM turns")
 def compact_turns(spark, sf_dir):
     return sinks.compact("turn", bridge.usage_turns(spark, sf_dir)).select("turn_id", "session_ref", "project_id", "link_state", "model", "assistant_reply_count")
-
-
-def _transcript_files(spark, sf_dir):
-    """Conversation rows written as JSONL files, lines in order within each file."""
-    target = work_dir(spark, "transcripts")
-    rows = bridge.table(spark, sf_dir, "conversations").select("conv_id", "turn", _json(conv=F.col("conv_id"), turn=F.col("turn"), role=F.col("role")).alias("line"))
-    rows.repartition(4, "conv_id").sortWithinPartitions("conv_id", "turn").select("line").write.text(target)
-    return target
-
-
-LINES = "SELECT conv_id AS conv, turn, role FROM conversations"
-
-
-def _lines(records):
-    return records.select(*[F.get_json_object("raw_json", f"$.{n}").alias(n) for n in ("conv", "turn", "role")]).select(
-        F.col("conv").cast("bigint"), F.col("turn").cast("bigint"), "role"
-    )
-
-
-@query("read_jsonl", LINES)
-def read_jsonl(spark, sf_dir):
-    return _lines(files.read_jsonl(spark, _transcript_files(spark, sf_dir), "conv"))
-
-
-@query("capture_files", "SELECT 4 AS files, true AS named FROM conversations LIMIT 1")
-def capture_files(spark, sf_dir):
-    found = files.capture(spark, [_transcript_files(spark, sf_dir)], "conv").where(F.col("origin_path").endswith(".txt"))
-    return found.agg(F.count("*").cast("int").alias("files"), F.bool_and(F.length("checksum") == 40).alias("named"))
-
-
-@query("stream_records", LINES)
-def stream_records(spark, sf_dir):
-    source, target, state = _transcript_files(spark, sf_dir), work_dir(spark, "records"), work_dir(spark, "state")
-    ingest.ingest(ingest.stream_records(spark, source, "conv"), target, state)
-    return _lines(spark.read.parquet(target))
-
-
-@query(
-    "stream_sessions",
-    f"WITH {TURNS} SELECT session_ref, count(*) AS turn_count, max(last_context_activity_at) AS last_activity_at FROM turns GROUP BY 1",
-)
-def stream_sessions(spark, sf_dir):
-    source, target, state = work_dir(spark, "turns"), work_dir(spark, "sessions"), work_dir(spark, "state")
-    turns = bridge.usage_turns(spark, sf_dir).select("session_ref", "last_context_activity_at")
-    turns.repartition(3).write.parquet(source)
-    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest.upsert_sessions(stream, target, state)
-    return ingest.merged_sessions(spark, target)

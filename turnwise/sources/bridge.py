@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import timekeys
+from turnwise.functions.ordered import with_position
 from turnwise.functions.tokens import FIELDS, pack
 from turnwise.schemas import ATOM, complete
 
@@ -312,3 +317,55 @@ def relation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         timekeys.iso(F.col("ts")).alias("time_key"),
         relation.alias("relation"),
     )
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation rows as pieces of transcript files: (name, bucket, place, conv_id, turn, line, ending, piece).
+
+    A file holds every other turn of twenty conversations, so every conversation is in two files. Lines end in LF, CRLF or
+    CR by file, and some are followed by a blank line.
+    """
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    bucket = F.floor(F.col("conv_id") / 20)
+    said = timekeys.from_millis(F.lit(EPOCH_MS) + F.col("conv_id") * HOUR_MS + ((F.col("turn") * 7) % 5) * MINUTE_MS)
+    line = F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn", "role", said.alias("timestamp")))
+    ending = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (bucket % 3 + 1).cast("int"))
+    pieces = rows.select("conv_id", "turn", bucket.alias("bucket"), F.concat(F.lit("c"), bucket, F.lit("-"), F.col("turn") % 2, F.lit(".jsonl")).alias("name"), line.alias("line"), ending.alias("ending"))
+    blank = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), "ending")).otherwise("")
+    return with_position(pieces.withColumn("piece", F.concat("line", "ending", blank)), ["name"], ["conv_id", "turn"], "place")
+
+
+def write_files(pieces: DataFrame, folder: str) -> None:
+    """Write the pieces (name, place, piece) of every name, in order, as one file of a folder."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        now, out = None, None
+        for batch in batches:
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != now:
+                    if out is not None:
+                        out.close()
+                    now, out = name, fs.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(piece.encode())
+            yield batch.select([0])
+        if out is not None:
+            out.close()
+
+    sorted_pieces = pieces.select("name", "place", "piece").repartition("name").sortWithinPartitions("name", "place")
+    sorted_pieces.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def delete_files(names: DataFrame, folder: str) -> None:
+    """Delete the named files of a folder."""
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if fs.get_file_info(f"{root}/{name}").type == pa.fs.FileType.File:
+                    fs.delete_file(f"{root}/{name}")
+            yield batch
+
+    names.select("name").distinct().mapInArrow(delete, "name string").write.format("noop").mode("overwrite").save()

@@ -11,48 +11,21 @@ from turnwise.functions.ids import stable_id
 from turnwise.functions.ordered import last_value, next_value, position_chunk, with_position, with_running
 from turnwise.schemas import RECORD, complete
 from turnwise.session import materialize
-
-LINE_BREAK = r"\r\n|\r|\n"
-
-
-def _plain_path(path: Column) -> Column:
-    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+from turnwise.sources import ranges
 
 
 def blob_id(source_id: Column, path: Column, checksum: Column) -> Column:
     return stable_id("blob", source_id, path, checksum)
 
 
-def lines_of(text: Column) -> Column:
-    """Non-empty trimmed lines in file order; CR, LF and CRLF all end a line."""
-    return F.filter(F.transform(F.split(text, LINE_BREAK), lambda line: F.trim(line)), lambda line: line != "")
-
-
-def read_jsonl(spark: SparkSession, paths: str | list[str], source_id: str, platform: str = "generic") -> DataFrame:
-    """One record per non-empty line, numbered within its file; broken lines are kept and judged later.
+def read_jsonl(spark: SparkSession, paths: str | list[str], source_id: str, platform: str = "generic", range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """One record per non-empty line, numbered densely within its file; broken lines are kept and judged later.
 
-    A file is one row until it is split, which keeps its line order; larger files go through ``read_long_jsonl``.
+    Files of any size are read in byte ranges; ordinals, checksums and ids do not depend on the size of a range.
     """
-    whole = spark.read.text(paths, wholetext=True).select(_plain_path(F.col("_metadata.file_path")).alias("origin_path"), "value")
-    numbered = whole.select("origin_path", F.sha1("value").alias("checksum"), F.posexplode(lines_of(F.col("value"))).alias("ordinal", "raw_json"))
-    return _records(numbered, source_id, platform)
-
-
-def read_long_jsonl(spark: SparkSession, paths: str | list[str], source_id: str, platform: str = "generic") -> DataFrame:
-    """The same for files too large for one row: lines are read by split and ordered by split start and place within it.
-
-    Ordinals only need to ascend within a file, so a line's number is its split start plus its place in the split, which
-    never exceeds the bytes before it; no file is sorted in one task.
-    """
-    lines = spark.read.text(paths).select(
-        _plain_path(F.col("_metadata.file_path")).alias("origin_path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("place"),
-        F.trim("value").alias("raw_json"),
-    )
-    in_split = F.col("place") - F.min("place").over(Window.partitionBy("origin_path", "start"))
-    kept = lines.withColumn("ordinal", F.col("start") + in_split).where(F.col("raw_json") != "")
-    return _records(kept.withColumn("checksum", F.lit("")), source_id, platform)
+    files = materialize(ranges.listed(spark, paths), "listing")
+    hashed = materialize(ranges.file_digests(files).withColumnRenamed("checksum", "mark"), "digests")
+    return _records(ranges.numbered_lines(hashed, range_bytes).withColumnRenamed("mark", "checksum"), source_id, platform)
 
 
 def _records(numbered: DataFrame, source_id: str, platform: str) -> DataFrame:
@@ -119,17 +92,12 @@ def impute_fill_time(records: DataFrame, fallback: str) -> DataFrame:
 # --- inventory and capture -------------------------------------------------------------------------------------------
 
 
-def _files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.load(roots).withColumn("path", _plain_path(F.col("path")))
-
-
 def inventory(spark: SparkSession, roots: list[str], pattern: str, priority: dict[str, int] | None = None, limit: int | None = None) -> DataFrame:
     """Files under the roots whose path matches, best priority first; only metadata is read."""
     rank = F.lit(0)
     for rule, value in (priority or {}).items():
         rank = F.when(F.col("path").rlike(rule), value).otherwise(rank)
-    files = _files(spark, roots).where(F.col("path").rlike(pattern)).select("path", "length", "modificationTime", rank.alias("priority"))
+    files = ranges.listed(spark, roots).withColumnRenamed("origin_path", "path").where(F.col("path").rlike(pattern)).select("path", "length", "modificationTime", rank.alias("priority"))
     ordered = files.orderBy("priority", "path")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -142,16 +110,22 @@ def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     return [root for root, path in paths if not path.getFileSystem(conf).exists(path)]
 
 
-def capture(spark: SparkSession, roots: list[str], source_id: str) -> DataFrame:
-    """Checksum, size and modification time of every file, with its capture id."""
-    files = _files(spark, roots).withColumn("checksum", F.sha1("content"))
-    return files.select(
-        blob_id(F.lit(source_id), F.col("path"), F.col("checksum")).alias("blob_id"),
+def capture(spark: SparkSession, roots: str | list[str], source_id: str, glob: str | None = None) -> DataFrame:
+    """Checksum, size, modification time and latest said time of every file, with its capture id.
+
+    A file is hashed block by block, and only its last records are looked at for their time.
+    """
+    files = materialize(ranges.listed(spark, roots, glob), "listing")
+    digests = ranges.file_digests(files).join(files.select("uri", "modificationTime"), "uri")
+    said = F.transform("said", lambda t: timekeys.coerce(t))
+    return digests.select(
+        blob_id(F.lit(source_id), F.col("origin_path"), F.col("checksum")).alias("blob_id"),
         F.lit(source_id).alias("source_id"),
-        F.col("path").alias("origin_path"),
+        "origin_path",
         "checksum",
         F.col("length").alias("size_bytes"),
         timekeys.iso(F.col("modificationTime")).alias("file_modified_at"),
+        F.array_max(said).alias("content_max_timestamp"),
     )
 
 
@@ -199,22 +173,6 @@ def files_to_read(now: DataFrame, previous: DataFrame) -> DataFrame:
     return now.join(same, ["origin_path", "size_bytes", "file_modified_at"], "left_anti")
 
 
-def appended_records(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Records behind what was already captured of files that only grew.
-
-    ``previous`` gives (origin_path, size_bytes, checksum, record_count), ``current`` (source_id, origin_path, content). A
-    file counts as grown if its head of the old size has the old checksum and the cut falls on a line end.
-    """
-    joined = current.join(previous.select("origin_path", "size_bytes", "checksum", "record_count"), "origin_path")
-    old = F.when(F.col("size_bytes") < (1 << 31), F.col("size_bytes").cast("int"))
-    head = F.substring(F.col("content"), F.lit(1), old)
-    grown = (F.length("content") > F.col("size_bytes")) & (F.sha1(head) == F.col("checksum"))
-    on_line = F.substring(F.col("content"), F.col("size_bytes").cast("int"), F.lit(1)).isin(b"\n", b"\r")
-    rest = F.substring(F.col("content"), F.col("size_bytes").cast("int") + 1, F.lit(2147483647)).cast("string")
-    lines = joined.where(grown & on_line).select("source_id", "origin_path", "record_count", F.posexplode(lines_of(rest)).alias("place", "raw_json"))
-    return lines.select("source_id", "origin_path", (F.col("record_count") + F.col("place")).alias("ordinal"), "raw_json")
-
-
 # --- exported stores -------------------------------------------------------------------------------------------------
 
 
@@ -332,7 +290,7 @@ def read_thread_docs(spark: SparkSession, paths: str | list[str], source_id: str
     """A thread document as its root record and one record per message."""
     v = F.col("v")
     whole = spark.read.text(paths, wholetext=True).select(
-        _plain_path(F.col("_metadata.file_path")).alias("origin_path"), F.sha1("value").alias("checksum"), F.try_parse_json("value").alias("v")
+        ranges.plain_path(F.col("_metadata.file_path")).alias("origin_path"), F.sha1("value").alias("checksum"), F.try_parse_json("value").alias("v")
     )
     created = F.coalesce(timekeys.coerce(jsonv.string(v, "created_at")), timekeys.from_millis(jsonv.number(v, "created")))
     root = F.struct(F.lit("root").alias("pointer"), F.to_json(F.struct(*[jsonv.member(v, n).alias(n) for n in ("id", "title", "created", "env")])).alias("raw_json"))

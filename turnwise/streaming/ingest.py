@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch operators."""
+"""Transcripts that arrive and change while they are read, and the tables that follow them."""
 
 from __future__ import annotations
 
@@ -10,24 +10,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnwise.functions.tokens import FIELDS
-from turnwise.sources.files import _plain_path, _records, lines_of
+from turnwise.session import materialize
+from turnwise.sources import growth, ranges
 
+# --- files that grow -------------------------------------------------------------------------------------------------
 
-def stream_records(spark: SparkSession, folder: str, source_id: str, platform: str = "generic", glob: str | None = None) -> DataFrame:
-    """Records of transcript files as they arrive: each file is read once, its lines numbered as in ``read_jsonl``."""
-    reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    whole = reader.load(folder).select(_plain_path(F.col("_metadata.file_path")).alias("origin_path"), "value")
-    numbered = whole.select("origin_path", F.sha1("value").alias("checksum"), F.posexplode(lines_of(F.col("value"))).alias("ordinal", "raw_json"))
-    return _records(numbered, source_id, platform)
+LINE = "origin_path string, generation long, ordinal long, at long, raw_json string"
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Append everything that is there to a table and stop; the next call goes on where this one ended."""
-    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+class GrowingFiles:
+    """The records of files that are added, appended to, rewritten and deleted between one run and the next.
 
+    A run reads only what is new and appends it to a table, one folder per run. Its captures are written last and commit
+    it; a run that was cut off before is done again and replaces what it left. A record belongs to a generation of its
+    file, and the records that count are those of the generations last captured.
+    """
+
+    def __init__(self, spark: SparkSession, roots: str | list[str], folder: str, glob: str | None = None, range_bytes: int = ranges.RANGE_BYTES, chunk_bytes: int = ranges.CHUNK_BYTES) -> None:
+        self.spark, self.roots, self.folder, self.glob, self.range_bytes, self.chunk_bytes = spark, roots, folder.rstrip("/"), glob, range_bytes, chunk_bytes
+
+    def _exists(self, path: str) -> bool:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+    def _at(self, run: int, name: str) -> str:
+        return f"{self.folder}/{name}/run={run}"
+
+    def runs(self) -> int:
+        """How many runs are committed."""
+        run = 0
+        while self._exists(f"{self._at(run, 'captures')}/_SUCCESS"):
+            run += 1
+        return run
+
+    def captured(self) -> tuple[DataFrame, DataFrame]:
+        """Captures and chunk digests after the last run."""
+        done = self.runs()
+        if not done:
+            return growth.nothing_captured(self.spark)
+        read = self.spark.read.schema
+        return read(growth.CAPTURE).parquet(self._at(done - 1, "captures")), read(growth.CHUNK).parquet(self._at(done - 1, "chunks"))
+
+    def run(self) -> DataFrame:
+        """Read what is new; returns what became of every file, as ``growth.growth``."""
+        run, (captures, chunks) = self.runs(), self.captured()
+        changes = materialize(growth.growth(captures, chunks, ranges.listed(self.spark, self.roots, self.glob)), "changes")
+        records = self._at(run, "records")
+        growth.read_growth(changes, self.range_bytes).write.mode("overwrite").parquet(records)
+        lines = self.spark.read.schema(LINE).parquet(records)
+        after, after_chunks = growth.captured(changes, lines, captures, chunks, self.chunk_bytes)
+        after_chunks.write.mode("overwrite").parquet(self._at(run, "chunks"))
+        after.write.mode("overwrite").parquet(self._at(run, "captures"))
+        return changes
+
+    def records(self) -> DataFrame:
+        """(origin_path, generation, ordinal, at, raw_json) of all files as they were at the last run."""
+        done = self.runs()
+        if not done:
+            return self.spark.createDataFrame([], LINE)
+        lines = self.spark.read.schema(LINE).parquet(*[self._at(run, "records") for run in range(done)])
+        return lines.join(self.captured()[0].select("origin_path", "generation"), ["origin_path", "generation"], "left_semi")
+
+
+# --- running counters ------------------------------------------------------------------------------------------------
 
 DELTAS = {name: f"delta_{name.removesuffix('_tokens')}" for name in FIELDS}
 DELTA_SCHEMA = "session_ref string, counter string, pos long, " + ", ".join(f"{delta} long" for delta in DELTAS.values())
@@ -43,6 +88,10 @@ class RunningPeaks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.peaks = handle.getValueState("peaks", ", ".join(f"{name} long" for name in FIELDS))
 
+    def handleInitialState(self, key, known: pd.DataFrame, timer_values) -> None:
+        """The peaks that a batch run left for the key."""
+        self.peaks.update(tuple(int(known[name].fillna(0).max()) for name in FIELDS))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         top = [int(v) for v in self.peaks.get()] if self.peaks.exists() else [0] * len(FIELDS)
         # What arrived for one counter in one trigger; the source's files per trigger bound it.
@@ -59,32 +108,85 @@ class RunningPeaks(StatefulProcessor):
         pass
 
 
-def stream_usage_deltas(checkpoints: DataFrame) -> DataFrame:
-    """Increments of running counters over appended checkpoints (session_ref, counter, pos, and any of the usage fields)."""
+def _checkpoints(checkpoints: DataFrame) -> DataFrame:
     given = [F.col(name).cast("long") if name in checkpoints.columns else F.lit(None).cast("long").alias(name) for name in FIELDS]
-    keyed = checkpoints.select("session_ref", "counter", "pos", *given).groupBy("session_ref", "counter")
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=RunningPeaks(), outputStructType=DELTA_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    return checkpoints.select("session_ref", "counter", "pos", *given)
+
 
+def batch_peaks(checkpoints: DataFrame) -> DataFrame:
+    """(session_ref, counter, peaks) that a batch of checkpoints leaves: the state from which a stream goes on."""
+    return _checkpoints(checkpoints).groupBy("session_ref", "counter").agg(*[F.max(F.coalesce(name, F.lit(0))).alias(name) for name in FIELDS])
 
-def stream_sessions(stream: DataFrame) -> DataFrame:
-    """Running turn count and last activity per session, for an update-mode sink."""
-    return stream.groupBy("session_ref").agg(F.count("*").alias("turn_count"), F.max("last_context_activity_at").alias("last_activity_at"))
+
+def stream_usage_deltas(checkpoints: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Increments of running counters over appended checkpoints (session_ref, counter, pos, and any of the usage fields).
+
+    ``known`` gives the peaks of ``batch_peaks`` that the first run of the stream starts from.
+    """
+    return _checkpoints(checkpoints).groupBy("session_ref", "counter").transformWithStateInPandas(
+        statefulProcessor=RunningPeaks(), outputStructType=DELTA_SCHEMA, outputMode="Append", timeMode="None",
+        initialState=known.groupBy("session_ref", "counter") if known is not None else None,
+    )
+
+
+# --- sessions that follow their turns ----------------------------------------------------------------------------------
+
+TURN_CHANGE = "session_ref string, turn_id string, last_activity_at string, sign long"
+
+
+class LastVersion(StatefulProcessor):
+    """Per turn the version delivered last; emits what it takes back and what it adds, nothing for one known already."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "version long, last_activity_at string, deleted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        known = self.last.get() if self.last.exists() else None
+        new = None
+        for part in rows:
+            # The highest version wins; a turn delivered twice in one version is one delivery.
+            row = part.loc[part["version"].idxmax()]
+            if new is None or row["version"] > new[0]:
+                said = row["last_activity_at"]
+                new = int(row["version"]), None if pd.isna(said) else said, bool(row["deleted"])
+        if new is None or (known is not None and new[0] <= known[0]):
+            return
+        self.last.update(new)
+        out = [(key[0], key[1], state[1], sign) for state, sign in ((known, -1), (new, 1)) if state is not None and not state[2]]
+        if out:
+            yield pd.DataFrame(out, columns=["session_ref", "turn_id", "last_activity_at", "sign"])
+
+    def close(self) -> None:
+        pass
+
+
+def turn_changes(turns: DataFrame) -> DataFrame:
+    """Changes of the turn table that deliveries (session_ref, turn_id, version, last_activity_at, deleted) make.
+
+    A delivery replaces an earlier one of its turn if its version is higher; ``deleted`` takes the turn away.
+    """
+    given = turns.select("session_ref", "turn_id", F.col("version").cast("long"), F.col("last_activity_at").cast("string"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    return given.groupBy("session_ref", "turn_id").transformWithStateInPandas(statefulProcessor=LastVersion(), outputStructType=TURN_CHANGE, outputMode="Append", timeMode="None")
 
 
 def upsert_sessions(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Fold per-batch session counts into a table of increments; ``merged_sessions`` reads the current state.
+    """Append the changes of all deliveries that are there to a table, and stop; ``merged_sessions`` reads its state.
 
-    Every batch appends one row per touched session under its batch number, so a repeated batch overwrites itself.
+    Changes are added up per session and activity before they are written, under their batch number, so a batch that is
+    done again replaces itself.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        stream_sessions(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.groupBy("session_ref", "last_activity_at").agg(F.sum("sign").alias("turns")).filter("turns <> 0").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    turn_changes(stream).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def merged_sessions(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
-    return rows.groupBy("session_ref").agg(F.sum("turn_count").alias("turn_count"), F.max("last_activity_at").alias("last_activity_at"))
+    """(session_ref, turn_count, last_activity_at) of the sessions that have a turn.
+
+    A taken-back turn takes its time with it: the latest time is that of a turn that is still there.
+    """
+    rows = spark.read.schema("session_ref string, last_activity_at string, turns long").parquet(target)
+    left = rows.groupBy("session_ref", "last_activity_at").agg(F.sum("turns").alias("turns")).filter("turns > 0")
+    return left.groupBy("session_ref").agg(F.sum("turns").alias("turn_count"), F.max("last_activity_at").alias("last_activity_at"))
