@@ -1,7 +1,9 @@
 import json
 import random
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from turnwise.functions.usertext import chunks_of
 from turnwise.operators import atoms as atom_ops
 from turnwise.operators import questions
 from turnwise.operators import turns as turn_ops
-from turnwise.operators.atoms import prompts_alike
+from turnwise.operators import variants
 from turnwise.operators.projects import connected_labels
 from turnwise.operators.search import highlights
 from turnwise.schemas import ATOM, complete
@@ -98,9 +100,61 @@ def test_user_text_chunks():
     assert kinds("<INSTRUCTIONS>never closed")[0][0] == "injected_user_shaped"
 
 
-def test_alike_prompts():
-    assert prompts_alike("Please fix the **parser** tests", "please fix the parser tests")
-    assert not prompts_alike("fix parser", "write docs")
+def _alike(left, right):
+    """The rule for two prompts in plain Python."""
+    plain = [re.sub(r"[\W_]+", " ", x.lower().replace("**", "").replace("`", "")).strip() for x in (left, right)]
+    if not all(plain):
+        return False
+    short, long = sorted(plain, key=len)
+    if short == long or (len(short) >= 24 and short in long):
+        return True
+    stems = []
+    for side in plain:
+        words = set()
+        for w in side.split():
+            if re.fullmatch("[a-z]{3,}", w):
+                w = w[:-3] + "y" if len(w) > 4 and w.endswith("ies") else w[:-1] if len(w) > 4 and w.endswith("s") and not w.endswith("ss") else w
+            elif len(w) < (3 if w.isascii() else 2):
+                continue
+            if w not in variants.COMMON_WORDS:
+                words.add(w)
+        stems.append(words)
+    shared, (fewer, more) = len(stems[0] & stems[1]), sorted(map(len, stems))
+    return shared >= 4 and shared >= 0.6 * fewer and shared >= 0.45 * more
+
+
+def test_alike_prompts(spark):
+    pairs = [("Please fix the **parser** tests", "please fix the parser tests"), ("fix parser", "write docs"), ("", ""), ("run `all` queries now", "Run all query now!"), ("été ici là 中文 stories", "stories 中文 là ici été bug")]
+    words = "fix the parsers parser tests test class classes bodies body for été là 中 中文 ab abc 12 123 now".split()
+    rng = random.Random(11)
+    for _ in range(400):
+        left = rng.choices(words, k=rng.randint(0, 9))
+        right = rng.sample(left, rng.randint(len(left) // 2, len(left))) + rng.choices(words, k=rng.randint(0, 3))
+        pairs.append((" ".join(left), "-".join(right)))
+    side = lambda c: F.struct(variants.plain_prompt(F.col(c)).alias("plain"), variants.word_stems(variants.plain_prompt(F.col(c))).alias("stems"))
+    rows = spark.createDataFrame(pairs, "l string, r string").select("l", "r", variants.prompts_alike(side("l"), side("r")).alias("alike")).collect()
+    assert [r.alike for r in rows] == [_alike(r.l, r.r) for r in rows] and 20 < sum(r.alike for r in rows) < 300
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_prompt_chains_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(variants, "CHUNK_PROMPTS", chunk)
+    rng = random.Random(5)
+    said = ["please fix the parser tests in module one", "fix parser test module one two", "fix the parser module two three four", "write docs", "two three four five parser module"]
+    rows, want = [], set()
+    for chain in range(30):
+        ms, kept = 0, None
+        for place in range(rng.randint(1, 25)):
+            ms += rng.choice([0, 60_000, 200_000])
+            text = rng.choice(said[: 2 + chain % 4])
+            key = f"{chain}:{place}"
+            rows.append(("s", chain, place, key, text, ms))
+            if kept and ms - kept[1] <= variants.VARIANT_GAP_MS and _alike(kept[0], text):
+                want.add(key)
+            else:
+                kept = text, ms
+    df = spark.createDataFrame(rows, "source_id string, chain long, place long, atom_id string, text string, ms long")
+    assert {r.atom_id for r in variants.dropped_variants(df, ["source_id", "chain"]).collect()} == want and len(want) > 50
 
 
 def test_answers():

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions import timekeys
 from turnwise.functions.ids import stable_id
-from turnwise.functions.ordered import last_value, position_chunk, running_sum, with_position, with_running
+from turnwise.functions.ordered import last_value, position_chunk, with_position, with_running
 from turnwise.schemas import ATOM, complete
 
 SESSION = ["source_id", "session_ref"]
@@ -76,94 +72,3 @@ def edges_spawned_from(atoms: DataFrame) -> DataFrame:
     rows = atoms.where(said | (F.col("content_kind") == "tool_call")).select(*SESSION, "pos", "atom_id", "content_kind", "actor_kind")
     seen = with_running(rows, SESSION, ["pos"], [position_chunk("pos")], text_atom=last_value(F.when(said, F.col("atom_id")), False))
     return _edge(seen.where((F.col("content_kind") == "tool_call") & F.col("text_atom").isNotNull()), F.col("text_atom"), "spawned_from")
-
-
-# Words that do not count when two prompts are compared.
-COMMON_WORDS = frozenset(("the", "and", "for", "with", "from", "that", "this", "into", "onto", "about", "following", "established", "project"))
-VARIANT_GAP_MS = 10 * 60 * 1000
-
-
-def _plain(text: str | None) -> str:
-    bare = (text or "").lower().replace("**", "").replace("`", "")
-    return re.sub(r"[\W_]+", " ", bare).strip()
-
-
-def _word_stem(word: str) -> str | None:
-    if re.fullmatch(r"[a-z]{3,}", word):
-        if len(word) > 4 and word.endswith("ies"):
-            return word[:-3] + "y"
-        if len(word) > 4 and word.endswith("s") and not word.endswith("ss"):
-            return word[:-1]
-        return word
-    least = 3 if word.isascii() else 2
-    return word if len(word) >= least else None
-
-
-def prompts_alike(left: str | None, right: str | None) -> bool:
-    """Two prompts say nearly the same: equal, one inside the other, or enough shared word stems."""
-    a, b = _plain(left), _plain(right)
-    if not a or not b:
-        return False
-    short, long = sorted((a, b), key=len)
-    if a == b or (len(short) >= 24 and short in long):
-        return True
-    words = [{stem for w in side.split() if (stem := _word_stem(w)) and stem not in COMMON_WORDS} for side in (a, b)]
-    small, large = sorted(map(len, words))
-    shared = len(words[0] & words[1])
-    return small > 0 and shared >= 4 and shared / small >= 0.6 and shared / large >= 0.45
-
-
-def collapse_prompt_variants(atoms: DataFrame) -> DataFrame:
-    """Drop user prompts that repeat the last kept prompt within ten minutes with no assistant text between.
-
-    Whether a prompt is dropped depends on the last *kept* one, so a chain is sequential. A chain cannot cross an
-    assistant text or a pause over ten minutes; those cuts define the partitioning, and each partition is streamed in
-    order with one remembered prompt, so no chain is ever collected.
-    """
-    reply = (F.col("actor_kind") == "assistant") & (F.col("content_kind") == "text") & (F.col("display_policy") != "hide")
-    prompt = (
-        (F.col("actor_kind") == "user")
-        & (F.col("content_kind") == "text")
-        & F.col("origin_kind").isin("user_authored", "injected_user_shaped")
-    )
-    marked = atoms.where(reply | prompt).select(*SESSION, "pos", "atom_id", "time_key", "text", prompt.alias("is_prompt"))
-    millis = timekeys.millis(F.col("time_key"))
-    at = F.when(F.col("is_prompt"), F.struct(F.coalesce(millis, F.lit(-1)).alias("ms")))
-    runs = with_running(
-        marked,
-        SESSION,
-        ["pos"],
-        [position_chunk("pos")],
-        replies=running_sum(F.when(F.col("is_prompt"), 0).otherwise(1)),
-        before=last_value(at, inclusive=False),
-    ).where("is_prompt")
-    paused = F.coalesce(F.abs(millis - F.col("before.ms")) > VARIANT_GAP_MS, F.lit(True))
-    islands = with_running(
-        runs.withColumn("ms", millis).withColumn("paused", paused.cast("int")).drop("before"),
-        SESSION,
-        ["pos"],
-        [position_chunk("pos")],
-        island=running_sum(F.col("paused")),
-    )
-
-    def keep_first(batches):
-        chain, kept_text, kept_ms = None, None, None
-        for batch in batches:
-            dropped = []
-            for row in batch.itertuples(index=False):
-                key = (row.source_id, row.session_ref, row.replies, row.island)
-                near = key == chain and pd.notna(row.ms) and pd.notna(kept_ms) and abs(row.ms - kept_ms) <= VARIANT_GAP_MS
-                drop = bool(near and prompts_alike(kept_text, row.text))
-                if not drop:
-                    chain, kept_text, kept_ms = key, row.text, row.ms
-                dropped.append(drop)
-            yield batch.loc[dropped, ["source_id", "session_ref", "atom_id"]]
-
-    chain_key = [*SESSION, "replies", "island"]
-    dropped = (
-        islands.select(*chain_key, "pos", "atom_id", "text", "ms")
-        .repartition(*chain_key)
-        .sortWithinPartitions(*chain_key, "pos")
-        .mapInPandas(keep_first, "source_id string, session_ref string, atom_id string")
-    )
-    return atoms.join(dropped.select("atom_id"), "atom_id", "left_anti").select(*atoms.columns)

@@ -89,7 +89,7 @@ def latest_sessions(sessions: DataFrame, turns: DataFrame, related: DataFrame, l
     """Newest top-level sessions with turns. The page is cut first; models and tokens are summed for its sessions only."""
     kept = top_level_sessions(sessions, related).where(F.col("turn_count") > 0)
     page = with_last_message(kept, turns).orderBy(*session_order()).limit(limit)
-    of_page = turns.join(F.broadcast(page.select("session_ref")), "session_ref", "left_semi")  # at most ``limit`` rows
+    of_page = turns.join(page.select("session_ref"), "session_ref", "left_semi")
     return page.join(model_summary(page, of_page), "session_ref", "left").join(session_usage(of_page), "session_ref", "left")
 
 
@@ -219,11 +219,21 @@ def show_session(sessions: DataFrame, turns: DataFrame, session_ref: str) -> Dat
     return session.join(own, "session_ref", "left").orderBy(*turn_chronology())
 
 
-def show_turn(turns: DataFrame, sessions: DataFrame, projects: DataFrame, turn_id: str) -> DataFrame:
-    """The turn with its session and project; replies and tool calls are read by the same turn id."""
+def show_turn(turns: DataFrame, sessions: DataFrame, projects: DataFrame, turn_id: str, context: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The turn with its session and project, and with its context where the tables of it are given.
+
+    ``context`` may hold ``replies``, ``system_messages`` and ``tool_calls``, each with turn_id and pos; they come as one
+    array each, in order. Only the rows of the one turn are gathered.
+    """
     session = sessions.select("session_ref", F.col("title").alias("session_title"), "source_platform")
     project = projects.select("project_id", F.col("display_name").alias("project_name"), "linkage_state")
-    return turns.where(F.col("turn_id") == turn_id).join(session, "session_ref", "left").join(project, "project_id", "left")
+    shown = turns.where(F.col("turn_id") == turn_id).join(session, "session_ref", "left").join(project, "project_id", "left")
+    for name, rows in (context or {}).items():
+        own = rows.where(F.col("turn_id") == turn_id)
+        members = [c for c in own.columns if c not in ("turn_id", "pos")]
+        listed = own.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", *members))).alias(name))
+        shown = shown.join(listed, "turn_id", "left")
+    return shown
 
 
 def show_project(projects: DataFrame, turns: DataFrame, project_id: str) -> DataFrame:

@@ -25,7 +25,7 @@ def hydrate_sessions(atoms: DataFrame) -> DataFrame:
     told = atoms.withColumn("_title", F.when(authored, session_title(F.col("text"))))
     at = F.when(F.col("_title").isNotNull(), F.col("pos"))
     found = told.groupBy(*SESSION).agg(
-        F.first("source_platform", ignorenulls=True).alias("source_platform"),
+        F.min("source_platform").alias("source_platform"),
         F.max_by("path", F.when(workspace, F.col("pos"))).alias("working_directory"),
         F.max_by("model", F.when(model, F.col("pos"))).alias("model"),
         F.min_by("title", F.when(titled, F.col("pos"))).alias("_signal"),
@@ -111,6 +111,20 @@ def suppress_overlap(records: DataFrame) -> DataFrame:
     return records.join(sides, "session_ref").where(kept).select(*records.columns)
 
 
+def suppressed_bounds(records: DataFrame) -> DataFrame:
+    """Time bounds and captures of sessions from the records that ``suppress_overlap`` kept of theirs.
+
+    ``records`` has observed_at besides; times of records that were dropped do not reach into the session.
+    """
+    kept = suppress_overlap(records)
+    return kept.groupBy("session_ref").agg(
+        F.min("observed_at").alias("created_at"),
+        F.max("observed_at").alias("updated_at"),
+        F.count_distinct("capture_id").alias("captures"),
+        F.count_if("is_user").alias("user_records"),
+    )
+
+
 def drop_empty_sessions(sessions: DataFrame, turns: DataFrame, atoms: DataFrame) -> DataFrame:
     """Sessions with a turn or an atom."""
     alive = turns.select("session_ref").unionByName(atoms.select("session_ref")).distinct()

@@ -303,7 +303,7 @@ def usage_rollup(facts: DataFrame, dimension: str) -> DataFrame:
     """Totals per key of one dimension: dates ascending, everything else by tokens, turns and label."""
     at = F.get("_dimensions", F.lit(DIMENSIONS.index(dimension)))
     keyed = _dimension_columns(facts).withColumns({"key": at.getField("key"), "label": at.getField("label")})
-    rows = keyed.groupBy("key").agg(F.first("label", ignorenulls=True).alias("label"), *_totals())
+    rows = keyed.groupBy("key").agg(F.min("label").alias("label"), *_totals())
     rows = rows.select(F.lit(dimension).alias("dimension"), *rows.columns)
     if dimension in ("day", "month"):
         return rows.orderBy("key")

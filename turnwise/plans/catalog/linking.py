@@ -260,13 +260,14 @@ def linked_path_text(spark, sf_dir):
 
 EDGES = f"""{SESSIONS},
     ev AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, {ISO}) AS iso FROM events),
+    kinds AS (SELECT *, event_type = 'signup' OR (event_type = 'view' AND k % 5 = 0) AS delegates, event_type = 'purchase' OR (event_type = 'click' AND k % 5 = 1) AS runs FROM ev),
     edge AS (SELECT 'f:' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS fragment_id, 'sess:ev:' || user_id AS session_ref, iso AS time_key,
-        CASE event_type WHEN 'signup' THEN 'delegated_session' ELSE 'automation_run' END AS relation_kind,
-        CASE WHEN event_type = 'signup' THEN CAST(k * 2 AS VARCHAR) WHEN k % 6 = 0 THEN CAST(k % 20 AS VARCHAR) END AS parent_ref,
-        event_type = 'signup' AND value > 100 AS is_sidechain,
-        CASE WHEN event_type = 'signup' AND k % 2 = 0 THEN 'agent-' || (k % 5) END AS agent, CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN 'done' END AS status,
-        CASE WHEN event_type = 'purchase' THEN 'job-' || k END AS job, CASE WHEN event_type = 'purchase' AND k % 4 = 0 THEN 'run-' || (k % 8) END AS run
-      FROM ev WHERE event_type IN ('signup', 'purchase')),
+        CASE WHEN delegates THEN 'delegated_session' ELSE 'automation_run' END AS relation_kind,
+        CASE WHEN delegates THEN CAST(k * 2 AS VARCHAR) WHEN k % 6 = 0 THEN CAST(k % 20 AS VARCHAR) END AS parent_ref,
+        delegates AND value > 100 AS is_sidechain,
+        CASE WHEN delegates AND k % 2 = 0 THEN 'agent-' || (k % 5) END AS agent, CASE WHEN delegates AND k % 3 = 0 THEN 'done' END AS status,
+        CASE WHEN runs THEN 'job-' || k END AS job, CASE WHEN runs AND k % 4 = 0 THEN 'run-' || (k % 8) END AS run
+      FROM kinds WHERE delegates OR runs),
     -- the references are bare user ids, which are unique aliases over all sessions
     ends AS (SELECT e.*, s.session_ref AS parent_session, s.title AS parent_title, own.source_id, own.source_platform, own.title AS own_title
              FROM edge e JOIN sess own USING (session_ref) LEFT JOIN sess s ON s.session_ref = 'sess:ev:' || e.parent_ref),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from turnwise.functions import text
-from turnwise.operators import reads, relations, search
+from turnwise.operators import reads, relations, search, search_index
 from turnwise.plans.catalog.registry import query
 from turnwise.plans.catalog.usage import SESSIONS, TURNS
+from turnwise.session import work_dir
 from turnwise.sources import bridge
 
 NOW_MS = 1_717_200_000_000  # 2024-06-01T00:00:00Z, so that relevance does not depend on the clock
@@ -68,6 +71,33 @@ def search_highlights(spark, sf_dir):
     return hits.select("turn_id", F.size("highlights").cast("bigint").alias("highlight_count"))
 
 
+#: Words of which some overlap others, so that spans touch, overlap and lie inside one another.
+RANGE_TERMS = ["the", "he", "data", "at"]
+
+
+@query(
+    "highlight_ranges",
+    f"""WITH {DOCS}, {WHOLE}, terms AS (SELECT unnest({RANGE_TERMS}) AS t),
+    pieces AS (SELECT turn_id, t, string_split(lower(canonical_text), t) AS p FROM bounded, terms WHERE {_match('canonical_text', RANGE_TERMS)}),
+    u AS (SELECT turn_id, t, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n FROM pieces),
+    ends AS (SELECT *, sum(length(piece)) OVER (PARTITION BY turn_id, t ORDER BY i) + (i - 1) * length(t) AS start FROM u),
+    spans AS (SELECT turn_id, CAST(start AS BIGINT) AS s, CAST(start + length(t) AS BIGINT) AS e FROM ends WHERE i < n),
+    opened AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY turn_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM spans),
+    placed AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY turn_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM opened),
+    merged AS (SELECT turn_id, span, min(s) AS s, max(e) AS e FROM placed GROUP BY 1, 2)
+    SELECT turn_id, count(*) AS spans, md5(string_agg(s || '-' || e, ',' ORDER BY s)) AS ranges FROM merged GROUP BY 1""",
+)
+def highlight_ranges(spark, sf_dir):
+    """Where all hits of several terms lie in the turns whose text has all of them."""
+    turns = candidates(spark, sf_dir)
+    lowered = F.lower("canonical_text")
+    for term in RANGE_TERMS:
+        turns = turns.where(lowered.contains(term))
+    spans = search.highlights(F.col("canonical_text"), RANGE_TERMS)
+    told = F.transform(F.col("spans"), lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return turns.select("turn_id", spans.alias("spans")).select("turn_id", F.size("spans").cast("bigint").alias("count"), F.md5(F.array_join(told, ",")).alias("ranges")).withColumnRenamed("count", "spans")
+
+
 @query("search_relevance", f"WITH {DOCS}, {WHOLE}, {_hits_sql(['data'])} SELECT turn_id, round(relevance_score, 6) AS relevance_score FROM hits")
 def search_relevance(spark, sf_dir):
     hits = search.search_hits(candidates(spark, sf_dir), "data", NOW_MS)
@@ -84,6 +114,24 @@ def search_page(spark, sf_dir):
     return page.select("turn_id", F.round("relevance_score", 6).alias("relevance_score"))
 
 
+ASKED = ["data", "the data", "worthless", "th", "qqzx", "ing ted"]
+
+
+@query(
+    "search_indexed",
+    f"WITH {DOCS}, {WHOLE} "
+    + " UNION ALL ".join(
+        f"SELECT '{q}' AS asked, turn_id FROM bounded WHERE {_match('canonical_text', q.split())} OR {_match('path_text', q.split())}" for q in ASKED
+    ),
+)
+def search_indexed(spark, sf_dir):
+    """Several queries through the index of letter triples: common, rare, unknown and too short ones."""
+    turns = candidates(spark, sf_dir)
+    index = search_index.write_index(turns, work_dir(spark, "triples"))
+    found = [search.search_hits(search_index.narrowed(turns, index, q), q, NOW_MS).select(F.lit(q).alias("asked"), "turn_id") for q in ASKED]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query(
     "search_total",
     f"""WITH {DOCS}, {WHOLE} SELECT count(*) AS total FROM bounded WHERE ({_match('canonical_text', ['data'])} OR {_match('path_text', ['data'])})
@@ -169,20 +217,19 @@ def list_projects(spark, sf_dir):
     return listed.select("project_id", "display_name", "committed_turn_count", "candidate_turn_count", "session_count")
 
 
-def _some_turns(spark, sf_dir):
-    """Turns without those of every eighth user, so that some sessions have none."""
-    return bridge.usage_turns(spark, sf_dir).where(F.substring("session_ref", 9, 9).cast("int") % 8 != 3)
-
-
 @query(
     "order_sessions",
-    f"""WITH {TURNS}, {SESSIONS}, last AS (SELECT session_ref, max(last_context_activity_at) AS last_message_at FROM turns
-        WHERE CAST(session_ref[9:] AS INT) % 8 <> 3 GROUP BY 1)
+    f"""WITH {TURNS}, {SESSIONS}, last AS (SELECT session_ref, max(last_context_activity_at) AS last_message_at FROM turns GROUP BY 1),
+    every AS (SELECT session_ref, created_at, updated_at FROM sess UNION ALL SELECT session_ref || ':opened', created_at, created_at FROM sess WHERE user_id % 8 = 3)
     SELECT session_ref, last_message_at, row_number() OVER (ORDER BY last_message_at IS NULL, coalesce(last_message_at, updated_at) DESC, created_at DESC, session_ref) AS place
-    FROM sess LEFT JOIN last USING (session_ref)""",
+    FROM every LEFT JOIN last USING (session_ref)""",
 )
 def order_sessions(spark, sf_dir):
-    placed = reads.session_places(bridge.usage_sessions(spark, sf_dir), _some_turns(spark, sf_dir))
+    """All turns; some users have a second session that was only opened and has no turn."""
+    sessions = bridge.usage_sessions(spark, sf_dir)
+    opened = sessions.where(F.substring("session_ref", 9, 9).cast("int") % 8 == 3)
+    opened = opened.withColumns({"session_ref": F.concat("session_ref", F.lit(":opened")), "updated_at": F.col("created_at"), "turn_count": F.lit(0).cast("bigint")})
+    placed = reads.session_places(sessions.unionByName(opened), bridge.usage_turns(spark, sf_dir))
     return placed.select("session_ref", "last_message_at", "place")
 
 
@@ -192,7 +239,8 @@ def _related(spark, sf_dir):
     return relations.related_work(edges, sessions)
 
 
-CHILDREN = "children AS (SELECT DISTINCT 'sess:ev:' || user_id AS session_ref FROM events WHERE event_type = 'signup' AND user_id % 2 = 0)"
+CHILDREN = """children AS (SELECT DISTINCT 'sess:ev:' || user_id AS session_ref FROM events
+    WHERE (event_type = 'signup' OR (event_type = 'view' AND CAST(json_extract(props, '$.k') AS BIGINT) % 5 = 0)) AND user_id % 2 = 0)"""
 
 
 @query("top_level_sessions", f"WITH {SESSIONS}, {CHILDREN} SELECT session_ref FROM sess ANTI JOIN children USING (session_ref)")
@@ -290,12 +338,21 @@ def show_session(spark, sf_dir):
 
 @query(
     "show_turn",
-    f"""WITH {PROJECTS} SELECT t.turn_id, t.session_ref, s.title AS session_title, p.display_name AS project_name
-    FROM turns t LEFT JOIN sess s USING (session_ref) LEFT JOIN proj p USING (project_id) WHERE t.turn_id = 't:42'""",
+    f"""WITH {PROJECTS}, c AS (SELECT 't:' || (event_id - event_id % 4) AS turn_id, event_id AS pos, event_type, 'out ' || k AS said FROM ev)
+    SELECT t.turn_id, t.session_ref, s.title AS session_title, p.display_name AS project_name,
+      (SELECT string_agg(said, '; ' ORDER BY pos) FROM c WHERE c.turn_id = t.turn_id AND event_type IN ('purchase', 'signup')) AS replies,
+      (SELECT string_agg(said, '; ' ORDER BY pos) FROM c WHERE c.turn_id = t.turn_id AND event_type IN ('view', 'click')) AS tool_calls
+    FROM turns t LEFT JOIN sess s USING (session_ref) LEFT JOIN proj p USING (project_id) WHERE t.turn_id = 't:40'""",
 )
 def show_turn(spark, sf_dir):
+    """One turn with what was said and called in it: the events of four that follow one another."""
     turns, sessions, projects = (f(spark, sf_dir) for f in (bridge.usage_turns, bridge.usage_sessions, bridge.usage_projects))
-    return reads.show_turn(turns, sessions, projects, "t:42").select("turn_id", "session_ref", "session_title", "project_name")
+    events = bridge.events(spark, sf_dir)
+    said = events.select(F.concat(F.lit("t:"), F.col("event_id") - F.col("event_id") % 4).alias("turn_id"), F.col("event_id").alias("pos"), "event_type", F.concat(F.lit("out "), "k").alias("said"))
+    context = {"replies": said.where(F.col("event_type").isin("purchase", "signup")), "tool_calls": said.where(F.col("event_type").isin("view", "click"))}
+    shown = reads.show_turn(turns, sessions, projects, "t:40", {n: rows.drop("event_type") for n, rows in context.items()})
+    told = lambda c: F.array_join(F.transform(c, lambda r: r["said"]), "; ").alias(c)
+    return shown.select("turn_id", "session_ref", "session_title", "project_name", told("replies"), told("tool_calls"))
 
 
 @query("show_project", f"WITH {PROJECTS} SELECT p.project_id, display_name, turn_id, session_ref FROM proj p LEFT JOIN turns USING (project_id) WHERE p.project_id = 'p4'")

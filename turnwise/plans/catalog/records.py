@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.functions import ids, masks, paths, roles, timekeys
+from turnwise.functions import ids, masks, paths, roles, timekeys, tokens
+from turnwise.functions.ordered import with_position
 from turnwise.operators import atoms as atom_ops
 from turnwise.operators import quality
 from turnwise.operators import sessions as session_ops
 from turnwise.operators import turns as turn_ops
+from turnwise.operators import variants
 from turnwise.plans.catalog.conversation import GROUPS_SQL, atoms_sql
 from turnwise.plans.catalog.linking import ISO
 from turnwise.plans.catalog.registry import query
 from turnwise.plans.catalog.usage import EV, SESSIONS, TURNS
 from turnwise.schemas import ATOM, RECORD, complete
 from turnwise.session import materialize, work_dir
-from turnwise.sources import bridge, files, sinks
+from turnwise.sources import bridge, files, ranges, sinks
 from turnwise.sources.formats import fragments_of
+from turnwise.sources.formats import parse_stage as parse_stage_of
 
 # --- transcript records written from conversations -------------------------------------------------------------------
 
@@ -116,15 +119,36 @@ def records_wire(spark, sf_dir):
     FROM conversations WHERE (conv_id + turn) % 5 < 2""",
 )
 def parse_gate(spark, sf_dir):
-    from turnwise.sources.formats.core import parse_records
-
     line = _json(role=F.col("role"), content=F.col("text"))
     pick = (F.col("conv_id") + F.col("turn")) % 5
     body = F.when(pick == 0, F.concat(line, F.lit("}"))).when(pick == 1, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
-    _, _, audits = parse_records(_conversation_records(spark, sf_dir, "generic", body))
+    _, audits = fragments_of(_conversation_records(spark, sf_dir, "generic", body), "generic")
     return audits.select("scope_ref", "diagnostic_code")
 
 
+@query(
+    "parse_stage",
+    """WITH g AS (SELECT (conv_id + turn) % 5 AS pick FROM conversations)
+    SELECT 'records' AS name, count(*) AS counted, count(*) AS observed FROM g UNION ALL SELECT 'unparsed', count(*) FILTER (pick < 2), count(*) FILTER (pick < 2) FROM g
+    UNION ALL SELECT 'fragments', count(*) FILTER (pick <> 2), count(*) FILTER (pick <> 2) FROM g UNION ALL SELECT 'audits', count(*) FILTER (pick < 2 OR pick = 3), count(*) FILTER (pick < 2 OR pick = 3) FROM g""",
+)
+def parse_stage(spark, sf_dir):
+    """Counts of a stage as observed while it was written, and as counted afterwards: broken records, records of which nothing
+    is left, records that are not understood, and messages."""
+    line = _json(role=F.col("role"), content=F.col("text"))
+    pick = (F.col("conv_id") + F.col("turn")) % 5
+    body = (
+        F.when(pick == 0, F.concat(line, F.lit("}"))).when(pick == 1, F.concat(F.lit("["), line, F.lit("]")))
+        .when(pick == 2, '{"type":"turn_ended"}').when(pick == 3, '{"what":"?"}').otherwise(line)
+    )
+    records = _conversation_records(spark, sf_dir, "cursor", body)
+    fragments, audits, observed = parse_stage_of(records, "generic")
+    unparsed = audits.where(F.col("diagnostic_code").startswith("record_"))
+    counted = {"records": records, "unparsed": unparsed, "fragments": fragments, "audits": audits}
+    rows = [df.agg(F.lit(n).alias("name"), F.count("*").alias("counted"), F.lit(observed[n]).cast("bigint").alias("observed")) for n, df in counted.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query(
     "impute_ordinal_time",
     f"""SELECT 'r:' || conv_id || ':' || turn AS record_id,
@@ -345,8 +369,27 @@ def merge_sessions(spark, sf_dir):
         ELSE best IS NULL OR best_users < said END""",
 )
 def suppress_overlap(spark, sf_dir):
+    return session_ops.suppress_overlap(_overlapping(spark, sf_dir)).select("event_id")
+
+
+@query(
+    "suppressed_bounds",
+    f"""WITH {EV}, r AS (SELECT event_id, user_id AS s, k % 3 AS cap, k % 3 < 2 AS composer, event_type = 'signup' AS u, event_type = 'error' AS m, iso FROM ev),
+    c AS (SELECT s, cap, composer, count(*) FILTER (u AND NOT m) AS users FROM r GROUP BY ALL),
+    b AS (SELECT s, arg_min(cap, (-users, cap)) FILTER (composer) AS best, max(users) FILTER (composer) AS best_users, count(*) FILTER (NOT composer) AS transcripts,
+                 coalesce(sum(users) FILTER (NOT composer), 0) AS said FROM c GROUP BY s),
+    kept AS (SELECT r.* FROM r JOIN b USING (s) WHERE CASE WHEN composer THEN m OR (cap = best AND (transcripts = 0 OR best_users >= said)) ELSE best IS NULL OR best_users < said END)
+    SELECT 's:' || s AS session_ref, min(iso) AS created_at, max(iso) AS updated_at,
+           count(DISTINCT cap) AS captures, count(*) FILTER (u) AS user_records FROM kept GROUP BY s""",
+)
+def suppressed_bounds(spark, sf_dir):
+    """Bounds of sessions after overlapping captures were dropped."""
+    return session_ops.suppressed_bounds(_overlapping(spark, sf_dir))
+
+
+def _overlapping(spark, sf_dir):
     kind = F.col("event_type")
-    records = bridge.events(spark, sf_dir).select(
+    return bridge.events(spark, sf_dir).select(
         "event_id",
         F.concat(F.lit("s:"), F.col("user_id")).alias("session_ref"),
         (F.col("k") % 3).alias("capture_id"),
@@ -354,11 +397,11 @@ def suppress_overlap(spark, sf_dir):
         (F.col("k") % 3).alias("capture_order"),
         (kind == "signup").alias("is_user"),
         (kind == "error").alias("is_meta"),
+        timekeys.iso(F.col("ts")).alias("observed_at"),
     )
-    return session_ops.suppress_overlap(records).select("event_id")
 
 
-COMMON = ", ".join(f"'{w}'" for w in sorted(atom_ops.COMMON_WORDS))
+COMMON = ", ".join(f"'{w}'" for w in sorted(variants.COMMON_WORDS))
 COLLAPSE_SQL = rf"""WITH RECURSIVE src AS (
       SELECT conv_id, turn, role, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'Please REVIEW the **parser** modules, and their ' || CASE turn % 4 WHEN 0 THEN 'tests' WHEN 2 THEN 'stories again' ELSE 'x' END
              WHEN role = 'user' AND conv_id % 3 = 1 AND turn > 0 THEN (SELECT text FROM conversations o WHERE o.conv_id = c.conv_id AND role = 'user' ORDER BY turn LIMIT 1) || CASE WHEN turn % 4 = 2 THEN ' and more of it' ELSE '' END
@@ -406,7 +449,7 @@ def collapse_prompt_variants(spark, sf_dir):
         timekeys.from_millis(F.lit(bridge.EPOCH_MS) + F.floor(turn / 4) * 660_000 + turn * 60_000).alias("time_key"),
         said.alias("text"),
     )
-    return atom_ops.collapse_prompt_variants(complete(atoms, ATOM)).select("session_ref", "pos", "atom_id")
+    return variants.collapse_prompt_variants(complete(atoms, ATOM)).select("session_ref", "pos", "atom_id")
 
 
 # --- audits ----------------------------------------------------------------------------------------------------------
@@ -433,6 +476,51 @@ def audit(spark, sf_dir):
     return found.select("code", "entity", "id")
 
 
+@query(
+    "audit_counts",
+    f"""WITH {TURNS}, {SESSIONS},
+    t AS (SELECT *, CAST(turn_id[3:] AS BIGINT) AS id, CAST(session_ref[9:] AS INT) AS u FROM turns), t2 AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE id % 500 = 0),
+    s2 AS (SELECT *, row_number() OVER (ORDER BY user_id) AS place FROM sess WHERE user_id % 17 <> 0),
+    said AS (SELECT session_ref, max(last_context_activity_at) AS last FROM t2 GROUP BY 1),
+    wanted AS (SELECT s2.session_ref, row_number() OVER (ORDER BY last IS NULL, coalesce(last, updated_at) DESC, created_at DESC, s2.session_ref) AS place FROM s2 LEFT JOIN said USING (session_ref)),
+    p AS (SELECT project_id, CAST(project_id[2:] AS INT) AS n, count(*) FILTER (link_state = 'committed') AS c, count(*) FILTER (link_state = 'candidate') AS d FROM t WHERE project_id IS NOT NULL GROUP BY 1),
+    now AS (SELECT project_id, count(*) FILTER (link_state = 'committed') AS c, count(*) FILTER (link_state = 'candidate') AS d FROM t2 WHERE project_id IS NOT NULL GROUP BY 1),
+    counted AS (SELECT session_ref, count(*) AS n FROM t2 GROUP BY 1)
+    SELECT 'duplicate-id' AS code, 'source' AS entity, 'view' AS id UNION ALL SELECT 'duplicate-id', 'project', 'p2' UNION ALL SELECT 'duplicate-id', 'turn', turn_id FROM t WHERE id % 500 = 0
+    UNION ALL SELECT 'duplicate-id', 'context', turn_id FROM t WHERE id % 700 = 0
+    UNION ALL SELECT 'missing-context-turn', 'context', 'gone' || turn_id FROM t WHERE id % 900 = 0
+    UNION ALL SELECT 'missing-session', 'turn', turn_id FROM t2 WHERE u % 17 = 0
+    UNION ALL SELECT 'session-primary-project', 'session', session_ref FROM s2 WHERE primary_project_id = 'p0'
+    UNION ALL SELECT 'projected-unlinked-turn', 'turn', turn_id FROM t2 WHERE project_id IS NOT NULL AND link_state = 'unlinked'
+    UNION ALL SELECT 'turn-usage-total-mismatch', 'turn', turn_id FROM t2 WHERE id % 100 = 3 AND has_usage
+    UNION ALL SELECT 'session-turn-count', 'session', s2.session_ref FROM s2 JOIN counted USING (session_ref) WHERE s2.turn_count <> counted.n
+    UNION ALL SELECT 'project-turn-count', 'project', project_id FROM (FROM p UNION ALL FROM p WHERE n = 2) q JOIN now USING (project_id) WHERE q.c + CASE WHEN q.n % 3 = 0 THEN 1 ELSE 0 END <> now.c OR q.d <> now.d
+    UNION ALL SELECT 'project-session-count', 'project', project_id FROM p WHERE n % 3 = 1
+    UNION ALL SELECT 'sessions-not-recency-ordered', 'snapshot', s2.session_ref FROM s2 JOIN wanted w USING (place) WHERE w.session_ref <> s2.session_ref""",
+)
+def audit_counts(spark, sf_dir):
+    """Repeated ids, wrong counts and totals, missing sessions, loose contexts and a list in another order: the codes that ``audit`` has no case of."""
+    turns = bridge.usage_turns(spark, sf_dir)
+    number = F.substring("turn_id", 3, 20).cast("bigint")
+    total = tokens.structured_total(F.col("token_usage"))
+    turns = turns.withColumn("total_tokens", F.when(number % 100 == 3, total + 1).otherwise(F.col("total_tokens")))
+    contexts = turns.select("turn_id").unionByName(turns.where(number % 700 == 0).select("turn_id")).unionByName(turns.where(number % 900 == 0).select(F.concat(F.lit("gone"), "turn_id").alias("turn_id")))
+    turns = turns.unionByName(turns.where(number % 500 == 0))
+    user = F.substring("session_ref", 9, 9).cast("int")
+    sessions = with_position(bridge.usage_sessions(spark, sf_dir).where(user % 17 != 0).withColumn("user", user), [], ["user"], "position").drop("user")
+    sources = bridge.usage_sources(spark, sf_dir)
+    projects = bridge.usage_projects(spark, sf_dir)
+    order = F.substring("project_id", 2, 9).cast("int")
+    projects = projects.withColumns({
+        "committed_turn_count": F.col("committed_turn_count") + F.when(order % 3 == 0, 1).otherwise(0),
+        "session_count": F.col("session_count") + F.when(order % 3 == 1, 1).otherwise(0),
+    })
+    found = quality.audit(
+        sources.unionByName(sources.where("source_id = 'view'")), projects.unionByName(projects.where("project_id = 'p2'")), sessions, turns, contexts
+    )
+    return found.select("code", "entity", "id")
+
+
 def _audits(spark, sf_dir):
     rows = bridge.events(spark, sf_dir).where(F.col("event_type") == "error")
     return quality.loss_audits(
@@ -475,16 +563,19 @@ def stage_runs(spark, sf_dir):
 
 @query(
     "source_status",
-    f"""WITH {TURNS}, {SESSIONS}, n AS (SELECT source_id, count(*) AS t FROM turns WHERE source_id <> 'error' GROUP BY 1), s AS (SELECT source_id, count(*) AS c FROM sess GROUP BY 1)
-    SELECT e.event_type AS source_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'healthy' END AS sync_status, coalesce(c, 0) AS total_sessions, coalesce(t, 0) AS total_turns
-    FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN n ON n.source_id = e.event_type LEFT JOIN s ON s.source_id = e.event_type""",
+    f"""WITH {TURNS}, {SESSIONS}, n AS (SELECT source_id, count(*) AS t FROM turns GROUP BY 1), s AS (SELECT source_id, count(*) AS c FROM sess GROUP BY 1)
+    SELECT e.event_type AS source_id, 'healthy' AS sync_status, coalesce(c, 0) AS total_sessions, coalesce(t, 0) AS total_turns
+    FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN n ON n.source_id = e.event_type LEFT JOIN s ON s.source_id = e.event_type
+    UNION ALL SELECT 'unread', 'error', 0, 0 UNION ALL SELECT 'empty', 'stale', 0, 0""",
 )
 def source_status(spark, sf_dir):
-    turns = bridge.usage_turns(spark, sf_dir).where(F.col("source_id") != "error")
-    failed = bridge.events(spark, sf_dir).where(F.col("event_type") == "error").select(
-        F.col("event_type").alias("source_id"), F.col("event_id").alias("file_order"), F.lit("cannot read").alias("detail")
-    )
-    status = quality.source_status(bridge.usage_sources(spark, sf_dir), bridge.usage_sessions(spark, sf_dir), turns, failed)
+    turns = bridge.usage_turns(spark, sf_dir)
+    errors = bridge.events(spark, sf_dir).where(F.col("event_type") == "error")
+    # Files of two sources could not be read; of one of them all turns came through all the same.
+    failed = errors.select(F.explode(F.array(F.lit("error"), F.lit("unread"))).alias("source_id"), F.col("event_id").alias("file_order"), F.lit("cannot read").alias("detail"))
+    sources = bridge.usage_sources(spark, sf_dir)
+    more = [sources.limit(1).withColumn("source_id", F.lit(n)) for n in ("unread", "empty")]
+    status = quality.source_status(sources.unionByName(more[0]).unionByName(more[1]), bridge.usage_sessions(spark, sf_dir), turns, failed)
     return status.select("source_id", "sync_status", "total_sessions", "total_turns")
 
 
@@ -522,20 +613,49 @@ def changed_files(spark, sf_dir):
 # --- exports --------------------------------------------------------------------------------------
 
 
-@query("export_jsonl", f"WITH {TURNS}, {SESSIONS} SELECT 'turn' AS kind, count(*) AS lines FROM turns UNION ALL SELECT 'session', count(*) FROM sess")
+EXPORTED = f"""{TURNS}, {SESSIONS}, src AS (SELECT DISTINCT event_type AS source_id FROM events),
+    every AS (
+      SELECT 2 AS rank, 0 AS k1, source_id AS id, 'source' AS kind, 'slot-' || source_id AS said FROM src
+      UNION ALL SELECT 4, -epoch_ms(CAST(updated_at AS TIMESTAMP)), session_ref, 'session', title FROM sess
+      UNION ALL SELECT 6, -epoch_ms(CAST(submission_started_at AS TIMESTAMP)), turn_id, 'turn', 'said in ' || session_ref FROM turns
+      UNION ALL SELECT 9, 0, 'audit:' || turn_id, 'loss_audit', 'broken' FROM turns WHERE source_id = 'error')"""
+
+
+def _exported(spark, sf_dir):
+    turns = bridge.usage_turns(spark, sf_dir)
+    audits = turns.where("source_id = 'error'").select(F.concat(F.lit("audit:"), "turn_id").alias("audit_id"), F.lit("broken").alias("detail"))
+    said = turns.withColumn("canonical_text", F.concat(F.lit("said in "), "session_ref"))
+    return {"turn": said, "session": bridge.usage_sessions(spark, sf_dir), "loss_audit": audits, "source": bridge.usage_sources(spark, sf_dir)}
+
+
+@query("export_jsonl", f"WITH {EXPORTED} SELECT row_number() OVER (ORDER BY rank, k1, id) - 1 AS place, kind, id, said FROM every")
 def export_jsonl(spark, sf_dir):
+    """Every line of an export of four kinds: its place over all files, and what it says."""
     target = work_dir(spark, "export")
-    tables = {"turn": bridge.usage_turns(spark, sf_dir), "session": bridge.usage_sessions(spark, sf_dir)}
-    sinks.export_jsonl(tables, target)
-    return spark.read.text(target).groupBy(F.get_json_object("value", "$.kind").alias("kind")).agg(F.count("*").alias("lines"))
+    sinks.export_jsonl(_exported(spark, sf_dir), target)
+    value = lambda *names: F.coalesce(*[F.get_json_object("line", f"$.value.{n}") for n in names])
+    kind = F.get_json_object("line", "$.kind")
+    said = F.when(kind == "source", value("slot_id")).when(kind == "session", value("title")).when(kind == "turn", value("canonical_text")).otherwise(value("detail"))
+    key = F.when(kind == "session", value("session_ref")).otherwise(value("audit_id", "turn_id", "source_id"))
+    return sinks.read_export(spark, target).select("place", kind.alias("kind"), key.alias("id"), said.alias("said"))
 
 
-@query("export_markdown", f"WITH {TURNS} SELECT count(*) AS turns FROM turns")
+@query(
+    "export_markdown",
+    f"""WITH {EXPORTED}, c AS (SELECT kind, min(rank) AS rank, count(*) AS n FROM every GROUP BY kind),
+    lines AS (SELECT -2 AS a, 0 AS k1, '' AS id, '# Transcript export' AS line UNION ALL SELECT rank, 0, '', '- ' || kind || ': ' || n FROM c UNION ALL SELECT 50, 0, '', '## Turns'
+      UNION ALL SELECT 60, k1, id, '### ' || strftime(epoch_ms(-k1), {ISO}) || ' · ' || id FROM every WHERE kind = 'turn' UNION ALL SELECT 60, k1, id || chr(1), said FROM every WHERE kind = 'turn')
+    SELECT row_number() OVER (ORDER BY a, k1, id) - 1 AS place, line FROM lines""",
+)
 def export_markdown(spark, sf_dir):
+    """All lines of the text that are not blank, in order."""
     target = work_dir(spark, "markdown")
-    turns = bridge.usage_turns(spark, sf_dir).withColumn("canonical_text", F.lit("text"))
-    sinks.export_markdown({"turn": turns}, target)
-    return spark.read.text(f"{target}/turns").where(F.col("value").startswith("### ")).agg(F.count("*").alias("turns"))
+    sinks.export_markdown(_exported(spark, sf_dir), target)
+    names = [p["name"] for p in sinks.read_manifest(target)["parts"]]
+    listing = spark.createDataFrame([(f"{target}/{n}", n) for n in names], "uri string, origin_path string")
+    sized = listing.join(ranges.listed(spark, target).select(F.element_at(F.split("origin_path", "/"), -1).alias("origin_path"), "length"), "origin_path")
+    lines = ranges.numbered_lines(sized)
+    return with_position(lines, [], ["origin_path", "ordinal"], "place").select("place", F.col("raw_json").alias("line"))
 
 
 @query("compact_turns", f"WITH {TURNS} SELECT turn_id, session_ref, project_id, link_state, primary_model AS model, replies AS assistant_reply_count FROM turns")

@@ -12,12 +12,14 @@ from turnwise.operators import sessions as session_ops
 from turnwise.operators import turns as turn_ops
 from turnwise.plans import batch
 from turnwise.plans.catalog.conversation import GROUPS_SQL, TOOLS_SQL, atoms_sql, tagged_conversations
-from turnwise.plans.catalog.reading import NOW_MS
+from turnwise.plans.catalog import shapes
+from turnwise.plans.catalog.reading import DOCS, NOW_MS, WHOLE, _hits_sql
 from turnwise.plans.catalog.records import MAIL, MAIL_RULE
 from turnwise.plans.catalog.registry import query
 from turnwise.plans.catalog.usage import EV, SESSIONS, TURNS
-from turnwise.schemas import ATOM, complete
-from turnwise.sources import bridge, files
+from turnwise.schemas import ATOM, RECORD, complete
+from turnwise.sources import bridge, files, stores
+from turnwise.sources.formats import fragments_of
 
 ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
 
@@ -294,29 +296,80 @@ def show_source(spark, sf_dir):
     return reads.show_source(bridge.usage_sources(spark, sf_dir), bridge.usage_sessions(spark, sf_dir), audits, "view")
 
 
+def _batch_rows(results, spark):
+    """(id, ok, error, turn_id, total) of all results; a failed operation is one row without a turn."""
+    out = None
+    for result in results:
+        told = [F.lit(result["id"]).alias("id"), F.lit(result["ok"]).alias("ok"), F.lit(result.get("error")).cast("string").alias("error")]
+        rows = result["rows"].select(*told, "turn_id") if result["ok"] else spark.range(1).select(*told, F.lit(None).cast("string").alias("turn_id"))
+        total = F.lit(None).cast("bigint")
+        rows = rows.crossJoin(result["total"].select("total")) if "total" in result else rows.withColumn("total", total)  # one row
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "run_batch",
-    f"""WITH {TURNS}, {SESSIONS}, d AS (SELECT 't:' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS turn_id FROM documents WHERE contains(lower(text), 'worthless'))
-    SELECT 'a' AS id, true AS ok, turn_id FROM (SELECT turn_id FROM turns WHERE session_ref = 'sess:ev:11')
-    UNION ALL SELECT 'b', false, NULL UNION ALL SELECT 'c', false, NULL UNION ALL SELECT 'd', true, turn_id FROM turns WHERE session_ref = 'sess:ev:7'""",
+    f"""WITH {TURNS}, {SESSIONS}
+    SELECT 'a' AS id, true AS ok, CAST(NULL AS VARCHAR) AS error, turn_id, CAST(NULL AS BIGINT) AS total FROM turns WHERE session_ref = 'sess:ev:11'
+    UNION ALL SELECT 'b', false, 'nothing-known: not_found', NULL, NULL UNION ALL SELECT 'c', false, '  : not_found', NULL, NULL
+    UNION ALL SELECT 'd', true, NULL, turn_id, NULL FROM turns WHERE session_ref = 'sess:ev:7'
+    UNION ALL SELECT 'e', false, 'topic 1: ambiguous', NULL, NULL
+    UNION ALL SELECT 'f', true, NULL, turn_id, NULL FROM turns WHERE project_id = 'p3'
+    UNION ALL SELECT 'g', true, NULL, turn_id, NULL FROM turns WHERE project_id IN ('p2', 'p5')
+    UNION ALL SELECT 'h', true, NULL, turn_id, NULL FROM turns WHERE turn_id IN ('t:12', 't:900')
+    UNION ALL SELECT 'i', false, 't:none: not_found', NULL, NULL
+    UNION ALL SELECT 'j', true, NULL, turn_id, NULL FROM turns WHERE session_ref = 'sess:ev:60'
+    UNION ALL SELECT 'k', false, 'sub2: ambiguous; gone: not_found', NULL, NULL UNION ALL SELECT 'l', false, 'unknown operation count', NULL, NULL""",
 )
 def run_batch(spark, sf_dir):
-    """A request with an exact id, an unknown and a blank reference, and a unique native id; results in request order."""
+    """References that are exact, shortened, shared, unknown or blank, to sessions, projects and turns; results in request order."""
     turns = bridge.usage_turns(spark, sf_dir)
-    tables = {"turns": turns, "sessions": bridge.usage_sessions(spark, sf_dir), "replies": turns.withColumn("pos", F.lit(0))}
+    sessions = bridge.usage_sessions(spark, sf_dir)
+    own = F.col("session_ref") == "sess:ev:60"
+    sessions = sessions.withColumn("working_directory", F.when(own, "/home/me/Only-Here/").otherwise(F.col("working_directory")))
+    tables = {"turns": turns, "sessions": sessions, "projects": bridge.usage_projects(spark, sf_dir), "replies": turns.withColumn("pos", F.lit(0))}
     unbounded = 1 << 30
     request = [
         {"id": "a", "kind": "session", "refs": ["sess:ev:11"], "limit": unbounded},
         {"id": "b", "kind": "session", "refs": ["nothing-known"]},
         {"id": "c", "kind": "session", "refs": ["  "]},
         {"id": "d", "kind": "session", "refs": ["N-7"], "limit": unbounded},
+        {"id": "e", "kind": "session", "refs": ["topic 1"]},
+        {"id": "f", "kind": "project", "refs": ["project-3-p3"], "limit": unbounded},
+        {"id": "g", "kind": "project", "refs": ["PROJECT 2", "app5"], "limit": unbounded},
+        {"id": "h", "kind": "replies", "turn_refs": ["t:900", "t:12"]},
+        {"id": "i", "kind": "replies", "turn_refs": ["t:12", "t:none"]},
+        {"id": "j", "kind": "session", "refs": ["only-here"], "limit": unbounded},
+        {"id": "k", "kind": "session", "refs": ["sub2", "gone"]},
+        {"id": "l", "kind": "count"},
     ]
-    out = None
-    for result in batch.run_batch(request, tables, NOW_MS):
-        rows = result["rows"].select("turn_id") if result["ok"] else spark.range(1).select(F.lit(None).cast("string").alias("turn_id"))
-        rows = rows.select(F.lit(result["id"]).alias("id"), F.lit(result["ok"]).alias("ok"), "turn_id")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _batch_rows(batch.run_batch(request, tables, NOW_MS), spark)
+
+
+@query(
+    "run_batch_search",
+    f"""WITH {DOCS}, {WHOLE}, {_hits_sql(["the", "data"])}, f AS (SELECT * FROM hits WHERE project_id = 'p1'), n AS (SELECT count(*) AS total FROM f),
+    every AS (SELECT 'all' AS id, turn_id, relevance_score, submission_started_at FROM hits UNION ALL SELECT 'named', turn_id, relevance_score, submission_started_at FROM f),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance_score DESC, submission_started_at DESC, turn_id) AS place FROM every)
+    SELECT id, true AS ok, CAST(NULL AS VARCHAR) AS error, turn_id, CASE id WHEN 'all' THEN (SELECT count(*) FROM hits) ELSE (SELECT total FROM n) END AS total FROM ranked
+    WHERE (id = 'all' AND place BETWEEN 3 AND 9) OR (id = 'named' AND place <= 5) UNION ALL SELECT 'none', false, 'p9: not_found', NULL, NULL""",
+)
+def run_batch_search(spark, sf_dir):
+    """A page of all hits, one of a project that is named by its slug, and a project that is not known."""
+    turns = bridge.document_turns(spark, sf_dir)
+    number = F.substring("project_id", 2, 9)
+    projects = turns.where(F.col("project_id").isNotNull()).select("project_id").distinct().select(
+        "project_id", F.concat(F.lit("slug-"), number).alias("slug"), F.concat(F.lit("Project "), number).alias("display_name"), F.lit(None).cast("string").alias("primary_workspace_path")
+    )
+    sessions = turns.select("session_ref").distinct().select("session_ref", *[F.lit(None).cast("string").alias(c) for c in ("source_session_id", "title", "working_directory")])
+    tables = {"turns": turns, "sessions": sessions, "projects": projects, "replies": turns.withColumn("pos", F.lit(0))}
+    request = [
+        {"id": "all", "kind": "search", "query": "the data", "offset": 2, "limit": 7},
+        {"id": "named", "kind": "search", "query": "data THE", "project": "slug-1", "limit": 5},
+        {"id": "none", "kind": "search", "query": "the data", "project": "p9"},
+    ]
+    return _batch_rows(batch.run_batch(request, tables, NOW_MS), spark)
 
 
 # --- exported stores -------------------------------------------------------------------------------------------------
@@ -401,6 +454,98 @@ def prompt_history(spark, sf_dir):
     return files.from_prompt_history(first.unionByName(second), "2024-01-01T00:00:00.000Z").select("workspace", F.col("text").alias("said"))
 
 
+@query(
+    "composer_records",
+    f"""WITH b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, strftime(epoch_ms(1704067200000 + (100 - turn) * 60000), {ISO}) AS made FROM conversations),
+    k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS size FROM b), kept AS (SELECT * FROM k WHERE conv_id % 3 <> 1 OR size > 1 OR n = 0)
+    SELECT 'sess:cursor:c' || conv_id AS session_ref, row_number() OVER (PARTITION BY conv_id ORDER BY made) - 1 AS position, made AS observed_at, 't' || turn AS said, NULL AS title, NULL AS model, NULL AS cwd FROM k
+    UNION ALL SELECT 'sess:cursor:c' || conv_id, -1, min(made), NULL, CASE WHEN conv_id % 4 <> 0 THEN 'Plan ' || conv_id END, CASE WHEN conv_id % 2 = 0 THEN 'grand' WHEN max(turn) > 0 THEN 'small' END, CASE WHEN conv_id % 5 <> 0 THEN '/w/' || conv_id END
+      FROM k GROUP BY conv_id HAVING conv_id % 4 <> 0 OR conv_id % 2 = 0 OR max(turn) > 0 OR conv_id % 5 <> 0""",
+)
+def composer_records(spark, sf_dir):
+    """Composers in two stores, of which one holds fewer bubbles or none; titles, models and directories are sometimes missing."""
+    rows = _table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    key = F.concat(F.lit("c"), conv)
+    doc = lambda **m: F.to_json(F.struct(*[v.alias(n) for n, v in m.items()]))
+    heads = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.struct(F.concat(F.lit("b"), t).alias("bubbleId"))).alias("refs"))
+    head = doc(name=F.when(conv % 4 != 0, F.concat(F.lit("Plan "), conv)), modelName=F.when(conv % 2 == 0, "grand"), workspacePath=F.when(conv % 5 != 0, F.concat(F.lit("/w/./"), conv)), fullConversationHeadersOnly=F.col("refs"))
+    at = timekeys.from_millis(F.lit(bridge.EPOCH_MS) + (F.lit(100) - turn) * 60_000)
+    bubble = doc(said=F.concat(F.lit("t"), turn), createdAt=at, modelName=F.when(turn > 0, "small"))
+    store = lambda name, composers, bubbles: composers.select(F.lit(name).alias("store"), F.concat(F.lit("composerData:"), key).alias("storage_key"), head.alias("storage_value")).unionByName(
+        bubbles.select(F.lit(name).alias("store"), F.concat(F.lit("bubbleId:"), key, F.lit(":b"), turn).alias("storage_key"), bubble.alias("storage_value"))
+    )
+    # The other store knows a part of every third composer's bubbles only; of equal ones the first store counts.
+    kv = store("b", heads, rows).unionByName(store("c", heads, rows)).unionByName(store("a", heads.where(conv % 3 == 1), rows.where((conv % 3 == 1) & (turn == 0) & (conv < 0))))
+    made = stores.composer_records(kv)
+    told = [F.get_json_object("raw_json", f"$.{n}").alias(n) for n in ("said", "title", "model", "cwd")]
+    meta = F.col("pointer") == "meta"
+    return made.select("session_ref", "position", "observed_at", *told, meta.alias("meta")).select(
+        "session_ref", "position", "observed_at", "said", *[F.when(F.col("meta"), F.col(c)).alias(c) for c in ("title", "model", "cwd")]
+    )
+
+
+@query(
+    "prompt_history_records",
+    f"""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+    t AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 1704067200000 + place * 1000 ELSE 1704067200000 + (50 - turn) * 60000 END AS ms FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ms, place) - 1 AS position FROM t)
+    SELECT 'sess:cursor:prompt-history:' || sha1('/w/' || conv_id) AS session_ref, position, strftime(epoch_ms(ms), {ISO}) AS observed_at,
+      CASE WHEN turn % 2 = 0 THEN 'g-' || conv_id || '-' || turn ELSE sha1('ask ' || turn || ':' || place) END AS id, 'ask ' || turn AS said FROM o
+    UNION ALL SELECT 'sess:cursor:prompt-history:' || sha1('/w/' || conv_id), -1, strftime(epoch_ms(min(ms)), {ISO}), 'sess:cursor:prompt-history:' || sha1('/w/' || conv_id),
+      CASE WHEN conv_id % 2 = 0 THEN 'Board ' || conv_id ELSE 'ask ' || arg_min(turn, (ms, place)) END FROM t GROUP BY conv_id""",
+)
+def prompt_history_records(spark, sf_dir):
+    """Workspaces with prompts that know their time and id or do not, out of order; every other one names a composer."""
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    place = F.concat(F.lit("/w/./"), "conv_id", F.lit("/"))
+    entry = lambda t: F.struct(
+        F.concat(F.lit("ask "), t).alias("textDescription"), F.when(t % 3 != 0, F.lit(bridge.EPOCH_MS) + (F.lit(50) - t) * 60_000).alias("unixMs"),
+        F.when(t % 2 == 0, F.concat(F.lit("g-"), "conv_id", F.lit("-"), t)).alias("generationUUID"),
+    )
+    listed = rows.select(place.alias("workspace"), F.lit("aiService.generations").alias("storage_key"), F.to_json(F.transform("turns", entry)).alias("storage_value"))
+    named = F.array(F.struct(F.lit(" ").alias("name")), F.struct(F.concat(F.lit("Board "), "conv_id").alias("name")))
+    boards = rows.where("conv_id % 2 = 0").select(place.alias("workspace"), F.lit("composer.composerData").alias("storage_key"), F.to_json(F.struct(named.alias("allComposers"))).alias("storage_value"))
+    made = stores.prompt_history_records(listed.unionByName(boards), "2024-01-01T00:00:00.000Z")
+    said = F.coalesce(F.get_json_object("raw_json", "$.content"), F.get_json_object("raw_json", "$.title"))
+    return made.select("session_ref", "position", "observed_at", F.get_json_object("raw_json", "$.id").alias("id"), said.alias("said"))
+
+
+@query(
+    "envelope_records",
+    f"""WITH {shapes.ROWS} SELECT conv, turn, 'text' AS kind, CASE role WHEN 'user' THEN 'user:' WHEN 'system' THEN 'system:' ELSE 'assistant:' END || said AS what FROM c
+    UNION ALL SELECT conv, turn, 'tool_call', call || ':' || tool || ':' || input FROM c WHERE role = 'assistant' UNION ALL SELECT conv, turn, 'tool_result', call || ':' || output FROM c WHERE role = 'assistant' AND turn % 4 = 1
+    UNION ALL SELECT conv, turn, 'model', model FROM c WHERE role = 'assistant' UNION ALL SELECT conv, turn, 'place', place FROM c WHERE role = 'user'
+    UNION ALL SELECT conv, turn, 'usage', fresh || ':' || cached || ':' || written || ':' || (fresh + cached + written + 7) FROM c WHERE role = 'assistant'
+    UNION ALL SELECT conv, -1, 'title', title FROM c WHERE turn = 0 AND conv % 3 <> 0 UNION ALL SELECT conv, -1, 'parent', parent FROM c WHERE turn = 0 AND conv % 12 IN (4, 8)""",
+)
+def envelope_records(spark, sf_dir):
+    """Messages whose text, calls, usage and stop reason are drawn out of part documents, and sessions with or without a header."""
+    g = shapes._Row()
+    rows = _table(spark, sf_dir, "conversations")
+    doc = lambda **m: F.to_json(F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(n) for n, v in m.items()]))
+    sid, mid = F.concat(F.lit("s"), g.conv), F.concat_ws(":", g.conv, g.turn)
+    sessions = rows.where(g.first).select(sid.alias("id"), doc(title=F.when(g.conv % 3 != 0, g.title), parentID=F.when(g.conv % 3 != 0, g.parent)).alias("doc"))
+    messages = rows.select(mid.alias("id"), sid.alias("session_id"), doc(role=g.role, modelID=F.when(g.says, g.model), path=F.when(g.is_user, F.struct(g.place.alias("cwd")))).alias("doc"))
+    state = F.struct(g.input.alias("input"), F.when(g.turn % 4 == 1, g.output).alias("output"))
+    tokens_ = F.struct(g.fresh.alias("input"), g.written.alias("output"), F.lit(7).alias("reasoning"), F.struct(g.cached.alias("read")).alias("cache"))
+    parts = [
+        F.struct(F.lit("1-said").alias("name"), doc(type=F.when(g.turn % 2 == 0, "text").otherwise("reasoning"), text=g.text).alias("doc")),
+        F.when(g.says, F.struct(F.lit("2-call").alias("name"), doc(type="tool", callID=g.call, tool=g.tool, state=state).alias("doc"))),
+        F.when(g.says, F.struct(F.lit("3-step").alias("name"), doc(type="step-finish", tokens=F.struct(F.lit(1).alias("input")), reason="length").alias("doc"))),
+        F.when(g.says, F.struct(F.lit("4-step").alias("name"), doc(type="step-finish", tokens=tokens_, reason="stop").alias("doc"))),
+        F.struct(F.lit("5-blank").alias("name"), doc(type="text", text=" ").alias("doc")),
+        F.struct(F.lit("6-broken").alias("name"), F.lit("{").alias("doc")),
+    ]
+    listed = rows.select(mid.alias("message_id"), F.explode(F.array_compact(F.array(*parts))).alias("p")).select("message_id", "p.*")
+    made = stores.envelope_records(sessions, messages, listed)
+    conv = F.regexp_extract("session_ref", "s([0-9]+)$", 1)
+    number = F.when(F.col("pointer") == "meta", F.concat(conv, F.lit(":-1"))).otherwise(F.get_json_object("raw_json", "$.id"))
+    raw = made.select(F.lit("conv").alias("source_id"), F.lit("opencode").alias("source_platform"), F.concat(F.lit("b:"), conv).alias("blob_id"), F.lit("/logs/a.jsonl").alias("origin_path"), "session_ref",
+        number.alias("record_id"), "position", F.col("position").alias("ordinal"), "pointer", F.coalesce("observed_at", F.lit("2024-01-01T00:00:00.000Z")).alias("observed_at"), "raw_json")
+    return shapes.told(fragments_of(complete(raw, RECORD), "generic")[0])
+
+
 # --- exported documents ----------------------------------------------------------------------------------------------
 
 

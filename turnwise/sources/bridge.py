@@ -288,11 +288,16 @@ def page_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session relations of ``events``: sign-ups delegate, purchases are automation runs."""
-    rows = events(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase"))
-    signup = F.col("event_type") == "signup"
+    """Relations of all ``events``: sign-ups and some views delegate, purchases and some clicks are automation runs.
+
+    Other views and clicks say nothing of a relation; errors have one that names neither a parent nor a job.
+    """
+    rows = events(spark, sf_dir)
+    kind, k = F.col("event_type"), F.col("k")
+    delegates = (kind == "signup") | ((kind == "view") & (k % 5 == 0))
+    runs = (kind == "purchase") | ((kind == "click") & (k % 5 == 1))
     relation = F.when(
-        signup,
+        delegates,
         F.to_json(
             F.struct(
                 F.concat(F.lit(""), F.col("k") * 2).alias("parent_uuid"),
@@ -301,7 +306,8 @@ def relation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(F.col("k") % 3 == 0, "done").alias("status"),
             )
         ),
-    ).otherwise(
+    ).when(
+        runs,
         F.to_json(
             F.struct(
                 F.lit("automation_run").alias("relation_kind"),
@@ -309,8 +315,8 @@ def relation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(F.col("k") % 4 == 0, F.concat(F.lit("run-"), F.col("k") % 8)).alias("session_key"),
                 F.when(F.col("k") % 6 == 0, F.concat(F.lit(""), F.col("k") % 20)).alias("parent_id"),
             )
-        )
-    )
+        ),
+    ).when(kind == "error", '{"status":"broken","parent_id":" "}')
     return rows.select(
         F.concat(F.lit("f:"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("fragment_id"),
         F.concat(F.lit("sess:ev:"), F.col("user_id")).alias("session_ref"),

@@ -242,13 +242,16 @@ def from_kv_store(kv: DataFrame) -> DataFrame:
     """Bubbles of every composer row of a key-value store, in composer order: (composer_id, position, raw_json).
 
     A referenced bubble is looked up by equality under its possible keys, the first spelling that exists counting. A
-    composer none of whose references exist takes the bubbles filed under its own prefix, by their time and key.
+    composer none of whose references exist takes the bubbles filed under its own prefix, by their time and key. With a
+    column ``store`` every store is read by itself, and the column stays.
     """
+    store = ["store"] if "store" in kv.columns else []
+    key = [*store, "composer_id"]
     composers = kv.where(F.col("storage_key").startswith("composerData:")).select(
-        F.col("storage_key").substr(F.lit(14), F.length("storage_key")).alias("composer_id"), F.try_parse_json("storage_value").alias("v")
+        *store, F.col("storage_key").substr(F.lit(14), F.length("storage_key")).alias("composer_id"), F.try_parse_json("storage_value").alias("v")
     )
     headers = F.concat(jsonv.array(F.col("v"), "fullConversationHeadersOnly"), jsonv.array(F.col("v"), "conversation"))
-    refs = composers.select("composer_id", F.posexplode(headers).alias("position", "ref")).withColumn("bubble", jsonv.string(F.col("ref"), "bubbleId", "id"))
+    refs = composers.select(*key, F.posexplode(headers).alias("position", "ref")).withColumn("bubble", jsonv.string(F.col("ref"), "bubbleId", "id"))
     cid, bid = F.col("composer_id"), F.col("bubble")
     spellings = F.array(
         F.concat_ws(":", F.lit("bubbleId"), cid, bid),
@@ -257,15 +260,15 @@ def from_kv_store(kv: DataFrame) -> DataFrame:
         F.concat_ws(":", F.lit("bubble"), bid),
         bid,
     )
-    tried = refs.where(bid.isNotNull()).select("composer_id", "position", F.posexplode(spellings).alias("rank", "storage_key"))
-    found = tried.join(kv, "storage_key").groupBy("composer_id", "position").agg(F.min_by("storage_value", "rank").alias("raw_json"))
+    tried = refs.where(bid.isNotNull()).select(*key, "position", F.posexplode(spellings).alias("rank", "storage_key"))
+    found = tried.join(kv, [*store, "storage_key"]).groupBy(*key, "position").agg(F.min_by("storage_value", "rank").alias("raw_json"))
     own = kv.where(F.col("storage_key").startswith("bubbleId:")).withColumn("composer_id", F.split_part("storage_key", F.lit(":"), F.lit(2)))
-    orphan = composers.select("composer_id").join(found.select("composer_id").distinct(), "composer_id", "left_anti")
+    orphan = composers.select(*key).join(found.select(*key).distinct(), key, "left_anti")
     bubble = F.try_parse_json("storage_value")
     made = F.coalesce(timekeys.coerce(jsonv.string(bubble, "createdAt")), timekeys.from_millis(jsonv.number(bubble, "createdAt")), F.lit("~"))
-    timed = own.join(orphan, "composer_id").select("composer_id", made.alias("made"), "storage_key", F.col("storage_value").alias("raw_json"))
-    filed = with_position(timed, ["composer_id"], ["made", "storage_key"], "position").select("composer_id", "position", "raw_json")
-    return found.select("composer_id", F.col("position").cast("bigint"), "raw_json").unionByName(filed)
+    timed = own.join(orphan, key).select(*key, made.alias("made"), "storage_key", F.col("storage_value").alias("raw_json"))
+    filed = with_position(timed, key, ["made", "storage_key"], "position").select(*key, "position", "raw_json")
+    return found.select(*key, F.col("position").cast("bigint"), "raw_json").unionByName(filed)
 
 
 def from_prompt_history(kv: DataFrame, base: str) -> DataFrame:
@@ -283,7 +286,8 @@ def from_prompt_history(kv: DataFrame, base: str) -> DataFrame:
         timekeys.from_millis(jsonv.number(F.col("entry"), "unixMs")),
         timekeys.from_millis(timekeys.millis(F.lit(base)) + F.col("ordinal") * 1000),
     )
-    return listed.select("workspace", "ordinal", at.alias("observed_at"), F.col("said").alias("text"))
+    named = F.coalesce(jsonv.string(F.col("entry"), "generationUUID", "id"), F.sha1(F.concat_ws(":", "said", "ordinal")))
+    return listed.select("workspace", "ordinal", at.alias("observed_at"), F.col("said").alias("text"), named.alias("id"))
 
 
 def read_thread_docs(spark: SparkSession, paths: str | list[str], source_id: str, platform: str = "amp") -> DataFrame:

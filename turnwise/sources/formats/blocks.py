@@ -56,7 +56,7 @@ def _blocks(message: Column, actor: Column, code: str, thinking: str, extra_call
     return F.transform(objects, lambda entry: _block(entry, actor, code, thinking, extra_calls)).cast(core.ITEM_ARRAY)
 
 
-def fragments_message_blocks(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_message_blocks(parsed: DataFrame) -> DataFrame:
     """Rows with session fields around a ``message`` of blocks; usage is billed per (message, request, side thread)."""
     v, message = F.col("v"), F.col("message")
     kind = jsonv.string(v, "type")
@@ -100,12 +100,12 @@ def fragments_message_blocks(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             core.usage_item(F.col("text_stop"), message_id=F.col("mid"), request_id=F.col("request"), is_sidechain=F.col("side")),
         )
     )
-    return core.to_fragments(
+    return core.to_pieces(
         read.withColumns({"items": F.concat(signals, spoken, bill), "signal_count": F.size(signals), "text_usage": F.col("billed"), "usage_on_text": F.lit(False), "text_message_id": F.when(actor == "assistant", F.col("mid"))})
     )
 
 
-def fragments_factory(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_factory(parsed: DataFrame) -> DataFrame:
     """Typed rows (session_start, message, lifecycle) and a settings sidecar with session-wide usage."""
     v, message = F.col("v"), F.col("message")
     base = parsed.withColumns(
@@ -166,10 +166,10 @@ def fragments_factory(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(items(core.unknown(v, "factory_droid_unhandled_record_type")))
     )
     count = F.when(F.col("kind") == "message", F.size(signals)).otherwise(0)
-    return core.to_fragments(read.withColumns({"items": pieces, "signal_count": count, "text_usage": F.when(F.col("pointer") == "settings", F.col("settings_usage")).otherwise(usage)}))
+    return core.to_pieces(read.withColumns({"items": pieces, "signal_count": count, "text_usage": F.when(F.col("pointer") == "settings", F.col("settings_usage")).otherwise(usage)}))
 
 
-def fragments_thread(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_thread(parsed: DataFrame) -> DataFrame:
     """A thread's root (title, first workspace tree) and its messages of blocks."""
     v = F.col("v")
     sent = F.coalesce(
@@ -203,4 +203,4 @@ def fragments_thread(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     count = F.when((actor == "assistant") & (F.col("said_model") != ""), 1).otherwise(0)
     pieces = F.when(F.col("pointer") == "root", root).otherwise(message)
-    return core.to_fragments(read.withColumns({"items": pieces, "signal_count": count, "text_usage": usage}))
+    return core.to_pieces(read.withColumns({"items": pieces, "signal_count": count, "text_usage": usage}))

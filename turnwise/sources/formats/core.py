@@ -43,18 +43,14 @@ def no_items() -> Column:
     return F.array().cast(ITEM_ARRAY)
 
 
-def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Split records into parsed ones (column ``v``) and the rest, which become unknown fragments with an audit each."""
+def parse_records(records: DataFrame) -> DataFrame:
+    """Records with their parsed value ``v`` and ``gate``, the code of those that are no JSON object (null for the others)."""
     # The parser stops behind the first value; inside brackets anything that follows it is an error or a second element.
     bracketed = F.try_parse_json(F.concat(F.lit("["), F.col("raw_json"), F.lit("]")))
     tried = complete(records, RECORD).withColumn("_values", F.try_variant_get(bracketed, "$", "array<variant>"))
     tried = tried.withColumn("v", F.when(F.size("_values") == 1, F.get("_values", F.lit(0)))).drop("_values")
-    good = tried.where(jsonv.is_object(F.col("v"))).drop("raw_json")
-    bad = tried.where(~jsonv.is_object(F.col("v")))
-    unknown = bad.withColumns({"fragment_kind": F.lit("unknown"), "seq_no": F.lit(0), "arrival": F.lit(0), "time_key": F.col("observed_at"), "detail": F.col("raw_json")})
-    unknown = unknown.withColumn("fragment_id", fragment_id())
-    code = F.when(F.col("v").isNull(), "record_json_parse_failed").otherwise("record_not_object")
-    return good, complete(unknown, FRAGMENT), record_audits(bad, code, "warning", F.lit("unknown_fragment"), code)
+    gate = F.when(F.col("v").isNull(), "record_json_parse_failed").when(~jsonv.is_object(F.col("v")), "record_not_object")
+    return tried.withColumn("gate", gate)
 
 
 def fragment_id() -> Column:
@@ -131,11 +127,18 @@ def relation_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
 
 
-def to_fragments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fragments and audits from records with ``items``, ``time_key`` and what the first text of a record carries.
+#: What a piece is besides a fragment: only an audit, or a record of which nothing is left.
+NO_FRAGMENT = ("audit_only", "nothing")
+PIECE = FRAGMENT | {"audit": "string", "heads_record": "boolean"}
+
+
+def to_pieces(df: DataFrame) -> DataFrame:
+    """Everything that comes of records with ``items``, ``time_key`` and what the first text of a record carries: one row
+    per fragment or audit, and one for a record of which nothing is left.
 
     ``signal_count`` pieces at the front are numbered on their own, the rest again from zero; ``arrival`` keeps their order.
     ``text_usage`` (unless ``usage_on_text`` is false), ``text_stop``, ``text_message_id`` and ``text_model`` go onto the first assistant chunk.
+    Records that did not pass the gate become unknown fragments with an audit each, whatever the profile made of them.
     """
     on_text = F.col("usage_on_text") if "usage_on_text" in df.columns else F.lit(True)
     df = df.withColumn("usage_on_text", on_text)
@@ -145,22 +148,18 @@ def to_fragments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     for name, kind in defaults.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
+    shut = F.col("gate").isNotNull()
+    refused = items(item("unknown", detail=F.col("raw_json"), audit=F.concat("gate", F.lit("|warning|unknown_fragment"))))
+    df = df.withColumns({"items": F.when(shut, refused).otherwise(F.col("items")), "signal_count": F.when(shut, 0).otherwise(F.col("signal_count")), "time_key": F.when(shut, F.col("observed_at")).otherwise(F.col("time_key"))})
     said = F.transform("items", lambda i: (i.kind == SAY) & (i.fields["actor_kind"] == "assistant"))
-    # The outer form adds no size filter, which the optimizer would push below by repeating the whole item expression.
-    placed = df.select(*KEYS, "time_key", *defaults, (F.array_position(said, True) - 1).alias("_first_say"), "signal_count", "usage_on_text", F.posexplode_outer("items").alias("item_no", "item")).where(F.col("item").isNotNull())
+    # The outer form keeps records without items, and adds no size filter, which the optimizer would push below by
+    # repeating the whole item expression.
+    placed = df.select(*KEYS, "time_key", *defaults, (F.array_position(said, True) - 1).alias("_first_say"), "signal_count", "usage_on_text", F.posexplode_outer("items").alias("item_no", "item"))
     local = F.when(F.col("item_no") < F.col("signal_count"), F.col("item_no")).otherwise(F.col("item_no") - F.col("signal_count"))
     flat = placed.select(*KEYS, "time_key", *defaults, "item_no", "usage_on_text", local.alias("local_no"), (F.col("item_no") == F.col("_first_say")).alias("_first"),
-        F.col("item.kind").alias("kind"),
+        F.coalesce("item.kind", F.lit("nothing")).alias("kind"),
         *[F.col("item.fields")[name].alias(name) for name in FIELDS],
     )
-    audits = record_audits(
-        flat.where(F.col("audit").isNotNull()),
-        F.split_part("audit", F.lit("|"), F.lit(1)),
-        F.split_part("audit", F.lit("|"), F.lit(2)),
-        F.split_part("audit", F.lit("|"), F.lit(3)),
-        F.split_part("audit", F.lit("|"), F.lit(1)),
-    )
-    flat = flat.where(F.col("kind") != "audit_only")
     talk = F.col("kind") == SAY
     user = talk & (F.col("actor_kind") == "user")
     whole = F.array(
@@ -171,12 +170,12 @@ def to_fragments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     chunks = F.when(user, usertext.split_user_text(F.when(user, F.col("text")), F.col("source_platform"), F.col("origin_path"))).when(talk, whole)
-    split = flat.withColumn("_chunks", chunks).select("*", F.posexplode_outer("_chunks").alias("chunk_no", "chunk")).where(~talk | F.col("chunk").isNotNull())
+    split = flat.withColumn("_chunks", chunks).select("*", F.posexplode_outer("_chunks").alias("chunk_no", "chunk"))
     first, bill = talk & F.col("_first"), F.col("kind") == "token_usage_signal"
     shown = F.coalesce("chunk.display_policy", roles.display_policy(F.col("chunk.origin_kind"), F.col("chunk.text")))
     done = split.withColumns(
         {
-            "fragment_kind": F.when(talk, "text").otherwise(F.col("kind")),
+            "fragment_kind": F.when(talk & F.col("chunk").isNull(), "nothing").when(talk, "text").otherwise(F.col("kind")),
             "seq_no": F.col("local_no").cast("bigint") * CHUNK_SPACE + F.coalesce("chunk_no", F.lit(0)),
             "arrival": F.col("item_no").cast("bigint") * CHUNK_SPACE + F.coalesce("chunk_no", F.lit(0)),
             "origin_kind": F.when(talk, F.col("chunk.origin_kind")).otherwise(F.col("origin_kind")),
@@ -187,9 +186,21 @@ def to_fragments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             "stop_reason": F.when(first, F.col("text_stop")).otherwise(F.col("stop_reason")),
             "message_id": F.when(first, F.col("text_message_id")).otherwise(F.col("message_id")),
             "model": F.when(first, F.coalesce("text_model", "model")).when(bill, F.coalesce("model", "text_usage.model")).otherwise(F.col("model")),
+            # An audit belongs to its item, and a record is counted at its first piece.
+            "audit": F.when(F.coalesce("chunk_no", F.lit(0)) == 0, F.col("audit")),
+            "heads_record": (F.coalesce("item_no", F.lit(0)) == 0) & (F.coalesce("chunk_no", F.lit(0)) == 0),
         }
     ).withColumn("fragment_id", fragment_id())
-    return complete(done, FRAGMENT), audits
+    return complete(done, PIECE)
+
+
+def fragments_in(pieces: DataFrame) -> DataFrame:
+    return pieces.where(~F.col("fragment_kind").isin(*NO_FRAGMENT)).select(*FRAGMENT)
+
+
+def audits_in(pieces: DataFrame) -> DataFrame:
+    told = [F.split_part("audit", F.lit("|"), F.lit(n)) for n in (1, 2, 3)]
+    return record_audits(pieces.where(F.col("audit").isNotNull()), told[0], told[1], told[2], told[0])
 
 
 def unknown(v: Column, code: str) -> Column:

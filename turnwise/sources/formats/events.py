@@ -47,7 +47,7 @@ def delegation_facts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def fragments_event_log(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_event_log(parsed: DataFrame) -> DataFrame:
     """Rows ``{timestamp, type, payload}``: session and turn context, response items, events.
 
     In a delegated session nothing a user or developer row says counts as user text, and rows before the session's own
@@ -192,7 +192,7 @@ def fragments_event_log(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(there & (kind == "event_msg"), event)
     )
     unhandled = items(core.unknown(v, "codex_unhandled_record_type"))
-    return core.to_fragments(read.withColumns({"items": F.coalesce(pieces, unhandled), "text_usage": usage, "usage_on_text": kind == "response_item"}))
+    return core.to_pieces(read.withColumns({"items": F.coalesce(pieces, unhandled), "text_usage": usage, "usage_on_text": kind == "response_item"}))
 
 
 # Wire records that are evidence only.
@@ -209,7 +209,7 @@ WIRE_EVIDENCE = (
 )
 
 
-def fragments_wire(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_wire(parsed: DataFrame) -> DataFrame:
     """Wire events: prompts and steers by origin, loop events, usage records; a state sidecar names the session."""
     v = F.col("v")
     read = parsed.withColumns(
@@ -302,6 +302,6 @@ def fragments_wire(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(kind == "usage.record", items(some(known, core.usage_item(source_event_type="usage.record"))))
         .when(kind.isin(*WIRE_EVIDENCE), core.no_items())
     )
-    return core.to_fragments(
+    return core.to_pieces(
         read.withColumns({"items": F.coalesce(pieces, items(core.unknown(v, "kimi_unhandled_record_type"))), "text_usage": usage, "usage_on_text": F.lit(False)})
     )

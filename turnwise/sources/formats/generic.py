@@ -133,7 +133,7 @@ def prefilter_records(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("dropped", F.when(F.coalesce(echo, F.lit(False)), "echo").when(F.coalesce(ended, F.lit(False)), "ended"))
 
 
-def fragments_generic(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_generic(parsed: DataFrame) -> DataFrame:
     v, message = F.col("v"), F.col("message")
     said_at = [timekeys.coerce(jsonv.string(v, name)) for name in ("timestamp", "updatedAt", "createdAt", "created_at")]
     inner = jsonv.member(v, "message")
@@ -213,4 +213,4 @@ def fragments_generic(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(nothing, items(core.unknown(v, "unhandled_record")))
         .otherwise(F.concat("signals", "spoken", unbilled))
     )
-    return core.to_fragments(read.withColumns({"items": pieces, "signal_count": F.size("signals"), "text_usage": F.col("billed")}))
+    return core.to_pieces(read.withColumns({"items": pieces, "signal_count": F.size("signals"), "text_usage": F.col("billed")}))

@@ -12,7 +12,7 @@ from turnwise.sources.formats import core
 from turnwise.sources.formats.core import SAY, item, items, some
 
 
-def fragments_multi_agent(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_multi_agent(parsed: DataFrame) -> DataFrame:
     """Messages with millisecond times, plus metadata rows of subagents, sessions and conversations."""
     v = F.col("v")
     read = parsed.withColumns(
@@ -79,7 +79,7 @@ def fragments_multi_agent(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(empty, items(core.dropped("accio_empty_record")))
         .otherwise(message)
     )
-    return core.to_fragments(read.withColumns({"items": pieces, "text_usage": F.col("billed")}))
+    return core.to_pieces(read.withColumns({"items": pieces, "text_usage": F.col("billed")}))
 
 
 def _plain_text(value: Column, path: str) -> Column:
@@ -88,7 +88,7 @@ def _plain_text(value: Column, path: str) -> Column:
     return F.coalesce(jsonv.string(value, path), F.nullif(F.array_join(F.filter(parts, lambda t: t != ""), "\n"), F.lit("")))
 
 
-def fragments_chat_history(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_chat_history(parsed: DataFrame) -> DataFrame:
     """Chat rows by type, with synthetic users, collapsed reasoning, tool calls and a summary sidecar."""
     v = F.col("v")
     read = parsed.withColumns(
@@ -159,10 +159,10 @@ def fragments_chat_history(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(kind == "tool_result", items(answered))
         .otherwise(unhandled)
     )
-    return core.to_fragments(read.withColumns({"items": pieces, "text_model": F.col("said_model"), "text_usage": F.col("billed"), "usage_on_text": F.lit(False)}))
+    return core.to_pieces(read.withColumns({"items": pieces, "text_model": F.col("said_model"), "text_usage": F.col("billed"), "usage_on_text": F.lit(False)}))
 
 
-def fragments_cron_runs(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fragments_cron_runs(parsed: DataFrame) -> DataFrame:
     """Runs of scheduled jobs: a title, an automation relation and the run's summary as system text."""
     v = F.col("v")
     read = parsed.withColumns(
@@ -188,4 +188,4 @@ def fragments_cron_runs(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         some(F.coalesce("job", "run_session", "run_key", "status").isNotNull(), item("session_relation", relation=relation)),
         some(F.col("summary") != "", item("text", actor_kind="system", origin_kind="source_meta", display_policy="show", text=F.col("summary"))),
     )
-    return core.to_fragments(read.withColumn("items", pieces))
+    return core.to_pieces(read.withColumn("items", pieces))
