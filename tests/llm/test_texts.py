@@ -229,3 +229,38 @@ def test_keep_one_of_null_and_shared_ids(spark, shared_ids, odd_documents, no_do
     assert kept == sorted(map(str, [(3, LEAK.upper()), (None, "a clean text without a number"), (7, LEAK + " more"), (7, "another clean text of seven"), (8, None)]))
     assert sorted((r.doc_id for r in simhash.keep_one(odd_documents).collect()), key=str) == sorted([1, 1, 3, 6, 7, 8, None], key=str)
     assert simhash.keep_one(no_documents).count() == 0
+
+
+def test_rewrapped_paragraphs_link(spark):
+    """A quote of two paragraphs, wrapped anew and marked, links to its message by its paragraphs; so it does in SQL."""
+    import duckdb
+
+    from turnwise.llm.catalog_text import REPLY_ORDER_SQL
+
+    said = "Intro line.\n\nThe first paragraph has several words in it.\n\nThe second one has some more words.\n\nBye."
+    quote = "> The first paragraph has\n> several words in it.\n>\n> The second one\n> has some more words.\nI agree."
+    rows = [(1, 0, "u", said), (1, 1, "a", "Something else."), (1, 2, "u", quote)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cursor = con.execute(REPLY_ORDER_SQL)
+    names = [d[0] for d in cursor.description]
+    got = reply_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cursor.fetchall())
+    last = got.filter("turn = 2").first()
+    assert last.linked and last.parent_turn == 0 and last.body == "I agree."
+
+
+def test_very_long_quotes_take_linear_time(spark):
+    import time
+
+    def took(lines):
+        text = "\n".join(f"> line {k} of a quote" if k % 50 else ">" for k in range(lines))
+        rows = spark.createDataFrame([(1, 0, "u", "line 7 of a quote"), (1, 1, "a", text)], "conv_id long, turn long, role string, text string")
+        began = time.perf_counter()
+        assert reply_conversations(rows).filter("linked").count() == 1
+        return time.perf_counter() - began
+
+    took(100)
+    short, long = took(8000), took(32_000)
+    assert long < 4 * short + 3

@@ -61,10 +61,10 @@ l AS (
 ),
 body AS (SELECT conv, pos, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT attribution), ''), '^\s+|\s+$', '', 'g') AS body FROM l GROUP BY conv, pos),
 runs AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY conv, pos ORDER BY i) AS passage FROM l),
-passages AS (SELECT conv, pos, passage, level, list(content ORDER BY i) AS lines FROM runs WHERE level > 0 GROUP BY ALL),
+passages AS (SELECT conv, pos, passage, level, string_agg(content, chr(10) ORDER BY i) AS text FROM runs WHERE level > 0 GROUP BY ALL),
 quoted AS (
   SELECT conv, pos, passage, level, unit, length(unit) AS size
-  FROM (SELECT conv, pos, passage, level, unnest(list_transform([array_to_string(lines, ' ')] || lines, lambda x: {_NORMAL.format("x")})) AS unit FROM passages) WHERE unit <> ''
+  FROM (SELECT conv, pos, passage, level, unnest(list_distinct(list_transform([text] || string_split_regex(text, '\n\s*\n') || string_split_regex(text, '\n'), lambda x: {_NORMAL.format("x")}))) AS unit FROM passages) WHERE unit <> ''
 ),
 said AS (
   SELECT DISTINCT conv, pos, unit FROM (SELECT conv, pos, unnest(list_transform([body] || string_split_regex(body, '\n\s*\n') || string_split_regex(body, '\n'), lambda x: {_NORMAL.format("x")})) AS unit FROM body) WHERE unit <> ''

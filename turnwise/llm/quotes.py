@@ -1,7 +1,7 @@
 """Quotation linking: conversations in reply order, without the text they quote.
 
 A message is cut into lines and each line into its quote level (leading ``>`` marks) and content. Runs of lines of one
-level are passages; a passage and each of its lines are normalised and hashed, and the hashes of quoted units are joined
+level are passages; a passage, its paragraphs and its lines are normalised and hashed, and the hashes of quoted units are joined
 to units of the unquoted text (whole bodies, paragraphs, lines) of earlier messages of the conversation. The reply goes
 to the message that the longest unit of its least deeply quoted passage came from, the latest one if several said the same;
 a message without a linked quote replies to the one before it. Conversations are then walked in depth: each reply
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.ordered import last_value, next_value, position_chunk, with_running
-from turnwise.llm.common import materialize, prefix_sums
+from turnwise.llm.common import discard, materialize, prefix_sums
 
 #: Marks at the head of a quoted line, each with up to three blanks before it and one behind.
 MARKS = r"^(?:[ \t]{0,3}>)+ ?"
@@ -32,10 +32,6 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _unit(text: Column) -> Column:
-    return F.md5(_normal(text))
-
-
 def parsed_lines(text: Column) -> Column:
     """Array of (level, content, attribution) of the lines of a text; null has none."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
@@ -74,32 +70,36 @@ def _body(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["content"]), "\n"), r"^\s+|\s+$", "")
 
 
+def _units(text: Column) -> Column:
+    """A text of several lines, its paragraphs and its lines."""
+    return F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, r"\n"))
+
+
 def quoted_units(messages: DataFrame) -> DataFrame:
-    """(conv, pos, passage, level, unit, size) of quoted passages and of their lines."""
+    """(conv, pos, passage, level, unit, size) of quoted passages, of their paragraphs and of their lines."""
+    lines = F.col("lines")
     quoting = messages.filter(F.exists("lines", lambda x: x["level"] > 0))
-    # Passages of a message are built inside its row: a new one begins where the level changes.
-    empty = F.array().cast("array<struct<level:int,lines:array<string>>>")
-
-    def add(passages: Column, x: Column) -> Column:
-        last = F.try_element_at(passages, F.lit(-1))
-        joined = F.struct(x["level"].alias("level"), F.concat(last["lines"], F.array(x["content"])).alias("lines"))
-        single = F.struct(x["level"].alias("level"), F.array(x["content"]).alias("lines"))
-        keep = F.slice(passages, F.lit(1), F.greatest(F.size(passages) - 1, F.lit(0)))
-        return F.when(last["level"] == x["level"], F.concat(keep, F.array(joined))).otherwise(F.concat(passages, F.array(single)))
-
-    passages = F.aggregate("lines", empty, add)
-    each = quoting.select("conv", "pos", F.posexplode(passages).alias("passage", "p")).filter("p.level > 0")
-    units = F.concat(F.array(F.array_join(F.col("p.lines"), " ")), F.col("p.lines"))
-    return each.select("conv", "pos", "passage", F.col("p.level").alias("level"), F.explode(units).alias("t")).filter(_normal(F.col("t")) != "").select(
-        "conv", "pos", "passage", "level", _unit(F.col("t")).alias("unit"), F.length(_normal(F.col("t"))).alias("size")
+    # A passage begins where the level changes; it is cut out by its place, so a message is gone over once.
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    begins = F.filter(numbers, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+    placed = quoting.select("conv", "pos", "lines", begins.alias("begins"))
+
+    def passage(begin: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("begins"), k + 1), F.size(lines))
+        said = F.transform(F.slice(lines, begin + 1, end - begin), lambda x: x["content"])
+        return F.struct(F.get(lines, begin)["level"].alias("level"), F.array_join(said, "\n").alias("text"))
+
+    each = placed.select("conv", "pos", F.posexplode(F.transform("begins", passage)).alias("passage", "p")).filter("p.level > 0")
+    parts = F.array_distinct(F.transform(_units(F.col("p.text")), _normal))
+    return each.select("conv", "pos", "passage", F.col("p.level").alias("level"), F.explode(parts).alias("t")).filter("t <> ''").select(
+        "conv", "pos", "passage", "level", F.md5("t").alias("unit"), F.length("t").alias("size")
     )
 
 
 def original_units(messages: DataFrame) -> DataFrame:
     """(conv, pos, unit) of unquoted text: the body, its paragraphs and its lines."""
     body = messages.select("conv", "pos", _body(F.col("lines")).alias("body"))
-    units = F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", r"\n"))
-    return body.select("conv", "pos", F.explode(F.array_distinct(F.transform(units, _normal))).alias("t")).filter("t <> ''").select("conv", "pos", F.md5("t").alias("unit"))
+    return body.select("conv", "pos", F.explode(F.array_distinct(F.transform(_units(F.col("body")), _normal))).alias("t")).filter("t <> ''").select("conv", "pos", F.md5("t").alias("unit"))
 
 
 def linked_quotes(messages: DataFrame) -> DataFrame:
@@ -131,23 +131,27 @@ def reply_order(parents: DataFrame) -> DataFrame:
     tour = enter.unionByName(leave).select("conv", "at", "out", "next", "next_out", F.col("enters").cast("long"), F.col("rise").cast("long"))
     # ``enters`` and ``rise`` add up a step and all it has skipped; steps that end the walk have no next.
     # A round is over the conversations that still have open steps: steps never lead from one conversation to another.
-    finished = []
+    finished, tour = [], materialize(tour, "tour")
     while True:
-        tour = materialize(tour, "tour")
         unfinished = materialize(tour.filter("next IS NOT NULL").select("conv").distinct(), "unfinished")
-        finished.append(tour.join(unfinished, "conv", "left_anti"))
+        # Only where messages are entered is asked for in the end.
+        finished.append(materialize(tour.filter("out = 0").join(unfinished, "conv", "left_anti").select("conv", "at", "enters", "rise"), "walked"))
         if unfinished.isEmpty():
+            discard(tour, unfinished)
             break
-        tour = tour.join(unfinished, "conv", "left_semi")
-        ahead = tour.select("conv", F.col("at").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("n"), F.col("next_out").alias("no"), F.col("enters").alias("e"), F.col("rise").alias("r"))
-        tour = tour.join(ahead, ["conv", "next", "next_out"], "left").select(
+        open_steps = tour.join(unfinished, "conv", "left_semi")
+        ahead = open_steps.select("conv", F.col("at").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("n"), F.col("next_out").alias("no"), F.col("enters").alias("e"), F.col("rise").alias("r"))
+        doubled = open_steps.join(ahead, ["conv", "next", "next_out"], "left").select(
             "conv", "at", "out", F.col("n").alias("next"), F.when(F.col("n").isNotNull(), F.col("no")).alias("next_out"),
             (F.col("enters") + F.coalesce("e", F.lit(0))).alias("enters"), (F.col("rise") + F.coalesce("r", F.lit(0))).alias("rise"),
         )
-    tour = reduce(DataFrame.unionByName, finished)
+        doubled = materialize(doubled, "tour")
+        discard(tour, unfinished)
+        tour = doubled
+    walked = reduce(DataFrame.unionByName, finished)
     # ``enters`` now counts the messages from here to the end, and ``rise`` is minus the depth above.
     totals = parents.groupBy("conv").agg(F.count("*").alias("n"))
-    entered = tour.filter("out = 0").select("conv", F.col("at").alias("pos"), "enters", (-F.col("rise")).alias("depth"))
+    entered = walked.select("conv", F.col("at").alias("pos"), "enters", (-F.col("rise")).alias("depth"))
     return entered.join(totals, "conv").select("conv", "pos", (F.col("n") - F.col("enters")).alias("position"), "depth")
 
 
