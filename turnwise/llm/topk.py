@@ -47,26 +47,46 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(queries.shape[1], 1)
     if bound < 2.0**53:
         return (queries @ rows.T).astype(np.int64)
-    exact = [[sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows] for q in queries]
-    return np.array([[max(-LONGEST - 1, min(LONGEST, s)) for s in line] for line in exact], np.int64).reshape(len(queries), len(rows))
-
-
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id; ``ids`` ascend."""
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > bar)
-        chosen = np.concatenate([above, np.flatnonzero(scores == bar)[: k - len(above)]])
-    else:
-        chosen = np.arange(len(scores))
-    return chosen[np.lexsort((ids[chosen], ~scores[chosen]))]
-
-
-def _without(own: int, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lo, hi = np.searchsorted(ids, [own, own + 1])
-    if lo == hi:
-        return scores, ids
-    return np.concatenate([scores[:lo], scores[hi:]]), np.concatenate([ids[:lo], ids[hi:]])
+    whole = lambda m: np.array([[int(x) for x in line] for line in m], object).reshape(m.shape)
+    return np.clip(whole(queries) @ whole(rows).T, -LONGEST - 1, LONGEST).astype(np.int64)
+
+
+class Best:
+    """The k best (score, id) of each query so far; ties go to the smaller id. Unused places have an id of LONGEST."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.scores = np.full((queries, k), -LONGEST - 1, np.int64)
+        self.ids = np.full((queries, k), LONGEST, np.int64)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray, fits: np.ndarray) -> None:
+        """Scores of queries from ``first`` on (down) with rows of ascending ids (across), where they fit."""
+        at = slice(first, first + len(scores))
+        k = self.scores.shape[1]
+        # Queries whose worst place nothing here can take are left alone.
+        open_place = (self.ids[at, -1] == LONGEST)[:, None]
+        better = fits & (open_place | (scores > self.scores[at, -1, None]) | (scores == self.scores[at, -1, None]) & (ids[None] < self.ids[at, -1, None]))
+        live = np.flatnonzero(better.any(1))
+        if not len(live):
+            return
+        better, left, line = better[live], scores[live], np.arange(len(live))
+        # A row that does not count is below all that do: the least score is moved up by one, where ids still decide.
+        new_scores, new_ids = [self.scores[first + live]], [self.ids[first + live]]
+        for _ in range(min(k, scores.shape[1])):
+            ranked = np.where(better, left, -LONGEST - 1)
+            top = ranked.max(1)
+            best = (better & (left == top[:, None])).argmax(1)
+            found = better[line, best]
+            new_scores.append(np.where(found, left[line, best], -LONGEST - 1)[:, None])
+            new_ids.append(np.where(found, ids[best], LONGEST)[:, None])
+            better[line, best] = False
+            if not better.any():
+                break
+        scores_now, ids_now = np.concatenate(new_scores, 1), np.concatenate(new_ids, 1)
+        order = np.argsort(ids_now, axis=1, kind="stable")
+        scores_now, ids_now = np.take_along_axis(scores_now, order, 1), np.take_along_axis(ids_now, order, 1)
+        # Highest scores first without negating the least one; unused places stay behind used ones of that score.
+        order = np.argsort(~scores_now, axis=1, kind="stable")[:, :k]
+        self.scores[first + live], self.ids[first + live] = np.take_along_axis(scores_now, order, 1), np.take_along_axis(ids_now, order, 1)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +106,7 @@ def _search(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     """Tiles of candidates against all queries of a block; ``blocks`` has the queries by vector length."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {length: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids) for length, (ids, _) in blocks.items()}
+        kept = {length: Best(len(ids), k) for length, (ids, _) in blocks.items()}
         for batch in _tiles(batches):
             for length, ids, rows in _matrix(batch.column(1), np.asarray(batch.column(0))):
                 if length not in blocks:
@@ -96,24 +116,13 @@ def _search(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
                     tile_ids, tile = ids[top : top + TILE_ROWS], rows[top : top + TILE_ROWS]
                     for left in range(0, len(query_ids), TILE_QUERIES):
                         scores = _products(queries[left : left + TILE_QUERIES], tile)
-                        for i, line in enumerate(scores):
-                            q = left + i
-                            line, others = _without(query_ids[q], line, tile_ids)
-                            at = best(line, others, k)
-                            old_ids, old_scores = kept[length][q]
-                            all_ids, all_scores = np.concatenate([old_ids, others[at]]), np.concatenate([old_scores, line[at]])
-                            order = np.argsort(all_ids, kind="stable")
-                            chosen = order[best(all_scores[order], all_ids[order], k)]
-                            kept[length][q] = all_ids[chosen], all_scores[chosen]
+                        kept[length].add(left, scores, tile_ids, tile_ids[None] != query_ids[left : left + TILE_QUERIES, None])
         for length, (query_ids, _) in blocks.items():
-            for left in range(0, len(query_ids), 256):
-                lists = kept[length][left : left + 256]
-                sizes = [len(ids) for ids, _ in lists]
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(query_ids[left : left + 256], sizes)), pa.array(np.concatenate([i for i, _ in lists])), pa.array(np.concatenate([s for _, s in lists]))],
-                        names=["query_id", "vec_id", "score"],
-                    )
+            for left in range(0, len(query_ids), 4096):
+                scores, ids = kept[length].scores[left : left + 4096], kept[length].ids[left : left + 4096]
+                who, rank = np.nonzero(ids != LONGEST)
+                if len(who):
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[left + who]), pa.array(ids[who, rank]), pa.array(scores[who, rank])], names=["query_id", "vec_id", "score"])
 
     return search
 
