@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from turnwise.llm.common import learnable, materialize, unit_hash
 
 DIMENSIONS = 1 << 16
-#: Labelled documents that train the model: about this many of each language, and of all languages together at most.
+#: Different labelled documents that train the model: about this many of each language, and of all languages together at most.
 SAMPLE_PER_LANGUAGE, SAMPLE_ALL = 400, 8000
 #: One in so many of the sample is kept for the temperature.
 CALIBRATION = 5
@@ -157,17 +157,18 @@ def train(documents: DataFrame) -> Model:
     total = counted.n[counted.feature < 0].sum()
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
-    labelled = may.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    per_language = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # Rows equal in id and text have one place, so a text that is repeated any number of times is one row of the sample.
+    place = unit_hash(F.col("key"), F.col("text")).alias("place")
+    labelled = may.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", place)
+    per_language = labelled.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n"))
     languages = per_language.count()
     if not languages:
         return Model((), idf, np.zeros((0, DIMENSIONS + 1)), 1.0)
     each = max(2, min(SAMPLE_PER_LANGUAGE, SAMPLE_ALL // languages))
-    # A sample by hash: about ``each`` rows of every language, all rows of a rare one.
-    place = unit_hash(F.col("key"), F.col("text"))
+    # A sample by hash: about ``each`` different rows of every language, all of a rare one.
     # One row per language, counted above; the texts stay where they are and only the sample goes on.
     sizes = F.broadcast(per_language) if languages <= BROADCAST_LANGUAGES else per_language
-    rated = labelled.withColumn("place", place).join(sizes, "lang").filter(F.col("place") * F.col("n") < each)
+    rated = labelled.join(sizes, "lang").filter(F.col("place") * F.col("n") < each).groupBy("lang", "place").agg(F.min("text").alias("text"))
     rows = materialize(rated.select("place", "lang", "text").mapInArrow(_sampled, "place double, lang string, ids array<int>, counts array<int>"), "sample").orderBy("place", "lang").toArrow()
     names = tuple(sorted(set(rows["lang"].to_pylist())))
     labels = np.array([names.index(x) for x in rows["lang"].to_pylist()], np.int64)
