@@ -20,7 +20,7 @@ BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 __all__ = [
-    "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "file_uri", "held_out", "join_split", "learnable",
+    "BASE", "BATCH_BYTES", "BATCH_ROWS", "BLANK_SEPARATED", "LOWER", "UPPER", "configure", "discard", "file_uri", "free_names", "held_out", "join_split", "learnable",
     "materialize", "mix", "power_tables", "prefix_sums", "runs", "same_row", "source_table", "text_digest", "text_slices", "unit_hash", "work_dir",
 ]
 
@@ -81,6 +81,17 @@ def same_row(documents: DataFrame, doc_id: Column, digest: Column) -> Column:
     return documents["doc_id"].cast("long").eqNullSafe(doc_id) & text_digest(documents["text"]).eqNullSafe(digest)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column is called so, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unit_hash(*columns: Column) -> Column:
     """A stable value in [0, 1) for hash-ordered samples."""
     return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))

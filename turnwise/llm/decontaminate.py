@@ -236,6 +236,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``documents`` whose text has no hit."""
+    """Rows of ``documents`` whose text has no hit, with all columns, whatever their names.
+
+    Null and empty texts have none and stay; rows of equal id and text stay or go together; no documents give no row.
+    """
     found = _found(documents, benchmark)[1]
     return documents.join(found, same_row(documents, found["hit_id"], found["hit_digest"]), "left_anti")

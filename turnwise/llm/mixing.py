@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import BLANK_SEPARATED, materialize, prefix_sums, same_row, text_digest
+from turnwise.llm.common import BLANK_SEPARATED, free_names, materialize, prefix_sums, same_row, text_digest
 
 #: Expected copies are whole multiples of 2**-BITS, so that sums are exact in any order.
 BITS = 40
@@ -89,20 +89,21 @@ def emit(documents: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of ``documents``, as often as the mix takes them.
 
     Rows equal in doc_id, source and text come out as often, together, as the mix takes all of them: each as often as the
-    least taken, and one of them for what is left.
+    least taken, and one of them for what is left. Null ids, sources and texts are values like others; the columns may have
+    any names; no documents, or a mix that takes none, give no row.
     """
-    per = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_digest").alias("_digest"))
-    taken = materialize(per.agg(F.min("copies").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_left")), "copies")
-    columns = documents.columns
+    own_id, own_source, digest, copies, left, copy, row = free_names(documents.columns, "id", "source", "digest", "copies", "left", "copy", "row")
+    per = mix.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("text_digest").alias(digest))
+    taken = materialize(per.agg(F.min("copies").alias(copies), (F.sum("copies") - F.min("copies") * F.count("*")).alias(left)), "copies")
+    own = [documents[c] for c in documents.columns]
 
     def match(rows: DataFrame) -> Column:
-        return same_row(documents, rows["_id"], rows["_digest"]) & documents["source"].cast("string").eqNullSafe(rows["_source"])
+        return same_row(documents, rows[own_id], rows[digest]) & documents["source"].cast("string").eqNullSafe(rows[own_source])
 
     def repeated(rows: DataFrame, times: str) -> DataFrame:
-        return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int"))))
+        return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int"))))
 
-    each, rest = taken.filter("_copies > 0").drop("_left"), taken.filter("_left > 0").drop("_copies")
-    own = [documents[c] for c in columns]
-    always = repeated(documents.join(each, match(each)), "_copies").select(*own)
-    one = documents.join(rest, match(rest)).groupBy("_id", "_source", "_digest", "_left").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row"))
-    return always.unionAll(repeated(one, "_left").select("_row.*"))
+    each, rest = taken.filter(F.col(copies) > 0).drop(left), taken.filter(F.col(left) > 0).drop(copies)
+    always = repeated(documents.join(each, match(each)), copies).select(*own)
+    one = documents.join(rest, match(rest)).groupBy(own_id, own_source, digest, left).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row))
+    return always.unionAll(repeated(one, left).select(f"{row}.*"))

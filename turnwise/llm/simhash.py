@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize, same_row, text_digest
+from turnwise.llm.common import free_names, materialize, same_row, text_digest
 from turnwise.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -166,17 +166,18 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` that are the first of their group of near-duplicates, by doc_id (null last) and text; all columns stay.
 
     Unlike ``keep_first`` it decides rows by id and text, so rows whose id is null or shared are told apart. Rows that
-    repeat the id and text that stay all stay; of equal texts without an id one stays.
+    repeat the id and text that stay all stay; of equal texts without an id one stays. The columns may have any names.
     """
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_digest(F.col("text")).alias("digest"))
     prints = materialize(texts.mapInArrow(_keyed_fingerprints, "doc_id bigint, digest binary, fp bigint"), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
     components = connected_components(fingerprint_links(distinct.select("fp")))
     rooted = distinct.join(components, distinct.fp == components.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    first = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest")), "first")
-    known, unnamed = first.filter("_id IS NOT NULL"), first.filter("_id IS NULL")
+    first_id, first_digest, row = free_names(documents.columns, "first_id", "first_digest", "row")
+    first = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(first_id), F.col("least.digest").alias(first_digest)), "first")
+    known, unnamed = first.filter(F.col(first_id).isNotNull()), first.filter(F.col(first_id).isNull())
     own = [documents[c] for c in documents.columns]
-    named = documents.join(known, same_row(documents, known["_id"], known["_digest"]), "left_semi").select(*own)
-    equal = documents.filter(documents["doc_id"].isNull()).join(unnamed, same_row(documents, unnamed["_id"], unnamed["_digest"]))
-    one = equal.groupBy("_digest").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row"))
-    return named.unionAll(one.select("_row.*"))
+    named = documents.join(known, same_row(documents, known[first_id], known[first_digest]), "left_semi").select(*own)
+    equal = documents.filter(documents["doc_id"].isNull()).join(unnamed, same_row(documents, unnamed[first_id], unnamed[first_digest]))
+    one = equal.groupBy(first_digest).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row))
+    return named.unionAll(one.select(f"{row}.*"))
