@@ -68,25 +68,23 @@ class Best:
         live = np.flatnonzero(better.any(1))
         if not len(live):
             return
-        better, left, line = better[live], scores[live], np.arange(len(live))
-        # A row that does not count is below all that do: the least score is moved up by one, where ids still decide.
-        new_scores, new_ids = [self.scores[first + live]], [self.ids[first + live]]
-        for _ in range(min(k, scores.shape[1])):
-            ranked = np.where(better, left, -LONGEST - 1)
-            top = ranked.max(1)
-            best = (better & (left == top[:, None])).argmax(1)
-            found = better[line, best]
-            new_scores.append(np.where(found, left[line, best], -LONGEST - 1)[:, None])
-            new_ids.append(np.where(found, ids[best], LONGEST)[:, None])
-            better[line, best] = False
-            if not better.any():
-                break
-        scores_now, ids_now = np.concatenate(new_scores, 1), np.concatenate(new_ids, 1)
-        order = np.argsort(ids_now, axis=1, kind="stable")
-        scores_now, ids_now = np.take_along_axis(scores_now, order, 1), np.take_along_axis(ids_now, order, 1)
-        # Highest scores first without negating the least one; unused places stay behind used ones of that score.
-        order = np.argsort(~scores_now, axis=1, kind="stable")[:, :k]
-        self.scores[first + live], self.ids[first + live] = np.take_along_axis(scores_now, order, 1), np.take_along_axis(ids_now, order, 1)
+        better, left = better[live], scores[live]
+        if better.sum() > 4 * k * len(live) and left.shape[1] > k:
+            # Most of a first tile is better than nothing: only what reaches each query's k-th best goes on.
+            bar = np.partition(np.where(better, left, -LONGEST - 1), left.shape[1] - k, axis=1)[:, left.shape[1] - k]
+            better &= left >= bar[:, None]
+        who, column = np.nonzero(better)
+        kept = self.ids[first + live] != LONGEST
+        old, place = np.nonzero(kept)
+        who = np.concatenate([old, who])
+        all_scores = np.concatenate([self.scores[first + live[old], place], left[better]])
+        all_ids = np.concatenate([self.ids[first + live[old], place], ids[column]])
+        # Per query the highest scores first, without negating the least number, then the smallest ids.
+        order = np.lexsort((all_ids, ~all_scores, who))
+        who, all_scores, all_ids = who[order], all_scores[order], all_ids[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        top = rank < k
+        self.scores[first + live[who[top]], rank[top]], self.ids[first + live[who[top]], rank[top]] = all_scores[top], all_ids[top]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
