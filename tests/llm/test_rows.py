@@ -286,3 +286,22 @@ def test_hot_keys_join_without_being_gathered(spark, monkeypatch):
     for how in ("inner", "left"):
         want = facts.join(lookup.drop("n"), "key", how)
         assert Counter(map(tuple, common.join_split(facts, lookup, "key", "n", 3000, how).select("key", "v", "most").collect())) == Counter(map(tuple, want.select("key", "v", "most").collect()))
+
+
+def test_samples_of_repeated_rows_are_bounded(spark, monkeypatch):
+    """30,000 equal rows without an id are one row of a sample; rows that share a sampled id are one, too."""
+    rows = [(None, "ein und derselbe text", "de")] * 30_000 + [(k, f"text number {k} of many", "en") for k in range(400)]
+    seen = []
+    monkeypatch.setattr(langid, "materialize", lambda df, label: seen.append(langid_materialize(df, label)) or seen[-1])
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert seen[-1].filter("lang = 'de'").count() == 1 and seen[-1].count() <= 1.1 * langid.SAMPLE_PER_LANGUAGE + 2
+    assert model.languages == ("de", "en")
+
+    same = [(1, f"bad{k % 7} word number {k}", 1) for k in range(30_000)] + [(k, f"fine word {k}", 0) for k in range(2, 300)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, toxic int").repartition(4)
+    chosen = docs.select("doc_id", F.col("toxic").cast("double").alias("aim")).distinct()
+    aims, features, _ = toxicity._features_of(docs.select("doc_id", "text"), chosen)
+    assert len(aims) == len(features) <= 299
+
+
+langid_materialize = langid.materialize

@@ -1,7 +1,9 @@
 """Toxicity scores by weak supervision.
 
 1. From a bounded sample of labelled documents, words and word beginnings that are surely commoner in toxic ones become
-   voters, far commoner ones first; three more look at whether none, one or several of these fire.
+   voters, far commoner ones first; three more look at whether none, one or several of these fire. Pattern voters look at
+   how a text is written, whatever its words: masked spellings, drawn-out letters, shouting, rows of marks, and whether it
+   speaks to somebody.
 2. All documents are voted on. A generative model of the votes (for each voter, how often it fires in either class) is
    fitted by expectation-maximisation over the counts of all vote patterns, with the labelled sample as anchor; the
    correlations of voters within the classes discount voters that say the same thing.
@@ -13,6 +15,7 @@ Labels are only read for documents that may be learnt from.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,22 +69,85 @@ def features(text: str | None) -> np.ndarray:
     return np.unique((hashes >> np.uint64(64 - DIMENSIONS.bit_length() + 1)).astype(np.int32))
 
 
+#: Signs that stand for letters inside a word, and words that speak to somebody.
+SIGNS = "*@#$%!0123456789"
+ADDRESS = "you your yourself du dich dir dein deine ihr euch tu toi vous ton ta vos votre tú te tus usted ustedes vosotros".split()
+#: Pattern voters, in the order of their numbers.
+PATTERNS = ("masked", "drawn_out", "shouting", "marks", "address")
+_address = np.zeros(0, np.int32)
+#: Bytes to what they are inside a word: L for letters (and bytes of longer characters), S for signs; and C for capitals.
+_in_word = bytes(ord("L") if c >= 128 or chr(c).isalpha() else ord("S") if chr(c) in SIGNS else ord(" ") for c in range(256))
+_capitals = bytes(ord("C") if c < 128 and chr(c).isupper() else ord(" ") for c in range(256))
+_shouts = re.compile(b"C{4,}").findall
+
+
+def patterns_of(text: str | None, ids: np.ndarray) -> list[int]:
+    """Numbers of the patterns that a text shows; ``ids`` are its features.
+
+    masked: one or two signs or digits within a word; drawn_out: a plain letter three times in a row; shouting: two or more
+    runs of four plain capitals; marks: two exclamation or question marks in a row; address: a word that speaks to somebody.
+    """
+    global _address
+    if not len(_address):
+        _address = np.unique(np.array([word_feature(w) for w in ADDRESS], np.int32))
+    data = (text or "").encode("utf-8", "surrogatepass")
+    kinds, capitals = data.translate(_in_word), data.translate(_capitals)
+    found = []
+    # One byte is found much faster than several, and most texts have no such sign or mark at all.
+    if b"S" in kinds and (b"LSL" in kinds or b"LSSL" in kinds):
+        found.append(0)
+    plain = np.frombuffer(data, np.uint8)
+    same = plain[1:] == plain[:-1]
+    thrice = np.flatnonzero(same[1:] & same[:-1])
+    if len(thrice) and any(c < 128 and chr(c).isalpha() for c in np.unique(plain[thrice]).tolist()):
+        found.append(1)
+    if capitals.count(b"CCCC") >= 2 and len(_shouts(capitals)) >= 2:
+        found.append(2)
+    if (b"!" in data or b"?" in data) and any(pair in data for pair in (b"!!", b"??", b"!?", b"?!")):
+        found.append(3)
+    place = np.searchsorted(ids, _address)
+    if len(ids) and (ids[np.minimum(place, len(ids) - 1)] == _address).any():
+        found.append(4)
+    return found
+
+
+def word_feature(word: str) -> int:
+    """The feature of a whole word, as ``features`` has it."""
+    points = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64)
+    total = (points * power_tables(len(points))[0][: len(points)]).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total * np.uint64(8) + np.uint64(1))[0] >> np.uint64(64 - DIMENSIONS.bit_length() + 1))
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [features(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["aim", "ids"])
+        texts = batch.column(2).to_pylist()
+        ids = [features(t) for t in texts]
+        sketches = [np.array(_sketch(own), "<u4").tobytes() for own in ids]
+        shown = [patterns_of(t, own) for t, own in zip(texts, ids)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sketches, pa.binary()), pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.list_(pa.int32()))], names=["doc_id", "aim", "sketch", "ids", "shown"]
+        )
 
 
-def _features_of(documents: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(aim, features) of the chosen (doc_id, aim) rows, a bounded number of them, in a stable order."""
+def _features_of(documents: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(aim, features, patterns) of the chosen (doc_id, aim) rows, a bounded number of them, in a stable order.
+
+    Of texts that share a doc_id one counts, so no more rows come than were chosen; and near copies would make any of their
+    words look typical: of those with one sketch and side, the first by a hash counts. Both are thinned before they leave
+    the tasks.
+    """
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("aim", "text").mapInArrow(_sampled, "aim double, ids array<int>")
-    rows = materialize(rows, "toxic-sample").orderBy(F.xxhash64("ids"), "aim").toArrow()
-    aims, ids = np.asarray(rows["aim"], dtype=np.float64), [np.asarray(i.values) for i in rows["ids"]]
-    # Near copies would make any of their words look typical: of those with one sketch and side, the first counts.
-    first = {(bool(aim > 0.5), *_sketch(own)): k for k, (aim, own) in reversed(list(enumerate(zip(aims, ids))))}
-    at = sorted(first.values())
-    return aims[at], [ids[k] for k in at]
+    rows = texts.select("doc_id", "aim", "text").mapInArrow(_sampled, "doc_id bigint, aim double, sketch binary, ids array<int>, shown array<int>")
+    place = F.struct(F.xxhash64("ids").alias("place"), F.col("aim").alias("side"))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("aim", "sketch", "ids", "shown"), place).alias("r")).select("doc_id", F.xxhash64("r.ids").alias("place"), "r.*")
+    one = materialize(one, "toxic-sample")
+    # Which one of a sketch counts is told by narrow rows; the features of the others stay where they are.
+    first = one.groupBy((F.col("aim") > 0.5).alias("toxic"), "sketch").agg(F.min(F.struct("place", "aim", "doc_id")).alias("first")).select("first.doc_id")
+    got = one.join(first, "doc_id").select("place", "aim", "ids", "shown").toArrow()
+    places, aims = np.asarray(got["place"]), np.asarray(got["aim"], dtype=np.float64)
+    ids, shown = ([np.asarray(i.values) for i in got[c]] for c in ("ids", "shown"))
+    order = np.lexsort((aims, places))
+    return aims[order], [ids[k] for k in order], [shown[k] for k in order]
 
 
 def _sketch(ids: np.ndarray) -> list[int]:
@@ -148,14 +214,15 @@ def choose_voters(toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return np.array(voters, np.int64)
 
 
-def votes_of(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def votes_of(ids: np.ndarray, slots: np.ndarray, shown: list[int] | np.ndarray) -> np.ndarray:
     """Numbers of the voters that fire; ``slots`` maps a feature to its voter or -1.
 
-    The last three voters look at the pattern of the others: none, one or several of them fire.
+    Behind them, three voters look at whether none, one or several of them fire, and one stands for each pattern shown.
     """
     fired = slots[ids]
     fired = np.sort(fired[fired >= 0])
-    return np.append(fired, slots.max() + 1 + min(len(fired), 2))
+    words = slots.max() + 1
+    return np.concatenate([fired, [words + min(len(fired), 2)], words + 3 + np.asarray(shown, np.int64)]).astype(np.int64)
 
 
 @dataclass
@@ -276,30 +343,31 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     So it does if no word at all is likelier in toxic documents than in clean ones.
     """
     sample, share = labelled_sample(labels)
-    aims, rows = _features_of(documents, sample)
+    aims, rows, shown = _features_of(documents, sample)
     toxic = aims > 0.5
     chosen = choose_voters(toxic, rows)
     if not len(chosen):
         return Scorer(-30.0, np.zeros(DIMENSIONS, np.float32))
     slots = np.full(DIMENSIONS, -1, np.int64)
     slots[chosen] = np.arange(len(chosen))
-    voters = len(chosen) + 3
+    voters = len(chosen) + 3 + len(PATTERNS)
     held = documents.sparkSession.sparkContext.broadcast(slots)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [votes_of(features(t.as_py()), held.value) for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            votes = [votes_of(ids, held.value, patterns_of(t, ids)) for t, ids in zip(texts, map(features, texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.list_(pa.int32()))], names=["doc_id", "votes"])
 
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     voted = materialize(texts.mapInArrow(vote, "doc_id bigint, votes array<int>"), "votes")
     patterns = materialize(voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")), "patterns")
-    fitted = fit_label_model(patterns, toxic, [votes_of(r, slots) for r in rows], voters, min(max(share, 1e-4), 0.5))
+    fitted = fit_label_model(patterns, toxic, [votes_of(r, slots, p) for r, p in zip(rows, shown)], voters, min(max(share, 1e-4), 0.5))
 
     bias, weight = fitted.weights()
     log_odds = F.lit(bias) + F.aggregate(F.transform("votes", lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in weight]), v + 1)), F.lit(0.0), lambda a, b: a + b)
     posteriors = voted.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(1 / (1 + F.exp(-log_odds))).alias("aim")).withColumn("place", unit_hash(F.col("doc_id"), F.lit("posterior")))
-    soft, texts_ids = _features_of(documents, _cut(posteriors, F.lit(0.5))[0])
+    soft, texts_ids, _ = _features_of(documents, _cut(posteriors, F.lit(0.5))[0])
     bias, weights = train_linear(texts_ids, soft)
     return Scorer(bias, weights.astype(np.float32))
 
