@@ -184,3 +184,12 @@ def test_tool_result_pairs_with_latest_call(spark):
         spark.createDataFrame([("src", "s", "c", kind, pos, f"a{pos}") for kind, pos in rows], "source_id string, session_ref string, call_id string, content_kind string, pos long, atom_id string"), ATOM
     )
     assert {(r.from_atom_id, r.to_atom_id) for r in atom_ops.edges_tool_result(atoms).collect()} == {("a1", "a0"), ("a3", "a2")}
+
+
+def test_equal_rows_are_numbered_over_ranges(spark):
+    from turnwise.functions.ordered import ranged, with_position
+
+    rows = spark.createDataFrame([("k", 5)] * 3000 + [("k", None)] * 10, "key string, t long").repartition(4)
+    assert ranged(rows, ["key"], ["t"]).groupBy("_range").count().agg(F.max("count")).first()[0] < 1500
+    placed = with_position(rows, ["key"], ["t"], "pos").collect()
+    assert sorted(r.pos for r in placed) == list(range(3010)) and all(r.pos < 10 for r in placed if r.t is None)

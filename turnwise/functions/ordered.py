@@ -122,10 +122,12 @@ def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows cut into ranges of key and order, written once with the number of their range in ``_range``.
 
     The bounds come from a sample of the rows, so that a range holds about its share of them whatever their keys and
-    times are; only rows equal in all of key and order must share one. Nulls come first, as in the windows.
+    times are. Rows equal in all of key and order come in no certain order, so their place in the input may cut between
+    them. Nulls come first, as in the windows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(parts, *keys, *order).select("*", F.spark_partition_id().alias("_range")), "ranges")
+    placed = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *order, "_place")
+    return materialize(placed.drop("_place").select("*", F.spark_partition_id().alias("_range")), "ranges")
 
 
 def with_running_ranged(df: DataFrame, keys: list[str], order: list[str], **specs: Running) -> DataFrame:

@@ -92,10 +92,6 @@ def basename(path: Column) -> Column:
     return F.try_element_at(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(-1))
 
 
-def path_basename(value: Column) -> Column:
-    return basename(path_identity(value))
-
-
 def scope_match(candidate: Column, scope: str | Column, fold_case: bool = False) -> Column:
     """True where the candidate directory is the scope or lies below it (by whole segments)."""
     root_of = path_identity(F.lit(scope) if isinstance(scope, str) else scope)

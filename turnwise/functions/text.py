@@ -42,11 +42,6 @@ def bound_text(text: Column, limit: int = SEARCH_SCAN_BYTES) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(whole, F.lit(TRUNCATION_MARKER)))
 
 
-def strip_truncation_marker(text: Column) -> Column:
-    size = len(TRUNCATION_MARKER)
-    return F.when(text.endswith(TRUNCATION_MARKER), text.substr(F.lit(1), F.length(text) - size)).otherwise(text)
-
-
 def session_title(text: Column) -> Column:
     """Prompt text without command envelopes, blanks collapsed, at most 72 characters."""
     plain = F.regexp_replace(text, r"(?is)<local-command-caveat>.*?</local-command-caveat>", " ")

@@ -214,8 +214,3 @@ def merge_related(rows: DataFrame) -> DataFrame:
     latest = members.groupBy("id", "member").agg(F.max_by("value", "at").alias("value"))
     detail = latest.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("member", "value")))).alias("raw_detail"))
     return merged.join(detail, "id", "left")
-
-
-def related_fragments(rows: DataFrame) -> DataFrame:
-    """Distinct fragments behind each related-work row, flat."""
-    return rows.select("id", "fragment_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions import masks, timekeys
+from turnwise.functions import jsonv, masks, timekeys
 from turnwise.functions.text import session_title
 from turnwise.operators.atoms import SESSION
 from turnwise.operators.turns import is_activity
@@ -149,6 +149,22 @@ def resume_command(platform: Column, native_id: Column, directory: Column, deleg
     return F.when(~F.coalesce(delegated, F.lit(False)), command)
 
 
+# The members of a file's first record that name its session, and the part of its path that does.
+NATIVE_MEMBERS = {"amp": ("id",), "gemini": ("sessionId", "id"), "codex": ("payload.id",), "claude_code": ("sessionId",)}
+NATIVE_PATHS = {"kimi": r"/(session_[^/]+)/agents/main/wire\.jsonl$", "grok": r"([^/]+)/chat_history\.jsonl$"}
+
+
+def native_id(platform: Column, file_path: Column, first_record: Column) -> Column:
+    """The session's own id, as the platform writes it into the first record (a VARIANT) or the path of a file."""
+    path = F.translate(file_path, "\\", "/")
+    found = F.lit(None).cast("string")
+    for name, members in NATIVE_MEMBERS.items():
+        found = F.when(platform == name, F.nullif(jsonv.string(first_record, *members), F.lit(""))).otherwise(found)
+    for name, pattern in NATIVE_PATHS.items():
+        found = F.when(platform == name, F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))).otherwise(found)
+    return found
+
+
 def session_key(platform: Column, native_id: Column, file_path: Column) -> Column:
     """``sess:<platform>:<native id>``, with the file's stem where no native id is known."""
     stem = F.regexp_replace(F.element_at(F.split(file_path, "/"), -1), r"(?<=.)\.[^.]*$", "")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import masks, paths, text, tokens
 from turnwise.functions.ids import stable_id
 from turnwise.functions.ordered import last_value, position_chunk, running_min, running_sum, with_running
-from turnwise.operators.atoms import SESSION, edges_spawned_from, edges_tool_result
+from turnwise.operators.atoms import SESSION
 
 TURN = [*SESSION, "group_index"]
 PREVIEW = 140
@@ -228,30 +228,39 @@ def visible_calls(tagged: DataFrame) -> DataFrame:
     return tagged.where(in_context() & (F.col("content_kind") == "tool_call") & (F.col("display_policy") != "hide"))
 
 
-def tool_calls(tagged: DataFrame, templates=masks.BUILTIN_TEMPLATES) -> DataFrame:
-    """Visible tool calls of each context with the reply they belong to and their first result inside the context."""
-    rows = tagged.where(in_context())
-    calls = visible_calls(tagged).select(*TURN, "pos", "atom_id", "time_key", "tool_name", "tool_input")
-    calls = with_running(calls, TURN, ["pos"], [position_chunk("pos")], sequence=running_sum(F.lit(1), inclusive=False))
-
-    spawned = edges_spawned_from(tagged).select("from_atom_id", "to_atom_id")
-    replies = rows.where(is_visible_reply()).select(*TURN, "pos", "atom_id")
-    last_reply = replies.groupBy(*TURN).agg(F.max_by("atom_id", "pos").alias("last_reply_atom"))
-    spawner = replies.select(F.col("atom_id").alias("to_atom_id"), F.col("group_index").alias("spawn_group"))
-    with_reply = (
-        calls.join(spawned, F.col("atom_id") == F.col("from_atom_id"), "left")
-        .join(spawner, "to_atom_id", "left")
-        .join(last_reply, TURN, "left")
-    )
-    chosen = F.coalesce(F.when(F.col("spawn_group") == F.col("group_index"), F.col("to_atom_id")), F.col("last_reply_atom"))
+def _called_from(tagged: DataFrame) -> DataFrame:
+    """Visible tool calls of each context with ``_text``, the latest assistant text before them, hidden ones included."""
+    said = (F.col("actor_kind") == "assistant") & (F.col("content_kind") == "text")
+    narrow = ["pos", "atom_id", "time_key", "tool_name", "tool_input"]
+    rows = tagged.where(said | (F.col("content_kind") == "tool_call")).select(
+        *TURN, *narrow, said.alias("_said"), (is_visible_reply() & in_context()).alias("_replies"),
+        (in_context() & (F.col("content_kind") == "tool_call") & (F.col("display_policy") != "hide")).alias("_shown"),
+    )
+    text_before = last_value(F.when(F.col("_said"), F.struct("atom_id", "group_index", "_replies")), inclusive=False)
+    seen = with_running(rows, SESSION, ["pos"], [position_chunk("pos")], _text=text_before)
+    return seen.where("_shown").select(*TURN, *narrow, "_text")
+
 
-    first_result = edges_tool_result(tagged).groupBy("to_atom_id").agg(F.min_by("from_atom_id", "from_pos").alias("result_atom"))
-    results = rows.where(F.col("content_kind") == "tool_result").select(
-        F.col("atom_id").alias("result_atom"), F.col("group_index").alias("result_group"), F.coalesce("tool_output", F.lit("")).alias("result_output")
+def _first_results(tagged: DataFrame) -> DataFrame:
+    """(call_atom, r): the first result of each call, with the group whose context it is in."""
+    tools = tagged.where(F.col("content_kind").isin("tool_call", "tool_result") & (F.col("call_id") != "")).select(
+        *TURN, "call_id", "pos", "atom_id", "content_kind", "tool_output", in_context().alias("_inside")
     )
-    answered = first_result.join(results, "result_atom").withColumnRenamed("to_atom_id", "call_atom")
-    joined = with_reply.withColumn("chosen", chosen).join(
-        answered, (F.col("atom_id") == F.col("call_atom")) & (F.col("group_index") == F.col("result_group")), "left"
+    call = F.when(F.col("content_kind") == "tool_call", F.col("atom_id"))
+    seen = with_running(tools, [*SESSION, "call_id"], ["pos"], [position_chunk("pos")], call_atom=last_value(call, inclusive=False))
+    results = seen.where((F.col("content_kind") == "tool_result") & F.col("call_atom").isNotNull())
+    first = F.min_by(F.struct(F.when(F.col("_inside"), F.col("group_index")).alias("group"), F.coalesce("tool_output", F.lit("")).alias("output")), "pos")
+    return results.groupBy("call_atom").agg(first.alias("r"))
+
+
+def tool_calls(tagged: DataFrame, templates=masks.BUILTIN_TEMPLATES) -> DataFrame:
+    """Visible tool calls of each context with the reply they belong to and their first result inside the context."""
+    calls = with_running(_called_from(tagged), TURN, ["pos"], [position_chunk("pos")], sequence=running_sum(F.lit(1), inclusive=False))
+    last_reply = tagged.where(in_context() & is_visible_reply()).groupBy(*TURN).agg(F.max_by("atom_id", "pos").alias("last_reply_atom"))
+    own_reply = F.when(F.col("_text._replies") & (F.col("_text.group_index") == F.col("group_index")), F.col("_text.atom_id"))
+    answered = calls.join(last_reply, TURN, "left").join(_first_results(tagged), F.col("atom_id") == F.col("call_atom"), "left")
+    joined = answered.withColumns(
+        {"chosen": F.coalesce(own_reply, F.col("last_reply_atom")), "result_output": F.when(F.col("r.group") == F.col("group_index"), F.col("r.output"))}
     )
     given = F.coalesce("tool_input", F.lit("{}"))
     return joined.select(

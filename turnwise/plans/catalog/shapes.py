@@ -269,3 +269,32 @@ def recorded_steps(spark, sf_dir):
     raw = made.select(F.lit("conv").alias("source_id"), F.lit("antigravity").alias("source_platform"), F.concat(F.lit("b:"), conv).alias("blob_id"), F.lit("/logs/a.jsonl").alias("origin_path"), "session_ref",
         F.concat_ws(":", conv, "position").alias("record_id"), F.col("position").alias("ordinal"), F.coalesce("observed_at", F.lit("2024-01-01T00:00:00.000Z")).alias("observed_at"), "raw_json")
     return told(fragments_of(complete(raw, RECORD), "generic")[0])
+
+
+@query(
+    "content_flattening",
+    """WITH c AS (SELECT conv_id AS conv, turn, (conv_id + turn) % 6 AS shape, 'a' || turn AS a, 'b' || conv_id AS b FROM conversations)
+    SELECT conv, turn,
+      CASE shape WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN a || chr(10) || b WHEN 3 THEN '{"deep":{"x":"' || a || '"}}' WHEN 4 THEN '' ELSE '{"n":' || turn || '}' END AS output,
+      CASE shape WHEN 0 THEN '{"raw":"' || a || '"}' WHEN 1 THEN '{"items":["' || a || '",{"text":"' || b || '"}]}' WHEN 2 THEN '{"items":[{"text":"' || a || '"},{"content":"' || b || '"}]}'
+        WHEN 3 THEN '{"deep":{"x":"' || a || '"}}' WHEN 4 THEN '{}' ELSE '{"n":' || turn || '}' END AS input,
+      CASE shape WHEN 2 THEN a || chr(10) || b WHEN 0 THEN a END AS said
+    FROM c""",
+)
+def content_flattening(spark, sf_dir):
+    """What a tool was given and what it returned, as text, list (of which only objects are said), object, JSON in a text, or
+    nothing; and the text of a content entry."""
+    from turnwise.sources.formats import core
+
+    rows = bridge.table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    shape, a, b = (conv + turn) % 6, F.concat(F.lit("a"), turn), F.concat(F.lit("b"), conv)
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    given = (
+        F.when(shape == 0, q(a)).when(shape == 1, F.concat(F.lit("["), q(a), F.lit(',{"text":'), q(b), F.lit("}]")))
+        .when(shape == 2, F.concat(F.lit('[{"text":'), q(a), F.lit('},{"content":'), q(b), F.lit("}]")))
+        .when(shape == 3, F.concat(F.lit('{"deep":{"x":'), q(a), F.lit("}}"))).when(shape == 4, "null").otherwise(F.concat(F.lit('"{\\"n\\":'), turn, F.lit('}"')))
+    )
+    entry = F.when(shape == 0, F.concat(F.lit('{"text":'), q(a), F.lit("}"))).when(shape == 2, F.concat(F.lit('{"content":'), given, F.lit("}"))).otherwise('{"other":1}')
+    read = rows.select(conv.alias("conv"), turn.alias("turn"), F.parse_json(given).alias("v"), F.parse_json(entry).alias("e"))
+    return read.select("conv", "turn", core.tool_output(F.col("v")).alias("output"), core.tool_input(F.col("v")).alias("input"), core.content_text(F.col("e")).alias("said"))

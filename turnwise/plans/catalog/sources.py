@@ -118,6 +118,36 @@ def session_keys(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", key.alias("session_ref"), session_ops.native_session_id(asked, key).alias("native_id"))
 
 
+@query(
+    "file_session_keys",
+    """WITH p AS (SELECT conv_id, turn, ['amp', 'gemini', 'codex', 'claude_code', 'kimi', 'grok', 'openclaw'][conv_id % 7 + 1] AS platform FROM conversations)
+    SELECT 'r:' || conv_id || ':' || turn AS record_id, 'sess:' || platform || ':' || CASE WHEN conv_id % 5 = 4 AND platform NOT IN ('kimi', 'grok') THEN 'log.' || conv_id WHEN platform = 'kimi' AND conv_id % 5 = 4 THEN 'wire' WHEN platform = 'kimi' THEN 'session_' || conv_id
+      WHEN platform = 'openclaw' THEN 'log.' || conv_id ELSE 'id-' || conv_id END AS session_ref FROM p""",
+)
+def file_session_keys(spark, sf_dir):
+    """Files of seven platforms, which name their session in the first record, in the path, or not at all."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    platforms = ("amp", "gemini", "codex", "claude_code", "kimi", "grok", "openclaw")
+    platform = F.element_at(F.array(*[F.lit(p) for p in platforms]), (conv % 7 + 1).cast("int"))
+    named = (turn == 0) & (conv % 5 != 4)
+    key = F.when(named, F.concat(F.lit("id-"), conv))
+    member = lambda name: F.when(platform == name, key)
+    body = F.to_json(F.struct(
+        turn.alias("turn"), F.when(platform.isin("amp", "gemini"), key).alias("id"), F.when(platform == "codex", F.struct(key.alias("id"))).alias("payload"), F.coalesce(member("claude_code"), F.when(platform == "claude_code", F.lit(None))).alias("sessionId"),
+    ))
+    path = (
+        F.when((platform == "kimi") & (conv % 5 != 4), F.concat(F.lit("/k/session_"), conv, F.lit("/agents/main/wire.jsonl")))
+        .when(platform == "kimi", F.concat(F.lit("/k/other-"), conv, F.lit("/agents/side/wire.jsonl")))
+        .when(platform == "grok", F.concat(F.lit("\\g\\sessions\\w\\id-"), conv, F.lit("\\chat_history.jsonl")))
+        .otherwise(F.concat(F.lit("/l/log."), conv, F.lit(".jsonl")))
+    )
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.lit("conv").alias("source_id"), platform.alias("source_platform"), F.concat(F.lit("b:"), conv).alias("blob_id"), path.alias("origin_path"), F.concat_ws(":", F.lit("r"), conv, turn).alias("record_id"),
+        turn.alias("ordinal"), body.alias("raw_json"),
+    )
+    return files.with_session_keys(complete(rows, RECORD)).select("record_id", "session_ref")
+
+
 @query(
     "resume_commands",
     f"""WITH {SESSIONS}, t AS (SELECT session_ref, user_id, CASE user_id % 5 WHEN 0 THEN 'codex resume ' WHEN 1 THEN 'claude --resume ' WHEN 2 THEN 'grok -r ' WHEN 3 THEN 'cursor-agent --resume ' END AS tool, working_directory FROM sess)

@@ -42,18 +42,14 @@ def _records(numbered: DataFrame, source_id: str, platform: str) -> DataFrame:
     return complete(shaped.withColumn("record_id", stable_id("record", F.col("blob_id"), F.col("ordinal"))), RECORD)
 
 
-def with_session_keys(records: DataFrame, native_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``session_ref``: the native id in the first record of the file, else in its path, else the file's stem."""
-    from turnwise.operators.sessions import session_key
-
-    first = records.groupBy("blob_id").agg(F.min_by("raw_json", "ordinal").alias("_first"))
-    native = F.lit(None).cast("string")
-    if native_path:
-        native = jsonv.string(F.try_parse_json("_first"), native_path)
-    if pattern:
-        native = F.coalesce(native, F.nullif(F.regexp_extract("origin_path", pattern, 1), F.lit("")))
-    keyed = records.drop("session_ref").join(first, "blob_id").withColumn("session_ref", session_key(F.col("source_platform"), native, F.col("origin_path")))
-    return complete(keyed, RECORD)
+def with_session_keys(records: DataFrame) -> DataFrame:
+    """Add ``session_ref``: by the id that the platform writes into a file's first record or its path, else by its stem."""
+    from turnwise.operators.sessions import native_id, session_key
+
+    first = records.groupBy("blob_id", "source_platform", "origin_path").agg(F.min_by("raw_json", "ordinal").alias("_first"))
+    platform, path = F.col("source_platform"), F.col("origin_path")
+    keys = first.select("blob_id", session_key(platform, native_id(platform, path, F.try_parse_json("_first")), path).alias("session_ref"))
+    return complete(records.drop("session_ref").join(keys, "blob_id"), RECORD)
 
 
 def attach_sidecars(records: DataFrame, sidecars: DataFrame, key: Column, pointer: str) -> DataFrame:
