@@ -305,3 +305,15 @@ def test_samples_of_repeated_rows_are_bounded(spark, monkeypatch):
 
 
 langid_materialize = langid.materialize
+
+
+def test_equal_rows_spread_over_ranges(spark, monkeypatch):
+    from turnwise.llm import common
+
+    seen = []
+    write = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: seen.append(write(df, label)) or seen[-1])
+    rows = spark.createDataFrame([("g", 1)] * 4000, "g string, o long").repartition(4)
+    got = common.prefix_sums(rows, ["g"], [F.col("o")], "equal", n=F.lit(1))
+    assert sorted(r.n for r in got.collect()) == list(range(4000))
+    assert seen[0].groupBy("_range").count().agg(F.max("count")).first()[0] < 1500

@@ -171,12 +171,13 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], label: str,
     """
     spark = df.sparkSession
     names = list(values)
-    marked = df.select("*", *[F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items()], *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    marked = df.select("*", *[F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items()], *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.monotonically_increasing_id().alias("_place"))
     sort = [F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))]
-    by = [*[F.col(k).asc_nulls_last() for k in keys], *sort]
+    # Rows equal in all of it may be a third of all, so their place in the input cuts between them.
+    by = [*[F.col(k).asc_nulls_last() for k in keys], *sort, F.col("_place")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
-        marked.repartitionByRange(parts, *by).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_row")), label
+        marked.repartitionByRange(parts, *by).drop("_place").select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_row")), label
     )
     inside = Window.partitionBy("_range", *keys).orderBy(*sort, "_row").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_l_{n}") for n in names])

@@ -152,20 +152,10 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
-    """Rows of ``documents`` that are the smallest doc_id of their group of near-duplicates; all columns stay.
-
-    Repeated rows of the id that stays all stay. Rows without doc_id cannot be told apart: all of them stay if some group
-    has no id at all, else all go.
-    """
-    found = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(found, documents["doc_id"].cast("long").eqNullSafe(found["kept_id"]), "left_semi")
-
-
 def keep_one(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` that are the first of their group of near-duplicates, by doc_id (null last) and text; all columns stay.
 
-    Unlike ``keep_first`` it decides rows by id and text, so rows whose id is null or shared are told apart. Rows that
+    Rows are decided by id and text, so rows whose id is null or shared are told apart. Rows that
     repeat the id and text that stay all stay; of equal texts without an id one stays. The columns may have any names.
     """
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_digest(F.col("text")).alias("digest"))
