@@ -112,6 +112,8 @@ def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Distinct ``fp`` to links (a, b) that join exactly the fingerprints reachable over steps of at most RADIUS bits."""
     masks = F.array(*[F.lit(_as_long(m)) for m in covering_masks()])
+    # Each fingerprint becomes a row per mask, so the few bytes of them are dealt to all tasks first.
+    distinct = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     sized = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(keyed.join(sized, ["t", "key"]), "buckets")
