@@ -116,14 +116,16 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     distinct = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     sized = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(keyed.join(sized, ["t", "key"]), "buckets")
+    # Spark takes a row per mask or midpoint for as many bytes as the fingerprint had, so it would send millions of rows
+    # through the driver as a small table; these joins are shuffled whatever it expects.
+    shared = materialize(keyed.join(sized.hint("merge"), ["t", "key"]), "buckets")
     small = shared.filter(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("members")).select("members")
     links = small.mapInArrow(_linked, "a bigint, b bigint")
 
     crowded = shared.filter(F.col("n") > bucket).select("fp").distinct()
     points = crowded.mapInArrow(_midpoints, "point bigint, fp bigint")
     met = points.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("point", "low")
-    stars = points.join(met, "point").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    stars = points.join(met.hint("merge"), "point").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     return links.unionByName(stars).distinct()
 
 
