@@ -342,24 +342,29 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(pieces: DataFrame, folder: str) -> None:
-    """Write the pieces (name, place, piece) of every name, in order, as one file of a folder."""
+    """Write the pieces (name, place, piece) of every name, in order, as one file of a folder or of a folder below it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         fs.create_dir(root, recursive=True)
-        now, out = None, None
+        now, out, made = None, None, {""}
         for batch in batches:
             for name, piece in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if name != now:
                     if out is not None:
                         out.close()
+                    if (parent := name.rpartition("/")[0]) not in made:
+                        fs.create_dir(f"{root}/{parent}", recursive=True)
+                        made.add(parent)
                     now, out = name, fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(piece.encode())
             yield batch.select([0])
         if out is not None:
             out.close()
 
-    sorted_pieces = pieces.select("name", "place", "piece").repartition("name").sortWithinPartitions("name", "place")
+    # Opening and closing files takes longer than their bytes, by which partitions would be merged.
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_pieces = pieces.select("name", "place", "piece").repartition(parts, "name").sortWithinPartitions("name", "place")
     sorted_pieces.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
