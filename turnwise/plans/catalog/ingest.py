@@ -172,9 +172,8 @@ def stream_sessions(spark, sf_dir):
         turns.filter("number % 10 = 7").select(*columns, F.lit(3).alias("version"), F.lit(None).cast("string").alias("last_activity_at"), F.lit(True).alias("deleted")),
     ]
     for delivery in deliveries:
-        delivery.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(deliveries[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest.upsert_sessions(stream, target, state)
+        delivery.write.mode("append").parquet(source)
+        ingest.upsert_sessions(spark.readStream.schema(delivery.schema).parquet(source), target, state)
     return ingest.merged_sessions(spark, target)
 
 
@@ -209,7 +208,7 @@ def stream_usage_deltas(spark, sf_dir):
     source, target, state = work_dir(spark, "checkpoints"), work_dir(spark, "deltas"), work_dir(spark, "state")
     known = ingest.batch_peaks(rows.filter(F.col("pos") < count // 2))
     for part in (F.col("pos").between(count // 2, count * 3 // 4 - 1), F.col("pos") >= count * 3 // 4):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         deltas = ingest.stream_usage_deltas(stream, known).writeStream.format("parquet").option("path", target).option("checkpointLocation", state)
         deltas.outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,44 +79,65 @@ DELTAS = {name: f"delta_{name.removesuffix('_tokens')}" for name in FIELDS}
 DELTA_SCHEMA = "session_ref string, counter string, pos long, " + ", ".join(f"{delta} long" for delta in DELTAS.values())
 
 
+#: Groups that the counters of a stream are dealt to; a group is gone through at once, its counters being a few of all.
+COUNTER_GROUPS = 256
+
+
 class RunningPeaks(StatefulProcessor):
     """Per (session, counter) the largest values so far; emits what each checkpoint adds to them.
 
     ``counter`` is the baseline key: checkpoints of one running counter share it, and a new one starts from zero. A
-    counter that a checkpoint leaves out adds nothing and keeps its peak.
+    counter that a checkpoint leaves out adds nothing and keeps its peak. Many counters are one group of the stream, since
+    calling Python for each would take longer than its rows; only the peaks of counters that have rows are read.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.peaks = handle.getValueState("peaks", ", ".join(f"{name} long" for name in FIELDS))
+        self.peaks = handle.getMapState("peaks", "session_ref string, counter string", ", ".join(f"{name} long" for name in FIELDS))
 
     def handleInitialState(self, key, known: pd.DataFrame, timer_values) -> None:
-        """The peaks that a batch run left for the key."""
-        self.peaks.update(tuple(int(known[name].fillna(0).max()) for name in FIELDS))
+        """The peaks that a batch run left for the counters of the group."""
+        for session_ref, counter, *top in known[["session_ref", "counter", *FIELDS]].itertuples(index=False):
+            self.peaks.updateValue(_counter(session_ref, counter), tuple(int(v) for v in top))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        top = [int(v) for v in self.peaks.get()] if self.peaks.exists() else [0] * len(FIELDS)
-        # What arrived for one counter in one trigger; the source's files per trigger bound it.
-        batch = pd.concat(list(rows)).sort_values("pos")
-        out = {"session_ref": key[0], "counter": key[1], "pos": batch["pos"].astype("int64")}
-        for i, name in enumerate(FIELDS):
-            seen = batch[name].fillna(0).astype("int64").cummax().clip(lower=top[i])
-            out[DELTAS[name]] = seen - seen.shift(fill_value=top[i])
-            top[i] = int(seen.iloc[-1])
-        self.peaks.update(tuple(top))
+        # What arrived for the group in one trigger; the source's files per trigger bound it.
+        batch = pd.concat(list(rows)).sort_values("pos", ignore_index=True)
+        group = batch.groupby(["session_ref", "counter"], dropna=False, sort=False).ngroup()
+        first = ~group.duplicated()
+        named = batch.loc[first, ["session_ref", "counter"]].itertuples(index=False)
+        counters = {number: _counter(*name) for number, name in zip(group[first], named)}
+        known = [self.peaks.getValue(counters[number]) if self.peaks.containsKey(counters[number]) else [0] * len(FIELDS) for number in range(len(counters))]
+        top = {name: np.array([int(peaks[i]) for peaks in known], np.int64) for i, name in enumerate(FIELDS)}
+        out = {"session_ref": batch["session_ref"], "counter": batch["counter"], "pos": batch["pos"].astype("int64")}
+        for name in FIELDS:
+            before = top[name][group]
+            seen = batch[name].groupby(group).cummax().clip(lower=before)
+            out[DELTAS[name]] = seen - seen.groupby(group).shift(fill_value=0).where(~first, before)
+            top[name] = seen.groupby(group).max().to_numpy()
+        for number, name in counters.items():
+            self.peaks.updateValue(name, tuple(int(top[field][number]) for field in FIELDS))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
+def _counter(session_ref, counter) -> tuple[str | None, str | None]:
+    return tuple(None if pd.isna(v) else v for v in (session_ref, counter))
+
+
 def _checkpoints(checkpoints: DataFrame) -> DataFrame:
-    given = [F.col(name).cast("long") if name in checkpoints.columns else F.lit(None).cast("long").alias(name) for name in FIELDS]
+    given = [F.coalesce(F.col(name).cast("long") if name in checkpoints.columns else F.lit(None), F.lit(0).cast("long")).alias(name) for name in FIELDS]
     return checkpoints.select("session_ref", "counter", "pos", *given)
 
 
+def _grouped(checkpoints: DataFrame):
+    return checkpoints.withColumn("group", F.pmod(F.xxhash64("session_ref", "counter"), F.lit(COUNTER_GROUPS))).groupBy("group")
+
+
 def batch_peaks(checkpoints: DataFrame) -> DataFrame:
     """(session_ref, counter, peaks) that a batch of checkpoints leaves: the state from which a stream goes on."""
-    return _checkpoints(checkpoints).groupBy("session_ref", "counter").agg(*[F.max(F.coalesce(name, F.lit(0))).alias(name) for name in FIELDS])
+    return _checkpoints(checkpoints).groupBy("session_ref", "counter").agg(*[F.max(name).alias(name) for name in FIELDS])
 
 
 def stream_usage_deltas(checkpoints: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -123,70 +145,51 @@ def stream_usage_deltas(checkpoints: DataFrame, known: DataFrame | None = None)
 
     ``known`` gives the peaks of ``batch_peaks`` that the first run of the stream starts from.
     """
-    return _checkpoints(checkpoints).groupBy("session_ref", "counter").transformWithStateInPandas(
+    return _grouped(_checkpoints(checkpoints)).transformWithStateInPandas(
         statefulProcessor=RunningPeaks(), outputStructType=DELTA_SCHEMA, outputMode="Append", timeMode="None",
-        initialState=known.groupBy("session_ref", "counter") if known is not None else None,
+        initialState=_grouped(known) if known is not None else None,
     )
 
 
 # --- sessions that follow their turns ----------------------------------------------------------------------------------
 
-TURN_CHANGE = "session_ref string, turn_id string, last_activity_at string, sign long"
-
-
-class LastVersion(StatefulProcessor):
-    """Per turn the version delivered last; emits what it takes back and what it adds, nothing for one known already."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version long, last_activity_at string, deleted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        new = None
-        for part in rows:
-            # The highest version wins; a turn delivered twice in one version is one delivery.
-            row = part.loc[part["version"].idxmax()]
-            if new is None or row["version"] > new[0]:
-                said = row["last_activity_at"]
-                new = int(row["version"]), None if pd.isna(said) else said, bool(row["deleted"])
-        if new is None or (known is not None and new[0] <= known[0]):
-            return
-        self.last.update(new)
-        out = [(key[0], key[1], state[1], sign) for state, sign in ((known, -1), (new, 1)) if state is not None and not state[2]]
-        if out:
-            yield pd.DataFrame(out, columns=["session_ref", "turn_id", "last_activity_at", "sign"])
-
-    def close(self) -> None:
-        pass
+TURN_VERSION = "session_ref string, turn_id string, version long, last_activity_at string, deleted boolean"
 
 
 def turn_changes(turns: DataFrame) -> DataFrame:
-    """Changes of the turn table that deliveries (session_ref, turn_id, version, last_activity_at, deleted) make.
+    """Changes of the turn table that deliveries (session_ref, turn_id, version, last_activity_at, deleted) make, as TURN_VERSION.
 
-    A delivery replaces an earlier one of its turn if its version is higher; ``deleted`` takes the turn away.
+    A delivery replaces an earlier one of its turn if its version is higher; ``deleted`` takes the turn away. A turn comes
+    out with its new version, in update mode, and not at all where what is delivered was known already. The state is an
+    aggregate, so no turn costs a call of its own.
     """
-    given = turns.select("session_ref", "turn_id", F.col("version").cast("long"), F.col("last_activity_at").cast("string"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
-    return given.groupBy("session_ref", "turn_id").transformWithStateInPandas(statefulProcessor=LastVersion(), outputStructType=TURN_CHANGE, outputMode="Append", timeMode="None")
+    arrived = F.unix_millis(F.current_timestamp())
+    given = turns.select(
+        "session_ref", "turn_id", F.col("version").cast("long"), F.col("last_activity_at").cast("string"), F.coalesce("deleted", F.lit(False)).alias("deleted"), arrived.alias("arrived")
+    )
+    # Of equal versions the one that came first counts.
+    last = F.max_by(F.struct("version", "last_activity_at", "deleted", "arrived"), F.struct("version", -F.col("arrived"))).alias("last")
+    return given.groupBy("session_ref", "turn_id").agg(last).filter(F.col("last.arrived") == arrived).select("session_ref", "turn_id", "last.version", "last.last_activity_at", "last.deleted")
 
 
 def upsert_sessions(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Append the changes of all deliveries that are there to a table, and stop; ``merged_sessions`` reads its state.
 
-    Changes are added up per session and activity before they are written, under their batch number, so a batch that is
-    done again replaces itself.
+    Changes are written under their batch number, so a batch that is done again replaces itself.
     """
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("session_ref", "last_activity_at").agg(F.sum("sign").alias("turns")).filter("turns <> 0").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    turn_changes(stream).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    turn_changes(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def merged_sessions(spark: SparkSession, target: str) -> DataFrame:
     """(session_ref, turn_count, last_activity_at) of the sessions that have a turn.
 
-    A taken-back turn takes its time with it: the latest time is that of a turn that is still there.
+    A turn is what its highest version says, so one that was taken back takes its time with it: the latest time is that
+    of a turn that is still there.
     """
-    rows = spark.read.schema("session_ref string, last_activity_at string, turns long").parquet(target)
-    left = rows.groupBy("session_ref", "last_activity_at").agg(F.sum("turns").alias("turns")).filter("turns > 0")
-    return left.groupBy("session_ref").agg(F.sum("turns").alias("turn_count"), F.max("last_activity_at").alias("last_activity_at"))
+    rows = spark.read.schema(TURN_VERSION).parquet(target)
+    turns = rows.groupBy("session_ref", "turn_id").agg(F.max_by(F.struct("last_activity_at", "deleted"), "version").alias("last")).filter("not last.deleted")
+    return turns.groupBy("session_ref").agg(F.count("*").alias("turn_count"), F.max("last.last_activity_at").alias("last_activity_at"))
