@@ -616,6 +616,10 @@ def conversation_documents(spark, sf_dir):
     )
 
 
+#: Folders that thread documents are dealt to.
+FOLDERS = 256
+
+
 @query(
     "thread_documents",
     f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN strftime(epoch_ms(1704067200000 + turn * 1000), {ISO}) WHEN 1 THEN strftime(epoch_ms(1704067200000 + turn * 2000), {ISO})
@@ -638,8 +642,10 @@ def thread_documents(spark, sf_dir):
     listed = F.array_join(F.transform("all", lambda x: x.m), ",")
     doc = F.concat(F.lit('{"id":"'), "conv_id", F.lit('","created":'), epoch + F.col("conv_id") * 60_000, F.lit(',"messages":['), listed, F.lit(",7]}"))
     folder = work_dir(spark, "threads")
-    # One thread per file: a file is a thread document.
-    threads.select(doc.alias("value"), F.col("conv_id").alias("part")).repartition("part").write.partitionBy("part").text(folder)
+    # One thread per file: a file is a thread document. Files are written by the tasks themselves to a few folders, which a
+    # job lists; a folder for each would be moved and listed one after the other.
+    name = F.concat(F.lit("part="), F.pmod(F.xxhash64("conv_id"), F.lit(FOLDERS)), F.lit("/thread-"), "conv_id", F.lit(".json"))
+    bridge.write_files(threads.filter("conv_id IS NOT NULL").select(name.alias("name"), F.lit(0).alias("place"), F.concat(doc, F.lit("\n")).alias("piece")), folder)
     found = files.read_thread_docs(spark, folder, "threads")
     number = F.coalesce(F.get_json_object("raw_json", "$.n").cast("long"), F.lit(-1))
     return found.select(F.substring("session_ref", 10, 20).cast("long").alias("conv_id"), number.alias("turn"), "observed_at")
