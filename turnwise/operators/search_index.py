@@ -1,35 +1,67 @@
 """A written index of letter triples, so that a search reads only turns that may match.
 
-Whatever contains a term contains its triples. The index holds the distinct triples of every turn's lowered text and path
-text, filed by a hash of the triple; a search looks up the rarest triples of its terms, keeps the turns that have all of
-them on one side, and applies the literal test of ``search`` to these. Terms of fewer than three letters have no triple; if
-no term has one, all turns are read.
+Whatever contains a term contains its triples. The index lists, for every triple of the lowered texts and path texts, the
+turns that have it, some hundred texts to a row, filed by a hash of the triple; a search looks up the rarest triples of its
+terms, keeps the turns that have all of them on one side, and applies the literal test of ``search`` to these. Terms of
+fewer than three letters have no triple; if no term has one, all turns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.functions.bind import bind
 from turnwise.operators import search
 
+#: Letters of the texts of which the turns of a triple are listed together.
+SLICE_LETTERS = 1 << 21
 #: Folders the triples are filed in, and how many triples of a term are looked up.
 BUCKETS, LOOKED_UP = 64, 3
 SIDES = ("canonical_text", "path_text")
 
 
-def triples(text: Column) -> Column:
-    """Distinct runs of three letters (code points) of a text."""
-
-    def of(letters: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2)))
-        return F.when(F.size(letters) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-    # The text is cut into its letters once; cutting out each run would go through the text from its start every time.
-    return bind(F.split(text, ""), of)
+_POSTING = "triple string, side int, turns array<string>"
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (turn_id and the sides) to a row per side and triple with the turns of a slice of texts that have it."""
+    for batch in batches:
+        ids = batch.column(0)
+        for side in range(len(SIDES)):
+            texts = batch.column(1 + side).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + SLICE_LETTERS, "right")))
+                yield _slice(ids.slice(first, last - first), texts[first:last], sizes[first:last], side)
+                first = last
+
+
+def _slice(ids: pa.Array, texts: list[str], sizes: np.ndarray, side: int) -> pa.RecordBatch:
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    inside = owner[2:] == owner[:-2]
+    # A code point has 21 bits, so a run of three letters is one number.
+    runs, owner = (letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])[inside], owner[:-2][inside]
+    order = np.argsort(runs, kind="stable")
+    runs, owner = runs[order], owner[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = runs[1:] != runs[:-1]
+    # Owners ascend within a run, so repeats lie side by side.
+    kept = new.copy()
+    kept[1:] |= owner[1:] != owner[:-1]
+    runs, owner, new = runs[kept], owner[kept], new[kept]
+    starts = np.flatnonzero(new)
+    low = (1 << 21) - 1
+    named = [chr(r >> 42) + chr(r >> 21 & low) + chr(r & low) for r in runs[starts].tolist()]
+    turns = pa.ListArray.from_arrays(pa.array(np.append(starts, len(runs)), pa.int32()), ids.take(pa.array(owner)))
+    return pa.RecordBatch.from_arrays([pa.array(named, pa.string()), pa.array([side] * len(named), pa.int32()), turns], names=["triple", "side", "turns"])
 
 
 def _bucket(triple: Column) -> Column:
@@ -42,8 +74,11 @@ class Index:
 
     path: str
 
+    def lists(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{_POSTING}, n long, bucket int").parquet(f"{self.path}/postings")
+
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("triple string, turn_id string, side int, bucket int").parquet(f"{self.path}/postings")
+        return self.lists(spark).select("triple", F.explode("turns").alias("turn_id"), "side", "bucket")
 
     def counts(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("triple string, turns long, bucket int").parquet(f"{self.path}/counts")
@@ -52,13 +87,13 @@ class Index:
 def write_index(candidates: DataFrame, path: str) -> Index:
     """Index the texts and path texts of search candidates; every file holds triples of one folder, in order."""
     spark = candidates.sparkSession
-    sides = [F.struct(F.lit(n).alias("side"), F.lower(F.coalesce(c, F.lit(""))).alias("text")) for n, c in enumerate(SIDES)]
-    each = candidates.select("turn_id", F.explode(F.array(*sides)).alias("s")).select("turn_id", "s.side", F.explode(triples(F.col("s.text"))).alias("triple"))
-    # A triple that all turns have is spread by its turns too, so no task gets all of a common one.
-    placed = each.withColumn("bucket", _bucket(F.col("triple"))).repartition("bucket", F.pmod(F.xxhash64("turn_id"), F.lit(8)))
+    texts = [F.lower(F.coalesce(side, F.lit(""))).alias(side) for side in SIDES]
+    each = candidates.select(F.col("turn_id").cast("string"), *texts).mapInArrow(_posted, _POSTING)
+    # A triple that all turns have is spread by the slices of texts too, so no task gets all of a common one.
+    placed = each.select("*", F.size("turns").cast("long").alias("n"), _bucket(F.col("triple")).alias("bucket")).repartition("bucket", F.pmod(F.xxhash64(F.get("turns", F.lit(0))), F.lit(8)))
     placed.sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{path}/postings")
     index = Index(path)
-    counted = index.postings(spark).groupBy("bucket", "triple").agg(F.count("*").alias("turns"))
+    counted = index.lists(spark).groupBy("bucket", "triple").agg(F.sum("n").alias("turns"))
     counted.repartition("bucket").sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{path}/counts")
     return index
 
